@@ -152,18 +152,20 @@ def noise_byte(seed: ColumnOrName, gx: ColumnOrName, gy: ColumnOrName, chan) ->
 # ---- JSON fields -----------------------------------------------------------------------------
 
 
+def json_number(json: ColumnOrName, path: str) -> Column:
+    """A number at a JSON path; null for anything else, numbers written as strings included."""
+    text = F.to_json(F.try_variant_get(F.try_parse_json(col(json)), path, "variant"))
+    return text.try_cast("double")
+
+
 def num_or_first(json: ColumnOrName, path: str) -> Column:
     """A number, or the first entry of an array of numbers."""
-    text = F.get_json_object(col(json), path)
-    first = F.get_json_object(col(json), path + "[0]")
-    plain = F.when(~text.startswith('"'), text.try_cast("double"))
-    return F.coalesce(plain, F.when(text.startswith("["), first.try_cast("double")))
+    return F.coalesce(json_number(json, path), json_number(json, path + "[0]"))
 
 
 def vec2(json: ColumnOrName, path: str) -> Column:
     """First two entries of an array of numbers; null unless both are numbers."""
-    x = F.get_json_object(col(json), path + "[0]").try_cast("double")
-    z = F.get_json_object(col(json), path + "[1]").try_cast("double")
+    x, z = json_number(json, path + "[0]"), json_number(json, path + "[1]")
     return F.when(x.isNotNull() & z.isNotNull(), F.array(x, z))
 
 
@@ -174,8 +176,8 @@ def format_bytes(n: ColumnOrName) -> Column:
     c = col(n).cast("long")
     raw = F.concat(F.lit(" ("), c.cast("string"), F.lit(" B)"))
     return (
-        F.when(c >= 1024 * 1024, F.concat(F.format_string("%.2f MiB", c / (1024.0 * 1024.0)), raw))
-        .when(c >= 1024, F.concat(F.format_string("%.2f KiB", c / 1024.0), raw))
+        F.when(c >= 1024 * 1024, F.concat(F.format_string("%.2f MiB", F.bround(c / (1024.0 * 1024.0), 2)), raw))
+        .when(c >= 1024, F.concat(F.format_string("%.2f KiB", F.bround(c / 1024.0, 2)), raw))
         .otherwise(F.concat(c.cast("string"), F.lit(" B")))
     )
 

@@ -1,0 +1,6 @@
+"""All runnable queries with their SQL twins."""
+
+from . import q_geo, q_names, q_zones  # noqa: F401
+from .base import all_oracles, all_queries
+
+__all__ = ["all_oracles", "all_queries"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codec import num_or_first, vec2
+from ..functions.codec import json_number, num_or_first, vec2
 from ..functions.geo import tm_half_size, tm_position, tm_radius
 from ..functions.names import (
     is_battle,
@@ -96,8 +96,7 @@ def parse_level_meta(files: DataFrame, text: str = "text") -> DataFrame:
     t0, t1 = vec2("_doc", "$.tankMapCoord0"), vec2("_doc", "$.tankMapCoord1")
 
     def place(key: str) -> Column:
-        own = F.get_json_object("_doc", f"$.{key}").try_cast("double")
-        return F.coalesce(own, F.get_json_object("_doc", f"$.stars.{key}").try_cast("double"))
+        return F.coalesce(json_number("_doc", f"$.{key}"), json_number("_doc", f"$.stars.{key}"))
 
     zone = F.when(
         t0.isNotNull() & t1.isNotNull(),
