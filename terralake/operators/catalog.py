@@ -312,3 +312,25 @@ def order_tiles(tiles: DataFrame) -> DataFrame:
 
 def order_landclasses(landclasses: DataFrame) -> DataFrame:
     return landclasses.orderBy("map_id", "name")
+
+
+def main_source(paint: str, colormap: str, tiles: str, grid_extent: str, height_extent: str, map_extent: str) -> Column:
+    """Picture and world extent that stand for a map: paint, else colour map, else tile mosaic.
+
+    The colour map covers the height raster, the other two the tile grid; the map's own corners are
+    used where those are unknown.
+    """
+    gridded = F.coalesce(F.col(grid_extent), F.col(map_extent))
+    heights = F.coalesce(F.col(height_extent), F.col(map_extent))
+
+    def source(file: str, extent: Column) -> Column:
+        return F.when(F.col(file).isNotNull(), F.struct(F.col(file).alias("file"), extent.alias("extent")))
+
+    return F.coalesce(source(paint, gridded), source(colormap, heights), source(tiles, gridded))
+
+
+def height_source(height_file: str, height_extent: str, map_extent: str, fallback: Column) -> Column:
+    """The height raster with its extent, else the main source."""
+    extent = F.coalesce(F.col(height_extent), F.col(map_extent))
+    own = F.when(F.col(height_file).isNotNull(), F.struct(F.col(height_file).alias("file"), extent.alias("extent")))
+    return F.coalesce(own, fallback)
