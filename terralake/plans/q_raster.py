@@ -350,7 +350,6 @@ los AS (SELECT s.*, s.slope >= s.before AND (hidden_from IS NULL OR step < hidde
 
 
 def blocked_view(spark, sf, packed=False):
-    fixed = sampling.instances_with_ground(objects(spark, sf), base_raster(spark, sf), view(spark, sf, "fx_layers"))
     occ, grids = obj.build_occupancy(objects(spark, sf))
     rasters = base_raster(spark, sf)
     if packed:
@@ -376,9 +375,9 @@ def viewshed_packed(spark, sf):
 
 
 @query("viewshed_area", f"""
-WITH {_BLOCKED}, e AS (SELECT observer, ray, step, h, visible, lead(h) OVER q AS h_out, lead(visible) OVER q AS v_out FROM los WINDOW q AS (PARTITION BY observer, ray ORDER BY step)),
-p AS (SELECT a.*, b.h AS h2, b.visible AS v2, b.h_out AS h2_out, b.v_out AS v2_out FROM e a JOIN e b ON a.observer = b.observer AND a.step = b.step AND b.ray = (a.ray + 1) % {RAYS})
+WITH {_BLOCKED}, los_edge AS (SELECT observer, ray, step, h, visible, lead(h) OVER q AS h_out, lead(visible) OVER q AS v_out FROM los WINDOW q AS (PARTITION BY observer, ray ORDER BY step)),
+los_pair AS (SELECT a.*, b.h AS h2, b.visible AS v2, b.h_out AS h2_out, b.v_out AS v2_out FROM los_edge a JOIN los_edge b ON a.observer = b.observer AND a.step = b.step AND b.ray = (a.ray + 1) % {RAYS})
 SELECT observer, count(*) FILTER (step = 0 AND visible AND v2) AS caps, count(*) FILTER (v_out AND v2_out) AS visible_patches,
-  count(*) FILTER (v_out IS NOT NULL AND NOT (v_out AND v2_out) AND least(h, h_out, h2, h2_out) > 40.25) AS hidden_patches FROM p GROUP BY observer""")
+  count(*) FILTER (v_out IS NOT NULL AND NOT (v_out AND v2_out) AND least(h, h_out, h2, h2_out) > 40.25) AS hidden_patches FROM los_pair GROUP BY observer""")
 def viewshed_area(spark, sf):
     return viewshed.viewshed_area(blocked_view(spark, sf), RAYS, water=40.0)

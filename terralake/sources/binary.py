@@ -25,12 +25,12 @@ RECORD_LAYOUTS = {
 RECORDS_PER_SLICE = 1 << 16
 BLOCKS_START = 12
 TEXTURE_MAGIC = b"DDSx"
-TEXTURE_HEADER = struct.Struct("<4s4sIHHB3xH2xII")  # magic, format, flags, w, h, levels, bpp, memory, packed
+TEXTURE_HEADER = "<4s4sIHHB3xH2xII"  # magic, format, flags, w, h, levels, bpp, memory, packed
 PACK_MAGIC = b"DxP2"
 PACK_BASE = 16
 GRID_MAGIC = b"lndm"
-GRID_HEADER = struct.Struct("<iffiiiii")  # version, grid cell, land cell, cols, rows, origin x, origin z, tile flag
-CELL_PREFIX = struct.Struct("<7sII")  # landclass ids, length, offset of the second texture
+GRID_HEADER = "<iffiiiii"  # version, grid cell, land cell, cols, rows, origin x, origin z, tile flag
+CELL_PREFIX = "<7sII"  # landclass ids, length, offset of the second texture
 
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -204,7 +204,7 @@ def format_name(code: bytes) -> str:
 
 
 def _header(data: bytes, at: int) -> dict:
-    _, fmt, flags, w, h, levels, bpp, mem, packed = TEXTURE_HEADER.unpack_from(data, at)
+    _, fmt, flags, w, h, levels, bpp, mem, packed = struct.unpack_from(TEXTURE_HEADER, data, at)
     return {"fmt": format_name(fmt), "flags": flags, "w": w, "h": h, "levels": levels, "bpp": bpp,
             "mem_sz": mem, "packed_sz": packed}
 
@@ -214,9 +214,9 @@ _HEADER_COLUMNS = "fmt string, flags long, w int, h int, levels int, bpp int, me
 
 def _records(data: bytes):
     at = data.find(TEXTURE_MAGIC)
-    while at >= 0 and at + TEXTURE_HEADER.size <= len(data):
+    while at >= 0 and at + struct.calcsize(TEXTURE_HEADER) <= len(data):
         head = _header(data, at)
-        end = at + TEXTURE_HEADER.size + (head["packed_sz"] or head["mem_sz"])
+        end = at + struct.calcsize(TEXTURE_HEADER) + (head["packed_sz"] or head["mem_sz"])
         fits = end <= len(data)
         if fits:
             yield {"pos": at, "end": end, **head}
@@ -270,10 +270,10 @@ def scan_pack_directory(spark: SparkSession, paths) -> DataFrame:
 
 def _grid(data: bytes):
     at = data.find(GRID_MAGIC)
-    base = at + 4 + GRID_HEADER.size
+    base = at + 4 + struct.calcsize(GRID_HEADER)
     if at < 0 or base + 8 > len(data):
         return None
-    version, _, cell, cols, rows, ox, oz, _ = GRID_HEADER.unpack_from(data, at + 4)
+    version, _, cell, cols, rows, ox, oz, _ = struct.unpack_from(GRID_HEADER, data, at + 4)
     (offset,) = struct.unpack_from("<i", data, base + 4)
     if version != 4 or cols <= 0 or rows <= 0 or offset <= 0 or base + offset + 4 > len(data):
         return None
@@ -289,10 +289,10 @@ def _tile_cells(data: bytes, min_fill: float):
     cols, rows, cell, ox, oz, at = grid
     found = []
     for i in range(cols * rows):
-        if at + CELL_PREFIX.size > len(data):
+        if at + struct.calcsize(CELL_PREFIX) > len(data):
             return
-        det, size, second = CELL_PREFIX.unpack_from(data, at)
-        body = at + CELL_PREFIX.size
+        det, size, second = struct.unpack_from(CELL_PREFIX, data, at)
+        body = at + struct.calcsize(CELL_PREFIX)
         if size and data[body:body + 4] != TEXTURE_MAGIC:
             return
         nested = 0 < second <= size - 4 and data[body + second:body + second + 4] == TEXTURE_MAGIC
