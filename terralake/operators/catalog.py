@@ -290,8 +290,9 @@ def upsert_index(current: DataFrame, updates: DataFrame, key: str = "name", posi
         *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in values],
     )
     fresh = updates.join(current.select(key), key, "left_anti").withColumn("_all", F.lit(0))
+    # a global aggregate is a single row, whatever the size of the index
     last = current.agg(F.coalesce(F.max(position), F.lit(0)).cast("long").alias("_last")).withColumn("_all", F.lit(0))
-    added = ordinal(fresh, ["_all"], [key], "_n").join(last, "_all").select(
+    added = ordinal(fresh, ["_all"], [key], "_n").join(F.broadcast(last), "_all").select(
         key, (F.col("_last") + F.col("_n")).cast("long").alias(position), *values
     )
     return kept.unionByName(added)

@@ -7,50 +7,83 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import is_water_color, is_water_height
 from ..session import cut
-from .scans import join_dim
+from .scans import fan_out, join_dim
 
 _COMPONENT = "map_id {id}, px int, pz int, comp long"
 
 
-def _label_tile(pdf, side: int):
-    """Connected parts of one tile; a part is named after its first cell (pz * 2^32 + px)."""
+def _label_sorted(pdf, side: int):
+    """Connected parts of all tiles in a frame sorted by tile, row and column.
+
+    A part is named after its first cell (pz * 2^32 + px). All tiles are handled at once: neighbours
+    are found by their sorted keys, then labels are hooked to the smaller one and shortened.
+    """
     import numpy as np
 
-    x0, z0 = int(pdf["px"].iloc[0]) // side * side, int(pdf["pz"].iloc[0]) // side * side
-    x, z = pdf["px"].to_numpy() - x0, pdf["pz"].to_numpy() - z0
-    at = z * side + x
-    mask = np.zeros(side * side, dtype=bool)
-    mask[at] = True
-    grid = mask.reshape(side, side)
-    ids = np.arange(side * side).reshape(side, side)
-    right, down = grid[:, :-1] & grid[:, 1:], grid[:-1] & grid[1:]
-    a = np.concatenate([ids[:, :-1][right], ids[:-1][down]])
-    b = np.concatenate([ids[:, 1:][right], ids[1:][down]])
-    label = np.arange(side * side)
+    x, z = pdf["px"].to_numpy().astype("int64"), pdf["pz"].to_numpy().astype("int64")
+    tile = _tile_number(pdf, side)
+    key = (tile * (side + 1) + z % side) * (side + 1) + x % side
+    n = len(key)
+    at = np.arange(n)
+    right = at[:-1][key[1:] == key[:-1] + 1]
+    found = np.searchsorted(key, key + side + 1)
+    down = at[(found < n) & (key[np.minimum(found, n - 1)] == key + side + 1) & (z % side < side - 1)]
+    a, b = np.concatenate([right, down]), np.concatenate([right + 1, found[down]])
+    label = at.copy()
     while True:
         la, lb = label[a], label[b]
         differ = la != lb
         if not differ.any():
             break
-        lo, hi = np.minimum(la, lb)[differ], np.maximum(la, lb)[differ]
-        np.minimum.at(label, hi, lo)
-        while True:
-            nxt = label[label]
-            if (nxt == label).all():
-                break
-            label = nxt
-    root = label[at].astype("int64")
-    comp = (z0 + root // side) * (1 << 32) + (x0 + root % side)
-    return pdf[["map_id", "px", "pz"]].assign(comp=comp)
+        np.minimum.at(label, np.maximum(la, lb)[differ], np.minimum(la, lb)[differ])
+        shorter = label[label]
+        while (shorter != label).any():
+            label, shorter = shorter, shorter[shorter]
+    return pdf[["map_id", "px", "pz"]].assign(comp=z[label] * (1 << 32) + x[label])
+
+
+def _tile_number(pdf, side: int):
+    """Running number of the tile each row belongs to."""
+    import numpy as np
+
+    columns = [pdf["map_id"].to_numpy(), pdf["px"].to_numpy() // side, pdf["pz"].to_numpy() // side]
+    new = np.zeros(len(pdf), dtype=bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new).astype("int64")
+
+
+def _label_batches(batches, side: int):
+    """Label whole tiles; the last tile of a batch may go on in the next one and waits for it."""
+    import pandas as pd
+
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if len(pdf) == 0:
+            continue
+        tile = _tile_number(pdf, side)
+        whole = tile < tile[-1]
+        rest = pdf[~whole].reset_index(drop=True)
+        if whole.any():
+            yield _label_sorted(pdf[whole].reset_index(drop=True), side)
+    if rest is not None and len(rest):
+        yield _label_sorted(rest, side)
 
 
 def label_tiles(mask: DataFrame, side: int = 64) -> DataFrame:
-    """Component of every masked cell within its own tile (at most side x side cells per group)."""
+    """Component of every masked cell within its own tile.
+
+    Tiles are spread by hash over a fixed number of partitions and sorted; Python then works on whole
+    Arrow batches of tiles and never holds more than a batch and one tile (side x side cells).
+    """
     kind = dict(mask.dtypes)["map_id"]
-    tiled = mask.select("map_id", "px", "pz", F.floor(F.col("px") / side).alias("tx"), F.floor(F.col("pz") / side).alias("tz"))
-    return tiled.groupBy("map_id", "tx", "tz").applyInPandas(
-        lambda pdf: _label_tile(pdf, side), _COMPONENT.format(id=kind)
+    tx, tz = F.floor(F.col("px") / side), F.floor(F.col("pz") / side)
+    tiled = (
+        fan_out(mask.select("map_id", "px", "pz"), "map_id", tx, tz)
+        .sortWithinPartitions("map_id", tz, tx, "pz", "px")
     )
+    return tiled.mapInPandas(lambda batches: _label_batches(batches, side), _COMPONENT.format(id=kind))
 
 
 def seam_edges(cells: DataFrame, side: int) -> DataFrame:
@@ -76,7 +109,7 @@ def component_roots(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     for _ in range(max_rounds):
         deeper = current.join(current.select("map_id", F.col("a").alias("b")), ["map_id", "b"], "left_semi")
         shared = current.groupBy("map_id", "a").count().filter("count > 1")
-        if deeper.isEmpty() and shared.isEmpty():
+        if deeper.select("map_id").unionByName(shared.select("map_id")).isEmpty():
             return current.select("map_id", "a", F.col("b").alias("root"))
         both = current.unionByName(current.select("map_id", F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("map_id", "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

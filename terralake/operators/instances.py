@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import is_occluder, render_style
-from .scans import join_dim
+from .scans import fan_out, join_dim
 
 # ---- fixed values: object heights by pool category (metres), 6 for any other category --------
 OCCLUDER_HEIGHT = {"building": 16, "infrastructure": 14, "debris": 10, "earthwork": 8, "other": 8}
@@ -14,21 +14,30 @@ OTHER_HEIGHT = 6
 BUILDING_RADIUS, OTHER_RADIUS = 4.0, 3.0
 GRID_MARGIN = 8.0
 MAX_GRID = 4096
+OCC_TILE = 256
 
 
 def _pool_keys(pools: DataFrame) -> list[str]:
     return [k for k in ("map_id", "pool_idx") if k in pools.columns]
 
 
-def instances_with_pool(instances: DataFrame, pools: DataFrame) -> DataFrame:
-    """Name and category next to each object; unknown pools are of category ``other``."""
-    keys = _pool_keys(pools)
-    joined = join_dim(instances, pools.select(*keys, "name", "category"), keys, ["x", "z"], "left")
-    return joined.withColumn("category", F.coalesce("category", F.lit("other")))
+def styled_pools(pools: DataFrame, dialect: str = "viewer") -> DataFrame:
+    """Pools with their drawing style and whether they hide a line of sight.
+
+    Both depend on the pool alone, so the name patterns run once per pool and not once per object.
+    """
+    styled = pools.withColumn("style", render_style("category", "name", dialect))
+    return styled.withColumn("occludes", is_occluder("category", "name", "style"))
 
 
-def with_style(instances: DataFrame, dialect: str = "viewer") -> DataFrame:
-    return instances.withColumn("style", render_style("category", "name", dialect))
+def instances_with_pool(instances: DataFrame, pools: DataFrame) -> DataFrame:
+    """Pool columns next to each object; objects of unknown pools have category and style ``other``."""
+    keys = _pool_keys(pools)
+    joined = join_dim(instances, pools, keys, ["x", "z"], "left")
+    for c, missing in (("category", "other"), ("style", "other"), ("occludes", False)):
+        if c in pools.columns:
+            joined = joined.withColumn(c, F.coalesce(F.col(c), F.lit(missing)))
+    return joined
 
 
 def pool_counts(instances: DataFrame, pools: DataFrame) -> DataFrame:
@@ -51,7 +60,7 @@ def occluders(instances: DataFrame) -> DataFrame:
         height = F.when(hit, metres) if height is None else height.when(hit, metres)
     height = height.otherwise(OTHER_HEIGHT)
     radius = F.when(F.col("style") == "building", BUILDING_RADIUS).otherwise(OTHER_RADIUS)
-    return instances.filter(is_occluder("category", "name", "style")).select(
+    return instances.filter("occludes").select(
         "map_id", "x", "z", (F.col("y") + height).alias("top"), radius.alias("radius")
     )
 
@@ -75,8 +84,9 @@ def occupancy_grids(objects: DataFrame, max_cells: int = MAX_GRID) -> DataFrame:
 def build_occupancy(instances: DataFrame, max_cells: int = MAX_GRID) -> tuple[DataFrame, DataFrame]:
     """Highest object top per grid cell (``map_id, gx, gz, top``), and the grids.
 
-    ``instances`` carries ``category, name, style`` and a repaired ``y``.  Objects are first reduced to
-    one per cell and radius, so that crowded places do not multiply before the disks are spread.
+    ``instances`` carries ``category, style, occludes`` and a repaired ``y``.  Objects are first reduced to
+    one per cell and radius, so that crowded places do not multiply.  These few rows are shuffled by
+    tile (with those just outside it), and the disks are spread and merged within each tile.
     """
     objects = occluders(instances)
     grids = occupancy_grids(objects, max_cells)
@@ -87,14 +97,22 @@ def build_occupancy(instances: DataFrame, max_cells: int = MAX_GRID) -> tuple[Da
         .withColumn("reach", F.greatest(F.lit(1), F.ceil(F.col("radius") / F.col("cell"))).cast("int"))
         .groupBy("map_id", "cx", "cz", "reach", "cols", "rows").agg(F.max("top").alias("top"))
     )
+
+    def tiles(axis: str):
+        ends = F.array(F.col(axis) - F.col("reach"), F.col(axis) + F.col("reach"))
+        return F.explode(F.array_distinct(F.transform(ends, lambda p: F.floor(p / OCC_TILE).cast("int"))))
+
+    tiled = fan_out(centred.withColumn("tx", tiles("cx")).withColumn("tz", tiles("cz")), "map_id", "tx", "tz")
     span = F.sequence(-F.col("reach"), F.col("reach"))
-    disk = centred.withColumn("_dx", F.explode(span)).withColumn("_dz", F.explode(span)).filter(
+    disk = tiled.withColumn("_dx", F.explode(span)).withColumn("_dz", F.explode(span)).filter(
         F.col("_dx") * F.col("_dx") + F.col("_dz") * F.col("_dz") <= F.col("reach") * F.col("reach")
     )
     gx, gz = F.col("cx") + F.col("_dx"), F.col("cz") + F.col("_dz")
+    own = (F.floor(gx / OCC_TILE) == F.col("tx")) & (F.floor(gz / OCC_TILE) == F.col("tz"))
     inside = (gx >= 0) & (gx < F.col("cols")) & (gz >= 0) & (gz < F.col("rows"))
     occ = (
-        disk.filter(inside & (F.col("top") > 0))
-        .groupBy("map_id", gx.alias("gx"), gz.alias("gz")).agg(F.max("top").alias("top"))
+        disk.filter(own & inside & (F.col("top") > 0))
+        .groupBy("map_id", "tx", "tz", gx.alias("gx"), gz.alias("gz")).agg(F.max("top").alias("top"))
+        .drop("tx", "tz")
     )
     return occ, grids

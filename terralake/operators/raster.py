@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions._col import clamp, col, floor_long, half_up, num, trunc_long
 from ..functions.codec import height_from_u16, quantize_u16, to_byte
 from ..session import cut
-from .scans import join_dim
+from .scans import fan_out, join_dim
 
 TILE = 64
 KEYS = ("map_id", "layer")
@@ -232,71 +232,75 @@ def bilinear(targets: DataFrame, source: DataFrame, fx: Column, fz: Column, widt
     return merged.select(*keys, "px", "pz", *carry, value.alias(out))
 
 
-def _fill_smallest(pdf, v: str):
-    """Spread known values over the rest of a grid of at most 4x4 cells; 0 where none is known."""
-    import numpy as np
-
-    w, h = int(pdf["width"].iloc[0]), int(pdf["height"].iloc[0])
-    grid = np.full((h + 2, w + 2), np.nan)
-    grid[pdf["pz"].to_numpy() + 1, pdf["px"].to_numpy() + 1] = pdf[v].to_numpy(dtype=float)
-    inner = np.s_[1:-1, 1:-1]
-    for _ in range(4 * max(w, h)):
-        empty = np.isnan(grid[inner])
-        if not empty.any():
-            break
-        around = np.stack([grid[1:-1, :-2], grid[1:-1, 2:], grid[:-2, 1:-1], grid[2:, 1:-1]])
-        count = (~np.isnan(around)).sum(axis=0)
-        mean = np.nansum(around, axis=0) / np.maximum(count, 1)
-        take = empty & (count > 0)
-        grid[inner] = np.where(take, mean, grid[inner])
-    values = np.nan_to_num(grid[inner], nan=0.0)
-    return pdf.assign(**{v: values[pdf["pz"].to_numpy(), pdf["px"].to_numpy()]})
-
-
-def fill_nodata(raster: DataFrame, layers: DataFrame, v: str = "v", max_dim: int | None = None) -> DataFrame:
+def fill_smallest(sized: DataFrame, v: str = "v") -> DataFrame:
+    """Spread known values over grids of at most 4x4 cells; 0 where a grid knows none.
+
+    A grid is one short array per layer. Six rounds reach every cell from any other.
+    """
+    keys = _keys(sized)
+    grids = sized.groupBy(*keys, "width", "height").agg(
+        F.array_sort(F.collect_list(F.struct((F.col("pz") * F.col("width") + F.col("px")).alias("at"), F.col(v).alias("v")))).alias("_g")
+    )
+    w, n = F.col("width"), F.col("width") * F.col("height")
+
+    def spread(g: Column) -> Column:
+        def cell(value: Column, i: Column) -> Column:
+            around = F.filter(
+                F.array(
+                    F.when(i % w > 0, F.get(g, i - 1)), F.when(i % w < w - 1, F.get(g, i + 1)),
+                    F.when(i >= w, F.get(g, i - w)), F.when(i < n - w, F.get(g, i + w)),
+                ),
+                lambda x: x.isNotNull(),
+            )
+            total = F.aggregate(around, F.lit(0.0), lambda acc, x: acc + x)
+            return F.coalesce(value, F.when(F.size(around) > 0, total / F.size(around)))
+
+        return F.transform(g, cell)
+
+    start = F.transform("_g", lambda c: c["v"].cast("double"))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, lambda g, _: spread(g))
+    return grids.select(*keys, "width", F.posexplode(done).alias("_i", v)).select(
+        *keys, (F.col("_i") % F.col("width")).cast("int").alias("px"), F.floor(F.col("_i") / F.col("width")).cast("int").alias("pz"),
+        F.coalesce(F.col(v), F.lit(0.0)).alias(v),
+    )
+
+
+def fill_nodata(raster: DataFrame, layers: DataFrame, v: str = "v") -> DataFrame:
     """Fill missing cells from a pyramid of block means; known cells keep their value.
 
-    Coarser levels shrink fourfold each, so writing them out costs a third of the raster in all and
-    keeps the plan of every level short.  ``max_dim`` (the largest side of any layer) may be given to
-    spare the one-row query for it.
+    The coarser levels are written to the shared folder: they shrink fourfold each and serve twice,
+    on the way down and on the way up.  The way up is one chain of joins, one per level.
     """
     keys = _keys(raster)
-    if max_dim is None:
-        max_dim = layers.agg(F.max(F.greatest("width", "height"))).first()[0] or 0
     sizes = layers.select(*[k for k in keys if k in layers.columns], "width", "height")
+    # number of halvings a layer needs to fit 4x4 cells; few different values exist
+    halvings = F.expr("size(filter(sequence(0, 30), d -> shiftright(greatest(width, height), d) > 4))")
+    depths = set(sizes.agg(F.collect_set(halvings)).first()[0]) or {0}
     levels, dims = [raster.select(*keys, "px", "pz", F.col(v).cast("double").alias(v))], [sizes]
-    while max_dim > 4:
+    for _ in range(max(depths)):
         levels.append(cut(pyramid_level(levels[-1], dims[-1], v), "pyramid"))
         dims.append(halved(dims[-1]))
-        max_dim //= 2
 
-    # Levels of differing depth meet here: what is already at most 4x4 is the coarsest of its layer.
+    # A layer's last level is the one that fits 4x4 cells; layers of other sizes end at other levels.
     def smallest(i: int) -> DataFrame:
         small = dims[i].filter(F.greatest("width", "height") <= 4)
-        sized = levels[i].join(small, [k for k in keys if k in small.columns])
-        done = sized.groupBy(*keys).applyInPandas(lambda pdf: _fill_smallest(pdf, v), sized.schema)
-        return done.drop("width", "height")
-
-    full = smallest(len(levels) - 1)
-    for i in range(len(levels) - 2, -1, -1):
-        coarse_size = halved(dims[i]).select(
-            *[k for k in keys if k in dims[i].columns], F.col("width").alias("_cw"), F.col("height").alias("_ch")
-        )
-        deep = dims[i].filter(F.greatest("width", "height") > 4)
-        cells = _layers_for(levels[i], deep, "width", "height")
-        holes = join_dim(cells.filter(col(v).isNull()), coarse_size, [k for k in keys if k in coarse_size.columns],
-                         ["px", "pz"], "inner")
+        return fill_smallest(levels[i].join(small, [k for k in keys if k in small.columns]), v)
+
+    full = smallest(max(depths))
+    for i in reversed(range(max(depths))):
+        deep = dims[i].filter(F.greatest("width", "height") > 4).withColumn(
+            "_cw", F.greatest(F.expr("width div 2"), F.lit(1)).cast("int")
+        ).withColumn("_ch", F.greatest(F.expr("height div 2"), F.lit(1)).cast("int"))
+        cells = _layers_for(levels[i], deep, "width", "height", "_cw", "_ch")
         cx = (F.col("px") + 0.5) / F.col("width") * F.col("_cw") - 0.5
         cz = (F.col("pz") + 0.5) / F.col("height") * F.col("_ch") - 0.5
         patched = bilinear(
-            holes, full, F.greatest(cx, F.lit(0.0)), F.greatest(cz, F.lit(0.0)), F.col("_cw"), F.col("_ch"), v, v
+            cells.filter(col(v).isNull()), full, F.greatest(cx, F.lit(0.0)), F.greatest(cz, F.lit(0.0)),
+            F.col("_cw"), F.col("_ch"), v, v,
         )
-        known = cells.filter(col(v).isNotNull()).select(*keys, "px", "pz", v)
-        full = known.unionByName(patched)
-        if not dims[i].filter(F.greatest("width", "height") <= 4).isEmpty():
+        full = cells.filter(col(v).isNotNull()).select(*keys, "px", "pz", v).unionByName(patched)
+        if i in depths:
             full = full.unionByName(smallest(i))
-        if i > 0:
-            full = cut(full, "filled")
     return full
 
 
@@ -307,7 +311,7 @@ def target_cells(layers: DataFrame, w: int, h: int) -> DataFrame:
     """All cells of a w x h raster per layer, generated row by row on the executors."""
     keys = [k for k in KEYS if k in layers.columns]
     rows = layers.select(*keys, "width", "height", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("pz"))
-    spread = rows.repartition(*keys, "pz")
+    spread = fan_out(rows, *keys, "pz")
     return spread.withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
 
 
@@ -449,12 +453,12 @@ def triangle_samples(tris: DataFrame, layers: DataFrame, dim: tuple[int, int], s
     def steps(lo, hi) -> Column:
         return F.explode(F.sequence(lo, hi))
 
-    tiled = (
+    tiles = (
         boxed.withColumn("tx", steps(F.floor(F.col("_bx0") / side).cast("int"), F.floor(F.col("_bx1") / side).cast("int")))
         .withColumn("tz", steps(F.floor(F.col("_bz0") / side).cast("int"), F.floor(F.col("_bz1") / side).cast("int")))
         .withColumn("_salt", F.pmod(F.hash("tri_id"), F.lit(salts)))
-        .repartition("map_id", "tx", "tz", "_salt")
     )
+    tiled = fan_out(tiles, "map_id", "tx", "tz", "_salt")
     cells = (
         tiled.withColumn("px", steps(F.greatest(F.col("tx") * side, "_bx0"), F.least(F.col("tx") * side + side - 1, "_bx1")))
         .withColumn("pz", steps(F.greatest(F.col("tz") * side, "_bz0"), F.least(F.col("tz") * side + side - 1, "_bz1")))

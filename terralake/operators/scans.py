@@ -33,6 +33,17 @@ def _scan(df: DataFrame, part: Sequence[str], order: str, value, out: str, agg,
     return local.join(carry, keys)
 
 
+def fan_out(df: DataFrame, *by) -> DataFrame:
+    """Spread rows that are about to multiply over all cores.
+
+    The number of partitions is given, because adaptive execution would otherwise merge these small
+    partitions by their size before the rows multiply.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *by)
+
+
 def running_sum(df: DataFrame, part: Sequence[str], order: str, value, out: str,
                 inclusive: bool = True, chunk: int = CHUNK) -> DataFrame:
     """Running sum over ``part`` in the order of the integer column ``order`` (unique per part)."""

@@ -12,7 +12,7 @@ from ..functions._col import clamp, floor_long, trunc_long
 from ..functions.codec import fnv1a64, noise_byte
 from ..functions.names import sanitize_det
 from .raster import _keys, _layers_for, _tile_keys, box_sums, with_halo
-from .scans import join_dim
+from .scans import fan_out, join_dim
 
 # ---- fixed values ----------------------------------------------------------------------------
 WATER_COLOR = (20, 60, 120)
@@ -87,8 +87,8 @@ def single_lc_detail_mix(cells: DataFrame, landclasses: DataFrame) -> DataFrame:
 
 def paint_pixels(cells: DataFrame, tile_w: int, tile_h: int) -> DataFrame:
     """Output pixels of every terrain cell; rows are spread out before they are split into pixels."""
-    rows = cells.withColumn("_y", F.explode(F.sequence(F.lit(0), F.lit(tile_h - 1)))).repartition("map_id", "tx", "tz", "_y")
-    return rows.withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(tile_w - 1)))).withColumns({
+    rows = cells.withColumn("_y", F.explode(F.sequence(F.lit(0), F.lit(tile_h - 1))))
+    return fan_out(rows, "map_id", "tx", "tz", "_y").withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(tile_w - 1)))).withColumns({
         "px": (F.col("tx") * tile_w + F.col("_x")).cast("int"), "pz": (F.col("tz") * tile_h + F.col("_y")).cast("int"),
     })
 

@@ -162,7 +162,7 @@ def pools(spark, sf):
 
 
 def objects(spark, sf):
-    return obj.with_style(obj.instances_with_pool(view(spark, sf, "fx_instances"), pools(spark, sf)))
+    return obj.instances_with_pool(view(spark, sf, "fx_instances"), obj.styled_pools(pools(spark, sf)))
 
 
 @query("instances_with_pool", f"WITH {OBJECTS_SQL} SELECT map_id, pool_idx, x, y, z, name, category FROM o0")
