@@ -172,18 +172,30 @@ def grid_count(size: ColumnOrName) -> Column:
     return F.when(s.between(2, 64), half_up(s)).otherwise(DEFAULT_GRID).cast("int")
 
 
-def grid_square(x: ColumnOrName, z: ColumnOrName, view: ColumnOrName, n) -> Column:
-    """Column number (from the west), row (from the north) and label; null outside the view."""
+def grid_column(x: ColumnOrName, view: ColumnOrName, n) -> Column:
+    """Column of the tactical grid, counted from 0 in the west."""
     v, count = col(view), num(n)
     u = (col(x) - v["x0"]) / F.greatest(v["x1"] - v["x0"], F.lit(MIN_SPAN))
+    return F.least(floor_long(u * count), count - 1).cast("int")
+
+
+def grid_row(z: ColumnOrName, view: ColumnOrName, n) -> Column:
+    """Row of the tactical grid, counted from 0 in the north."""
+    v, count = col(view), num(n)
     w = (v["z1"] - col(z)) / F.greatest(v["z1"] - v["z0"], F.lit(MIN_SPAN))
-    column = F.least(floor_long(u * count), count - 1).cast("int")
-    row = F.least(floor_long(w * count), count - 1).cast("int")
-    square = F.struct(
-        (column + 1).alias("column"), row.alias("row"),
-        F.concat(grid_row_label(row), (column + 1).cast("string")).alias("label"),
-    )
-    return F.when(in_rect(x, z, v), square)
+    return F.least(floor_long(w * count), count - 1).cast("int")
+
+
+def grid_label(column: ColumnOrName, row: ColumnOrName) -> Column:
+    """Letter of the row and number of the column, such as B7."""
+    return F.concat(grid_row_label(row), (col(column) + 1).cast("string"))
+
+
+def grid_square(x: ColumnOrName, z: ColumnOrName, view: ColumnOrName, n) -> Column:
+    """Column number (from 1), row and label of a position; null outside the view."""
+    column, row = grid_column(x, view, n), grid_row(z, view, n)
+    square = F.struct((column + 1).alias("column"), row.alias("row"), grid_label(column, row).alias("label"))
+    return F.when(in_rect(x, z, view), square)
 
 
 def format_metres(v: ColumnOrName, style: str = "viewer") -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions._col import clamp, trunc_long
-from ..functions.geo import grid_square, in_rect
+from ..functions.geo import grid_column, grid_label, grid_row, in_rect
 from ..functions.names import map_suffix
 from .scans import join_dim, ordinal
 
@@ -215,10 +215,9 @@ def density_grid(instances: DataFrame, views: DataFrame, n: int = 10) -> DataFra
     """Objects per grid square and style inside a view per map."""
     v = views.select("map_id", F.struct("x0", "z0", "x1", "z1").alias("_view"))
     seen = join_dim(instances, v, ["map_id"], ["x", "z"], "inner").filter(in_rect("x", "z", "_view"))
-    square = grid_square("x", "z", "_view", n)
-    return (
-        seen.withColumn("_square", square)
-        .groupBy("map_id", F.col("_square.column").alias("column"), F.col("_square.row").alias("row"),
-                 F.col("_square.label").alias("label"), "style")
-        .agg(F.count(F.lit(1)).alias("n"))
+    counted = seen.groupBy(
+        "map_id", grid_column("x", "_view", n).alias("_column"), grid_row("z", "_view", n).alias("row"), "style"
+    ).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(
+        "map_id", (F.col("_column") + 1).alias("column"), "row", grid_label("_column", "row").alias("label"), "style", "n"
     )

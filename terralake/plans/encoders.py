@@ -10,25 +10,73 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def le(value: Column, size: int = 4) -> Column:
-    """Little-endian bytes of an unsigned number."""
-    digits = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
-    pairs = [F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))]
-    return F.unhex(F.concat(*pairs))
-
-
-def text(value: Column) -> Column:
-    return F.encode(value, "utf-8")
-
-
-def joined(parts: Column) -> Column:
-    """One binary value from an array of binary values."""
-    return F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p)), ""))
+def _container(build):
+    """A column function from (id, text) to the bytes of one file; ``build`` gets id and text lines."""
+    @F.pandas_udf(T.BinaryType())
+    def make(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([build(int(i), [line.encode("utf-8") for line in t.split("\n")]) for i, t in zip(ids, texts)])
+
+    return make
+
+
+def _chain(doc: int, lines: list[bytes]) -> bytes:
+    """A block per line; every third file ends with an end tag, the others with an impossible length."""
+    out = b"DBLD.header."
+    for i, line in enumerate(lines):
+        tag = b"EnND" if i == len(lines) - 1 and doc % 3 == 0 else b"tex." if i % 2 == 0 else b"lnd2"
+        out += struct.pack("<I4s", len(line) + 4 | (i % 4) << 30, tag) + line
+    return out + (b"padding after the end tag" if doc % 3 == 0 else struct.pack("<I", 2) + b"tex.bad")
+
+
+def _texture_header(size: int, i: int) -> bytes:
+    fmt = [b"DXT1", struct.pack("<I", 21), b"BC7 "][i % 3]
+    packed = 0 if i % 5 == 0 else size
+    return struct.pack("<4s4sIHHB3xH2xII", b"DDSx", fmt, i * 7, i % 4096, (i + 5) % 4096, i % 12, 32, size, packed)
+
+
+def _textures(doc: int, lines: list[bytes]) -> bytes:
+    """A texture record per line with junk in between; a last one claims more bytes than there are."""
+    body = b"".join(b"..." + _texture_header(len(line), i) + line for i, line in enumerate(lines))
+    return body + b"DDSx" + b"\xff\xff\xff\x00" * 8
+
+
+def _pack(doc: int, lines: list[bytes]) -> bytes:
+    """A texture pack with an entry per line; every seventh points outside the file."""
+    n, base = len(lines), 16
+    first = [line.split(b" ")[0] for line in lines]
+    raw = [[f + b"*", b"a?%d$x" % i, b"$%d" % i][i % 3] + b"\0" for i, f in enumerate(first)]
+    strings_at = 64 + n * 64
+    data_at = strings_at + sum(map(len, raw))
+    names = heads = bodies = b""
+    for i, line in enumerate(lines):
+        names += struct.pack("<II", strings_at + sum(map(len, raw[:i])) - base, 0)
+        heads += _texture_header(len(line), i)
+        offset = 1 << 30 if i % 7 == 6 else data_at + sum(map(len, lines[:i]))
+        bodies += struct.pack("<12xIII", offset, len(line), 0)
+    sections = b"".join(struct.pack("<I12x", at - base) for at in (64, 64 + n * 8, 64 + n * 40))
+    return b"DxP2" + struct.pack("<III", 0, n, 0) + sections + names + heads + bodies + b"".join(raw) + b"".join(lines)
+
+
+def _cells(doc: int, lines: list[bytes]) -> bytes:
+    """A terrain grid with one cell per line; every eighth file has another version."""
+    n = len(lines)
+    out = b"...lndm" + struct.pack("<iffiiiii", 3 if doc % 8 == 7 else 4, 1.0, 32.0, n, 1, 5, 6, 0)
+    out += struct.pack("<iii16x", 0, 8, 11) + bytes(4 * n) + b"name.table."
+    for i, line in enumerate(lines):
+        used = len(line) % 3 != 0
+        second = used and len(line) % 2 == 0
+        body = b"DDSx" + line + (b"DDSx" if second else b"") if used else b""
+        offset = len(line) + 4 if second else 1 if used and i % 2 == 0 else 0
+        det = bytes([i % 250, 255, 1, 2, 3, 4, (i * 3 + 1) % 256])
+        out += det + struct.pack("<II", len(body), offset) + body
+    return out
+
+
+chain_of, textures_of, pack_of, cells_of = map(_container, (_chain, _textures, _pack, _cells))
 
 
 @F.pandas_udf(T.BinaryType())

@@ -136,23 +136,15 @@ po AS (SELECT *, CAST(12 + coalesce(sum(len + 4) OVER (PARTITION BY file ORDER B
 """
 
 
-def chains(spark, sf):
-    """One container per document with a block per line; some end with an end tag, some with a bad length."""
-    d = table(spark, sf, "documents")
-    lines = F.split("text", "\n")
-    n = F.size(lines)
-    block = F.transform(lines, lambda s, i: F.concat(
-        enc.le(F.octet_length(s) + 4 + (i % 4).cast("long") * F.lit(1 << 30)),
-        enc.text(F.when((i == n - 1) & (F.col("doc_id") % 3 == 0), "EnND").when(i % 2 == 0, "tex.").otherwise("lnd2")), enc.text(s),
-    ))
-    tail = F.when(F.col("doc_id") % 3 == 0, enc.text(F.lit("padding after the end tag"))).otherwise(F.concat(enc.le(F.lit(2)), enc.text(F.lit("tex.bad"))))
-    return d.select(F.col("doc_id").alias("file"), F.concat(enc.text(F.lit("DBLD.header.")), enc.joined(block), tail).alias("content"))
+def containers(spark, sf, encode):
+    """One container per document, with a part per line of its text."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("file"), encode("doc_id", "text").alias("content"))
 
 
 @query("scan_blocks", f"""
 WITH {_CHAIN} SELECT file, CAST(i AS INT) AS idx, pos, CAST(len AS BIGINT) AS len, flags, tag FROM po""")
 def scan_blocks(spark, sf):
-    return binary.parse_blocks(chains(spark, sf)).withColumn("tag", F.decode("tag", "utf-8"))
+    return binary.parse_blocks(containers(spark, sf, enc.chain_of)).withColumn("tag", F.decode("tag", "utf-8"))
 
 
 @query("tag_summary", f"""
@@ -160,63 +152,26 @@ WITH {_CHAIN} SELECT file, tag, count(*) AS blocks, CAST(sum(len) AS BIGINT) AS
 def tag_summary(spark, sf):
     from ..operators.audit import tag_summary as summary
 
-    s = summary(binary.parse_blocks(chains(spark, sf)).withColumn("tag", F.decode("tag", "utf-8")))
+    s = summary(binary.parse_blocks(containers(spark, sf, enc.chain_of)).withColumn("tag", F.decode("tag", "utf-8")))
     return s.withColumn("flags", F.array_join(F.col("flags").cast("array<string>"), ","))
 
 
 # ---- textures --------------------------------------------------------------------------------
 
 
-def _texture(size, i, body):
-    """Record with header and body; every fifth states no packed size."""
-    packed = F.when(i % 5 == 0, F.lit(0)).otherwise(size)
-    fmt = F.when(i % 3 == 0, enc.text(F.lit("DXT1"))).when(i % 3 == 1, enc.le(F.lit(21))).otherwise(enc.text(F.lit("BC7 ")))
-    head = F.concat(
-        enc.text(F.lit("DDSx")), fmt, enc.le(i * 7), enc.le(i % 4096, 2), enc.le((i + 5) % 4096, 2), enc.le(i % 12, 1), F.unhex(F.lit("000000")),
-        enc.le(F.lit(32), 2), F.unhex(F.lit("0000")), enc.le(size), enc.le(packed),
-    )
-    return F.concat(head, body)
-
-
 @query("scan_texture_records", f"""
 WITH {_LINES}, po AS (SELECT *, strlen(line) AS size, CAST(3 + coalesce(sum(strlen(line) + 35) OVER (PARTITION BY file ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM li)
 SELECT file, pos, CAST(pos + 32 + size AS BIGINT) AS "end", CASE i % 3 WHEN 0 THEN 'DXT1' WHEN 1 THEN '21' ELSE 'BC7 ' END AS fmt, CAST(i * 7 AS BIGINT) AS flags, CAST(i % 4096 AS INT) AS w, CAST((i + 5) % 4096 AS INT) AS h,
   CAST(i % 12 AS INT) AS levels, CAST(size AS BIGINT) AS mem_sz, CAST(CASE WHEN i % 5 = 0 THEN 0 ELSE size END AS BIGINT) AS packed_sz FROM po""")
 def scan_texture_records(spark, sf):
-    d = table(spark, sf, "documents")
-    records = F.transform(F.split("text", "\n"), lambda s, i: F.concat(enc.text(F.lit("...")), _texture(F.octet_length(s), i, enc.text(s))))
-    # the last record claims more bytes than there are
-    torn = F.concat(enc.text(F.lit("DDSx")), enc.joined(F.array_repeat(F.unhex(F.lit("FFFFFF00")), 8)))
-    files = d.select(F.col("doc_id").alias("file"), F.concat(enc.joined(records), torn).alias("content"))
-    return binary.parse_texture_records(files).drop("bpp")
+    return binary.parse_texture_records(containers(spark, sf, enc.textures_of)).drop("bpp")
 
 
 @query("scan_pack_directory", f"""
 WITH {_LINES} SELECT file, CAST(i AS INT) AS entry_idx, CASE WHEN nm = '' THEN printf('tex_%04d', i) ELSE nm END AS name, CAST(i % 4096 AS INT) AS w, CAST(strlen(line) AS BIGINT) AS body_size, line_md5
 FROM (SELECT *, split_part(replace(replace(raw, '*', ''), '?', '_'), '$', 1) AS nm, md5(line) AS line_md5 FROM (SELECT *, CASE i % 3 WHEN 0 THEN split_part(line, ' ', 1) || '*' WHEN 1 THEN 'a?' || i || '$x' ELSE '$' || i END AS raw FROM li)) WHERE i % 7 <> 6""")
 def scan_pack_directory(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("file"), F.split("text", "\n").alias("ls"))
-    n = F.size("ls")
-    raw = F.transform("ls", lambda s, i: F.concat(
-        F.when(i % 3 == 0, F.concat(F.substring_index(s, " ", 1), F.lit("*"))).when(i % 3 == 1, F.concat(F.lit("a?"), i.cast("string"), F.lit("$x"))).otherwise(F.concat(F.lit("$"), i.cast("string"))), F.lit("\0")
-    ))
-    d = d.withColumn("raw", raw).withColumn("n", n)
-    # layout: 16 bytes, three section words, names table, headers, bodies table, strings, bodies
-    base = 16
-    names_at, heads_at, bodies_at = F.lit(64), 64 + F.col("n") * 8, 64 + F.col("n") * 40
-    strings_at, data_at = 64 + F.col("n") * 64, 64 + F.col("n") * 64 + F.octet_length(F.array_join("raw", ""))
-    sizes = lambda arr, i: F.octet_length(F.array_join(F.slice(arr, F.lit(1), i), ""))
-    names = F.transform("raw", lambda s, i: F.concat(enc.le(strings_at + sizes(F.col("raw"), i) - base), enc.le(F.lit(0))))
-    heads = F.transform("ls", lambda s, i: _texture(F.octet_length(s), i, F.unhex(F.lit(""))))
-    bodies = F.transform("ls", lambda s, i: F.concat(
-        F.unhex(F.lit("00" * 12)), enc.le(F.when(i % 7 == 6, F.lit(1 << 30)).otherwise(data_at + sizes(F.col("ls"), i))), enc.le(F.octet_length(s)), enc.le(F.lit(0)),
-    ))
-    section = lambda at: F.concat(enc.le(at - base), F.unhex(F.lit("00" * 12)))
-    content = F.concat(
-        enc.text(F.lit("DxP2")), enc.le(F.lit(0)), enc.le(F.col("n")), enc.le(F.lit(0)), section(names_at), section(heads_at), section(bodies_at),
-        enc.joined(names), enc.joined(heads), enc.joined(bodies), enc.text(F.array_join("raw", "")), enc.text(F.array_join("ls", "")),
-    )
-    files = d.select("file", content.alias("content"))
+    files = containers(spark, sf, enc.pack_of)
     found = binary.parse_pack_directory(files).join(files, "file")
     body = F.expr("substring(content, cast(body_offset + 1 as int), cast(body_size as int))")
     return found.select("file", "entry_idx", "name", "w", "body_size", F.md5(body).alias("line_md5"))
@@ -230,25 +185,5 @@ WITH {_LINES}, c AS (SELECT *, strlen(line) % 3 <> 0 AND strlen(line) > 0 AS p F
 SELECT file, CAST(i AS INT) AS cell, CAST(i % 250 AS INT) AS d0, CAST((i * 3 + 1) % 256 AS INT) AS d6, p AS populated, p AND strlen(line) % 2 = 0 AS has_tex2, CAST(n AS INT) AS cols, 32.0::DOUBLE AS cell_size
 FROM c QUALIFY avg(CAST(p AS INT)) OVER (PARTITION BY file) >= 0.02 AND file % 8 <> 7""")
 def scan_tile_cells(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("file"), F.split("text", "\n").alias("ls"))
-    size = lambda s: F.octet_length(s)
-    used = lambda s: (size(s) % 3 != 0) & (size(s) > 0)
-    second = lambda s: used(s) & (size(s) % 2 == 0)
-
-    def cell(s, i):
-        det = F.concat(enc.le(i % 250, 1), F.unhex(F.lit("FF01020304")), enc.le((i * 3 + 1) % 256, 1))
-        body = F.concat(enc.text(F.lit("DDSx")), enc.text(s), F.when(second(s), enc.text(F.lit("DDSx"))).otherwise(F.unhex(F.lit(""))))
-        total = F.when(used(s), F.octet_length(body)).otherwise(0)
-        offset = F.when(second(s), size(s) + 4).when(used(s) & (i % 2 == 0), F.lit(1)).otherwise(0)
-        return F.concat(det, enc.le(total), enc.le(offset), F.when(used(s), body).otherwise(F.unhex(F.lit(""))))
-
-    n = F.size("ls")
-    grid = F.concat(
-        enc.text(F.lit("...lndm")), enc.le(F.when(F.col("file") % 8 == 7, 3).otherwise(4)), F.unhex(F.lit("0000803F00000042")), enc.le(n), enc.le(F.lit(1)),
-        enc.le(F.lit(5)), enc.le(F.lit(6)), enc.le(F.lit(0)),
-        # mesh offset, offset of the detail data (counted from the mesh offset), name bytes and tables
-        enc.le(F.lit(0)), enc.le(F.lit(8)), enc.le(F.lit(11)), F.unhex(F.lit("00" * 16)), F.unhex(F.repeat(F.lit("00"), n * 4)), enc.text(F.lit("name.table.")),
-    )
-    content = F.concat(grid, enc.joined(F.transform("ls", cell)))
-    out = binary.parse_tile_cells(d.select("file", content.alias("content")))
+    out = binary.parse_tile_cells(containers(spark, sf, enc.cells_of))
     return out.select("file", "cell", F.col("det")[0].alias("d0"), F.col("det")[6].alias("d6"), "populated", "has_tex2", "cols", "cell_size")

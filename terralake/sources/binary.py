@@ -23,6 +23,7 @@ RECORD_LAYOUTS = {
     10: [("pool_idx", "<u2"), ("x", "<f4"), ("z", "<f4")],
 }
 RECORDS_PER_SLICE = 1 << 16
+ROWS_PER_FRAME = 1 << 15
 BLOCKS_START = 12
 TEXTURE_MAGIC = b"DDSx"
 TEXTURE_HEADER = "<4s4sIHHB3xH2xII"  # magic, format, flags, w, h, levels, bpp, memory, packed
@@ -37,18 +38,34 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "content")
 
 
+def _gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Join the small frames of many files into larger ones; handing each over costs milliseconds."""
+    held, size = [], 0
+    for frame in frames:
+        held.append(frame)
+        size += len(frame)
+        if size >= ROWS_PER_FRAME:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _per_file(files: DataFrame, rows: Callable[[bytes], Iterator[dict]], schema: str) -> DataFrame:
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    """One output row per dict that ``rows`` finds in a file."""
+    names = ["file"] + [part.strip().split(" ")[0] for part in schema.split(",")]
     kind = dict(files.dtypes)["file"]
 
     def run(batches):
+        held: list[dict] = []
         for pdf in batches:
             for file, content in zip(pdf["file"], pdf["content"]):
-                found = list(rows(bytes(content)))
-                if found:
-                    out = pd.DataFrame(found, columns=names)
-                    out.insert(0, "file", [file] * len(found))
-                    yield out
+                held.extend({"file": file, **row} for row in rows(bytes(content)))
+                if len(held) >= ROWS_PER_FRAME:
+                    yield pd.DataFrame(held, columns=names)
+                    held = []
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
     return files.select("file", "content").mapInPandas(run, f"file {kind}, {schema}")
 
@@ -74,7 +91,7 @@ def parse_instances(files: DataFrame, stride: int = 14, counts: DataFrame | None
         .repartition("file", "first")
     )
 
-    def run(batches):
+    def records(batches):
         for pdf in batches:
             for file, first, blob in zip(pdf["file"], pdf["first"], pdf["blob"]):
                 rows = np.frombuffer(bytes(blob), dtype=layout, count=len(blob) // stride)
@@ -84,7 +101,7 @@ def parse_instances(files: DataFrame, stride: int = 14, counts: DataFrame | None
                     "y": rows["y"].astype("float32") if "y" in layout.names else None, "z": rows["z"].astype("float32"),
                 })
 
-    parsed = slices.mapInPandas(run, f"file {kind}, idx long, pool_idx int, x float, y float, z float")
+    parsed = slices.mapInPandas(lambda batches: _gather(records(batches)), f"file {kind}, idx long, pool_idx int, x float, y float, z float")
     if counts is not None:
         parsed = parsed.join(counts.select("file", "n"), "file", "left").filter(
             F.col("n").isNull() | (F.col("idx") < F.col("n"))
@@ -149,15 +166,22 @@ def parse_png16(files: DataFrame) -> DataFrame:
     """Cells (``file, px, pz, v``) of 16-bit grey pictures with all 16 bits."""
     kind = dict(files.dtypes)["file"]
 
-    def run(batches):
+    def pictures(batches):
         for pdf in batches:
             for file, content in zip(pdf["file"], pdf["content"]):
-                width, _, rows = decode_png16(bytes(content))
-                for z, v in rows:
-                    yield pd.DataFrame({"file": [file] * width, "px": np.arange(width, dtype="int32"),
-                                        "pz": np.full(width, z, dtype="int32"), "v": v})
+                width, height, rows = decode_png16(bytes(content))
+                step = max(1, ROWS_PER_FRAME // max(width, 1))
+                lines = [v for _, v in rows]
+                for z in range(0, height, step):
+                    part = lines[z:z + step]
+                    yield pd.DataFrame({
+                        "file": [file] * (width * len(part)), "px": np.tile(np.arange(width, dtype="int32"), len(part)),
+                        "pz": np.repeat(np.arange(z, z + len(part), dtype="int32"), width), "v": np.concatenate(part),
+                    })
 
-    return files.select("file", "content").mapInPandas(run, f"file {kind}, px int, pz int, v int")
+    return files.select("file", "content").mapInPandas(
+        lambda batches: _gather(pictures(batches)), f"file {kind}, px int, pz int, v int"
+    )
 
 
 def read_raster_png16(spark: SparkSession, paths) -> DataFrame:
@@ -306,21 +330,9 @@ def _tile_cells(data: bytes, min_fill: float):
 
 def parse_tile_cells(files: DataFrame, min_fill: float = 0.02) -> DataFrame:
     """Terrain grid cells of level files; files with a broken or almost empty grid give no rows."""
-    kind = dict(files.dtypes)["file"]
-    names = ["cell", "tx", "tz", "det", "populated", "has_tex2", "cols", "rows", "cell_size", "origin_x", "origin_z"]
-
-    def run(batches):
-        for pdf in batches:
-            for file, content in zip(pdf["file"], pdf["content"]):
-                found = list(_tile_cells(bytes(content), min_fill))
-                if found:
-                    out = pd.DataFrame(found, columns=names)
-                    out.insert(0, "file", [file] * len(found))
-                    yield out
-
-    return files.select("file", "content").mapInPandas(
-        run,
-        f"file {kind}, cell int, tx int, tz int, det array<int>, populated boolean, has_tex2 boolean, cols int, rows int,"
+    return _per_file(
+        files, lambda data: _tile_cells(data, min_fill),
+        "cell int, tx int, tz int, det array<int>, populated boolean, has_tex2 boolean, cols int, rows int,"
         " cell_size double, origin_x int, origin_z int",
     )
 
