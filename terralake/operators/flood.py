@@ -111,12 +111,13 @@ def component_roots(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         shared = current.groupBy("map_id", "a").count().filter("count > 1")
         if deeper.select("map_id").unionByName(shared.select("map_id")).isEmpty():
             return current.select("map_id", "a", F.col("b").alias("root"))
-        both = current.unionByName(current.select("map_id", F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("map_id", "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (
-            both.filter("b > a").join(lowest, ["map_id", "a"])
-            .select("map_id", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        )
+        # Large star: the higher end of every edge moves to the lowest neighbour of the lower end.
+        # The lower end of many edges may be one node; adaptive execution splits that side.
+        lowest = current.groupBy("map_id", F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        large = current.join(lowest, ["map_id", "b"], "left").select(
+            "map_id", "a", F.coalesce("m", "b").alias("b")
+        ).distinct()
+        # Small star: all lower neighbours of a node, and the node itself, move to the lowest of them.
         least = large.groupBy("map_id", "a").agg(F.min("b").alias("m"))
         small = (
             large.join(least, ["map_id", "a"]).filter("b <> m").select("map_id", F.col("b").alias("a"), F.col("m").alias("b"))
