@@ -205,7 +205,7 @@ def test_equal_slope_stays_visible(spark):
 
 def occupancy(spark, x, top):
     occ = spark.createDataFrame([(0, int(x), 0, float(top))], "map_id long, gx int, gz int, top double")
-    return occ, spark.createDataFrame([(0, 0.0, 0.0, 1.0)], "map_id long, x0 double, z0 double, cell double")
+    return occ, spark.createDataFrame([(0, 0.0, 0.0, 1.0, 100, 100)], "map_id long, x0 double, z0 double, cell double, cols int, rows int")
 
 
 def test_object_before_the_first_step_blocks_the_ray(spark):
