@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .packing import pack_texts
+from .personal import find_personal, label_runs, train_crf
 from .shards import shard_levels
 from .tables import read
 from .urls import judge_urls
 
+def op1_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = train_crf(label_runs(documents, "text").toPandas())
+    return find_personal(documents, model, key="doc_id", text="text")
+
+
 SHARDS = [(s, 1.0) for s in range(40)]
 
 
@@ -23,6 +31,16 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("key"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_texts(read(spark, sf_dir, "documents"), tokenizer_path(), key="doc_id", text="text")
+
+
 #: host, path, verdict
 URL_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
