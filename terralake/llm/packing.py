@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -12,66 +11,61 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .words import LOWER, row_groups, text_bytes, word_bounds, word_hashes
+
 PIECES = "length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-BLANK = re.compile("[ \n\t]+")
-TRAILING = re.compile("([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([,.|%$&#*!]+)")
-SLICE = 1 << 20
+NOT_BLANK = np.ones(256, bool)
+NOT_BLANK[[9, 10, 32]] = False
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[list(b",.|%$&#*!")] = True
+
+
+def _segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words between blanks; punctuation behind a letter of a plain alphabet is a segment of its own."""
+    letter = LETTER[data]
+    if len(data) > 1:
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    cuts = np.zeros(len(data), bool)
+    cuts[1:] = letter[:-1] & PUNCTUATION[data[1:]]
+    return word_bounds(data, offsets, NOT_BLANK, cuts)
 
 
-def word_encoder(path: str, most: int = 600_000) -> Callable[[list[str]], list[np.ndarray]]:
-    """Ids of whole texts, for tokenizers whose tokens never span blanks, nor a letter and the punctuation after it.
+def word_encoder(path: str, most: int = 400_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Ids of whole texts and their number per text, for tokenizers that ignore blanks and case and never span a blank, nor a letter
+    and the punctuation behind it.
 
-    Words repeat, so their ids are kept (at most ``most`` of them) and unseen ones are encoded in batches; a plain word and its
-    trailing punctuation count as two. Long texts are taken in slices that end at a blank, so that no list of all their words is made.
+    Words repeat: each distinct one of a group of texts is encoded once, unless it is among the (at most ``most``) words known.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the other cores have tasks of their own
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    words: dict[str, bytes] = {}
-    parts: dict[str, bytes] = {}
-
-    def pieces(word: str) -> tuple[str, ...]:
-        m = TRAILING.fullmatch(word)
-        return tuple(p.lower() if p.isascii() else p for p in (m.groups() if m else (word,)))
-
-    def learn(unseen: set[str]) -> None:
-        cut = {w: pieces(w) for w in unseen}
-        new = list({p for ps in cut.values() for p in ps if p not in parts})
-        for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            parts[p] = np.asarray(e.ids, "<u4").tobytes()
-        for w, ps in cut.items():
-            words[w] = b"".join([parts[p] for p in ps])
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        done: list[list[bytes]] = [[] for _ in texts]
-        waiting: list[tuple[int, list[str]]] = []
-        held = 0
-
-        def flush() -> None:
-            nonlocal held
-            needed = set().union(*[w for _, w in waiting])
-            if len(words) + len(needed) > most:
-                words.clear()
-                parts.clear()
-            learn(needed - words.keys())
-            for i, split in waiting:
-                done[i].append(b"".join([words[w] for w in split]))
-            waiting.clear()
-            held = 0
-
-        for i, text in enumerate(texts):
-            at = 0
-            while at < len(text):
-                end = len(text)
-                if end - at > SLICE and (m := BLANK.search(text, at + SLICE)):
-                    end = m.end()
-                waiting.append((i, BLANK.split(text[at:end])))
-                held, at = held + end - at, end
-                if held >= SLICE:
-                    flush()
-        flush()
-        return [np.frombuffer(b"".join(d), "<u4") for d in done]
+    known: dict[int, np.ndarray] = {}
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = text_bytes(texts)
+        data = LOWER[data]
+        starts, ends = _segments(data, offsets)
+        hashes, first, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        if len(known) + len(keys) > most:
+            known.clear()
+        unseen = [i for i, k in enumerate(keys) if k not in known]
+        at = first[unseen]
+        text = data.tobytes()
+        fresh = [text[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+        for i, e in zip(unseen, tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            known[keys[i]] = np.array(e.ids, "<u4")
+        own = [known[k] for k in keys]
+        size = np.array([len(x) for x in own], np.int64)
+        flat, begin = np.concatenate([np.zeros(0, "<u4"), *own]), np.cumsum(size) - size
+        count = size[inverse]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids = flat[np.repeat(begin[inverse] - upto[:-1], count) + np.arange(upto[-1])]
+        per_text = np.diff(upto[np.searchsorted(starts, offsets)])
+        return ids, per_text
 
     return encode
 
@@ -151,11 +145,12 @@ def pack_texts(mission_files: DataFrame, tokenizer: str, key: str = "file", text
         for batch in batches:
             schema = pa.schema([pa.field("key", batch.schema.field(0).type), *[pa.field(n, pa.int64()) for n in
                                ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for k, got in zip(some.column(0).to_pylist(), encode([t or "" for t in some.column(1).to_pylist()])):
+            for low, high in row_groups(text_bytes(batch.column(1))[1]):
+                flat, sizes = encode(batch.column(1).slice(low, high - low))
+                ends = np.cumsum(sizes)
+                for k, start, end in zip(batch.column(0).slice(low, high - low).to_pylist(), ends - sizes, ends):
                     keys.append(k)
-                    ids.append(np.append(got, np.array([end_id], "<u4")))
+                    ids.append(np.append(flat[start:end], np.array([end_id], "<u4")))
                     held += len(ids[-1])
                     if held >= group_tokens:
                         out, first = _pack(keys, ids, first, most, linear, quadratic, schema)
