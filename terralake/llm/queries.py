@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .contamination import contaminated
+from .nearest import highest_products
 from .packing import pack_texts
 from .personal import find_personal, label_runs, train_crf
 from .shards import shard_levels
@@ -20,6 +21,11 @@ def op1_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal(documents, model, key="doc_id", text="text")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return highest_products(vectors, F.col("vec_id") % 100 == 0, key="vec_id", vector="embedding").withColumnRenamed("id", "vec_id")
+
+
 def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -75,6 +81,16 @@ FROM parts
 """
 
 
+OP2_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c
+  ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10
+"""
+
+
 OP3_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
     coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
@@ -99,4 +115,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_contamination": OP3_SQL, "op8_urls": OP8_SQL}
+    return {"op2_nearest": OP2_SQL, "op3_contamination": OP3_SQL, "op8_urls": OP8_SQL}
