@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .contamination import contaminated
 from .nearest import highest_products
 from .packing import pack_texts
 from .personal import find_personal, label_runs, train_crf
+from .quality import feature_bins, fit_quality, judge_quality
+from .rendering import render_pages
 from .shards import shard_levels
 from .tables import read
 from .urls import judge_urls
@@ -52,6 +55,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(read(spark, sf_dir, "documents"), tokenizer_path(), key="doc_id", text="text")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = cut(read(spark, sf_dir, "documents").select("doc_id", "source", "lang", feature_bins("text").alias("bins")), "features")
+    evidence, priors = fit_quality(documents, read(spark, sf_dir, "labels"), host="source", path="lang")
+    return judge_quality(documents, evidence, priors, host="source", path="lang")
+
+
+def op10_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render_pages(read(spark, sf_dir, "pages"))
+
+
 #: host, path, verdict
 URL_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
