@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .contamination import contaminated
+from .copies import near_copies
 from .nearest import highest_products
 from .packing import pack_texts
 from .personal import find_personal, label_runs, train_crf
@@ -45,6 +46,10 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("key"))
 
 
+def op5_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(read(spark, sf_dir, "documents"), key="doc_id", text="text")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
