@@ -15,6 +15,7 @@ from .packing import pack_texts
 from .personal import find_personal, label_runs, train_crf
 from .quality import feature_bins, fit_quality, judge_quality
 from .rendering import render_pages
+from .repeats import remove_repeats
 from .shards import shard_levels
 from .tables import read
 from .urls import judge_urls
@@ -70,6 +71,10 @@ def op10_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_pages(read(spark, sf_dir, "pages"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"), key="doc_id", content="text")
+
+
 #: host, path, verdict
 URL_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
