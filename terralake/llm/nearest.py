@@ -84,12 +84,12 @@ def _search(k: int, leaf: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(queries):
-            vectors, asked = np.stack(rows["v"].to_list()), np.stack(queries["v"].to_list())
+            vectors, asked = np.stack(rows["v"].to_list()), np.stack(queries["q_v"].to_list())
             largest = max(int(np.abs(vectors).max(initial=0)), 1) * max(int(np.abs(asked).max(initial=0)), 1)
             if largest * max(1, vectors.shape[1]) < 1 << 53:  # then doubles are exact, and fast
                 vectors, asked = vectors.astype(float), asked.astype(float)
             tree = Tree(rows["id"].to_numpy(np.int64), vectors, leaf)
-            for own, q, s, i in zip(queries["id"], asked, queries["bound"], queries["bound_id"]):
+            for own, q, s, i in zip(queries["q_id"], asked, queries["bound"], queries["bound_id"]):
                 out += [(own, i2, s2) for s2, i2 in tree.search(own, q, k, None if pd.isna(s) else (int(s), int(i)))]
         return pd.DataFrame(out, columns=["query", "id", "score"]).astype("int64")
 
@@ -118,19 +118,20 @@ def highest_products(textures: DataFrame, queries: Column, key: str = "entry_idx
     shards, blocks = max(1, -(-counts["n"] // shard_rows)), max(1, -(-counts["q"] // block_rows))
     spread = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
     rows = records.withColumn("shard", spread(shards, 1)).select("dims", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
-    asked = records.filter("asked").select("dims", spread(shards, 1).alias("home"), spread(blocks, 2).alias("block"), "id", "v")
+    asked = records.filter("asked").select(
+        F.col("dims").alias("q_dims"), spread(shards, 1).alias("home"), spread(blocks, 2).alias("q_block"), F.col("id").alias("q_id"), F.col("v").alias("q_v")
+    )
     none = {"bound": F.lit(None).cast("long"), "bound_id": F.lit(None).cast("long")}
 
     def search(some: DataFrame) -> DataFrame:
-        by = ["dims", "shard", "block"]
-        return some.groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(_search(k, leaf), "query long, id long, score long")
+        return some.groupBy("q_dims", "q_shard", "q_block").cogroup(rows.groupBy("dims", "shard", "block")).applyInPandas(_search(k, leaf), "query long, id long, score long")
 
-    first = cut(search(asked.withColumnsRenamed({"home": "shard"}).withColumns(none)), "first")
+    first = cut(search(asked.withColumnsRenamed({"home": "q_shard"}).withColumns(none)), "first")
     if shards > 1:
         kth = first.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("score", (-F.col("id")).alias("id"))).alias("w"))
-        kth = kth.filter(F.col("n") >= k).select(F.col("query").alias("id"), F.col("w.score").alias("bound"), (-F.col("w.id")).alias("bound_id"))
+        kth = kth.filter(F.col("n") >= k).select(F.col("query").alias("q_id"), F.col("w.score").alias("bound"), (-F.col("w.id")).alias("bound_id"))
         others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("home"))
-        bounded = asked.join(kth, "id", "left").withColumn("shard", F.explode(others)).drop("home")
+        bounded = asked.join(kth, "q_id", "left").withColumn("q_shard", F.explode(others)).drop("home")
         first = first.unionByName(search(bounded))
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
     return first.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "id", "score")
