@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .filters import bit_filter, in_filter
 from .words import ALNUM, LOWER, row_groups, shingle_hashes, text_bytes, word_bounds, word_hashes
 
 
@@ -49,29 +50,12 @@ def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text"
     return named.mapInArrow(windows, "item string, words array<string>, shingles array<long>").dropDuplicates(["item", "words"])
 
 
-def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Bits set for the column ``token`` of ``hashes``: at most ``bits / 64`` rows reach the driver, however long the column is."""
-    slot = F.expr(f"token & {bits - 1}L")
-    rows = (
-        hashes.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast((token & {bits - 1}L) & 63 as int))").alias("bit"))
-        .groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    )
-    out = np.zeros(bits // 64, np.int64)
-    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
-def _listed(hashes: np.ndarray, filter_: np.ndarray) -> np.ndarray:
-    slot = hashes & np.uint64(len(filter_) * 64 - 1)
-    return (filter_[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
-
-
 def _listed_shingles(starts: np.ndarray, hashes: np.ndarray, first: np.ndarray, sizes: list[int], filter_: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions and hashes of the shingles in the filter that don't cross from one row into the next."""
     last = np.repeat(first[1:], np.diff(first))  # end of the row of every word
     for n in sizes:
         grams = shingle_hashes(hashes, n)
-        at = np.flatnonzero(_listed(grams, filter_) & (np.arange(len(grams)) + n <= last[:len(grams)]))
+        at = np.flatnonzero(in_filter(grams, filter_) & (np.arange(len(grams)) + n <= last[:len(grams)]))
         if len(at):
             yield at, grams[at]
 

@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .contamination import bit_filter
+from .filters import listed
 from .words import BLOCK, mix, powers, row_groups, text_bytes
 
 GRAM = 32  # bytes of an anchor
@@ -201,18 +201,6 @@ def _keyed(files: DataFrame, content: str) -> DataFrame:
     return files.withColumns({"text": text, "k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)})
 
 
-def _listed(keys: DataFrame, bits: int) -> Column:
-    """Condition on ``k1``: true for all keys of ``keys`` (and few others), by a filter of ``bits`` bits."""
-    shared = keys.sparkSession.sparkContext.broadcast(bit_filter(keys.select(F.col("k1").alias("token")), bits))
-
-    @F.pandas_udf("boolean")
-    def listed(k1: pd.Series) -> pd.Series:
-        slot = k1.to_numpy(np.int64).view(np.uint64) & np.uint64(bits - 1)
-        return pd.Series((shared.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0, index=k1.index)
-
-    return listed(F.col("k1"))
-
-
 def repeated_spans(keyed: DataFrame, length: int = 200, block_pieces: int = 4000, filter_bits: int = 1 << 22) -> DataFrame:
     """``k1, k2, spans`` for the texts of ``keyed`` (``k1, k2, text``) with bytes that a string of ``length`` bytes covers which also starts elsewhere.
 
@@ -234,7 +222,7 @@ def repeated_spans(keyed: DataFrame, length: int = 200, block_pieces: int = 4000
     crowd = crowd.select("anchor", F.ceil(F.col("pieces") / block_pieces).cast("int").alias("blocks"))
     sized = pieces.join(crowd, "anchor")
     wanted = sized.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "piece", "n", "start", "windows", "ahead", "blocks")).alias("own"))
-    once = keyed.filter(_listed(pieces, filter_bits)).select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
+    once = keyed.filter(listed(pieces.select(F.col("k1").alias("token")), F.col("k1"), filter_bits)).select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
 
     def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -271,7 +259,7 @@ def remove_repeats(files: DataFrame, key: str = "file", content: str = "body", l
     keyed = _keyed(files.select(key, content), content)
     spans = cut(repeated_spans(keyed, length, filter_bits=filter_bits), "spans")
     named = keyed.select(F.col(key).alias("key"), "text", "k1", "k2")
-    maybe = _listed(spans, filter_bits)
+    maybe = listed(spans.select(F.col("k1").alias("token")), F.col("k1"), filter_bits)
     marked = named.filter(maybe).join(spans, ["k1", "k2"], "left").select("key", "text", "spans")
     rest = named.filter(~maybe).select("key", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     kind = dict(files.dtypes)[key]
