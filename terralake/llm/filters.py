@@ -34,3 +34,13 @@ def listed(hashes: DataFrame, column: Column, bits: int = 1 << 22) -> Column:
         return pd.Series(in_filter(tokens.to_numpy(np.int64).view(np.uint64), shared.value), index=tokens.index)
 
     return test(column)
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` isn't among the keys of ``gone``; rows with a null key stay.
+
+    Only rows that the bit filter holds back are shuffled to be compared exactly.
+    """
+    token = F.xxhash64(key)
+    held = listed(gone.select(token.alias("token")), token)
+    return rows.filter(~held).unionByName(rows.filter(held).join(gone.select(key).distinct(), key, "left_anti"))

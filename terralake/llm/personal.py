@@ -232,6 +232,26 @@ def label_runs(results: DataFrame, text: str = "error", most: int = 4000) -> Dat
     return sample.mapInPandas(tagged, "before string, words array<string>, tags array<string>")
 
 
+def _spans(texts: Sequence[str | None], model: dict[str, np.ndarray]) -> tuple[list[list], list[list]]:
+    """Spans of the patterns, and those that the field adds, for every text."""
+    texts = [t if isinstance(t, str) else "" for t in texts]
+    bases, added = [pattern_spans(t) for t in texts], [[] for _ in texts]
+    where, features = [], []
+    for i, t in enumerate(texts):
+        for before, words in runs(t):
+            where.append((i, words))
+            features.append(np.array(token_features(before, [t[s:e] for s, e in words])))
+    for (i, words), labels in zip(where, viterbi(model, features)):
+        if labels.any():
+            added[i] += [s for s in label_spans(texts[i], words, labels) if not any(s[0] < e and b < s[1] for b, e, _ in bases[i])]
+    return bases, added
+
+
+def all_spans(texts: Sequence[str | None], model: dict[str, np.ndarray]) -> list[list[tuple[int, int, str]]]:
+    """All spans of every text, by start, then kind as listed."""
+    return [sorted([*b, *a], key=lambda s: (s[0], KINDS.index(s[2]))) for b, a in zip(*_spans(texts, model))]
+
+
 def find_personal(results: DataFrame, model: dict[str, np.ndarray], key: str = "map_id", text: str = "error") -> DataFrame:
     """Personal data in the texts of build results (error texts by ``map_id``, which quote addresses and accounts).
 
@@ -245,23 +265,11 @@ def find_personal(results: DataFrame, model: dict[str, np.ndarray], key: str = "
     kind = dict(results.dtypes)[key]
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        order = {k: i for i, k in enumerate(KINDS)}
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            bases = [pattern_spans(t) for t in texts]
-            where, features = [], []
-            for i, t in enumerate(texts):
-                for before, words in runs(t):
-                    where.append((i, words))
-                    features.append(np.array(token_features(before, [t[s:e] for s, e in words])))
-            added: list[list] = [[] for _ in texts]
-            for (i, words), labels in zip(where, viterbi(model, features)):
-                if labels.any():
-                    added[i] += label_spans(texts[i], words, labels)
+            bases, added = _spans(batch["text"], model)
             rows = []
             for k, base, more in zip(batch["key"], bases, added):
-                more = [s for s in more if not any(s[0] < e and b < s[1] for b, e, _ in base)]
-                both = sorted([*base, *more], key=lambda s: (s[0], order[s[2]]))
+                both = sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[2])))
                 text_of = lambda spans: ",".join(f"{n}:{s}:{e}" for s, e, n in spans)
                 counts = [sum(s[2] == n for s in base) for n in KINDS]
                 rows.append((k, *counts, hashlib.sha256(text_of(base).encode()).hexdigest(), text_of(both), len(more)))
@@ -270,3 +278,23 @@ def find_personal(results: DataFrame, model: dict[str, np.ndarray], key: str = "
     named = results.select(results[key].alias("key"), results[text].alias("text"))
     counts = ", ".join(f"n_{n} long" for n in KINDS)
     return named.mapInPandas(found, f"key {kind}, {counts}, base_sha256 string, spans string, n_added long").withColumnRenamed("key", key)
+
+
+def redact_personal(results: DataFrame, model: dict[str, np.ndarray], text: str = "error") -> DataFrame:
+    """``results`` with every span of personal data, of the patterns and of the field, replaced by its kind in angle brackets.
+
+    Overlapping spans become one replacement, with the kind of the first. Null texts stay null; all other columns stay as they are.
+    """
+    @F.pandas_udf("string")
+    def redacted(texts: pd.Series) -> pd.Series:
+        out = []
+        for t, spans in zip(texts, all_spans(texts, model)):
+            parts, upto = [], 0
+            for start, end, kind in spans if isinstance(t, str) else []:
+                if start >= upto:
+                    parts += [t[upto:start], f"<{kind}>"]
+                upto = max(upto, end)
+            out.append("".join([*parts, t[upto:]]) if parts else t)
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    return results.withColumn(text, redacted(F.col(text)))
