@@ -43,8 +43,17 @@ def word_encoder(path: str, most: int = 400_000) -> Callable[[pa.Array], tuple[n
 
     tokenizer = Tokenizer.from_file(path)
     known: dict[int, np.ndarray] = {}
+    special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data = text_bytes(texts)[0].tobytes()
+        if not any(s in data for s in special):
+            return by_words(texts)
+        # strings of special tokens are found before words are, so that their texts are encoded as they are
+        parts = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts.to_pylist()]
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def by_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = text_bytes(texts)
         data = LOWER[data]
         starts, ends = _segments(data, offsets)

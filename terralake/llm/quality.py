@@ -67,11 +67,14 @@ def text_features(texts: pa.Array) -> np.ndarray:
     return np.concatenate(out).astype(np.int8) if out else np.zeros((0, N_FEATURES), np.int8)
 
 
-@F.pandas_udf("array<tinyint>")
-def feature_bins(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def feature_bins(text: str) -> Column:
     """Feature bins of a text column; a null text counts as empty."""
-    for batch in texts:
-        yield pd.Series(list(text_features(pa.array(batch, pa.string(), from_pandas=True))), index=batch.index)
+    @F.pandas_udf("array<tinyint>")
+    def bins(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series(list(text_features(pa.array(batch, pa.string(), from_pandas=True))), index=batch.index, dtype=object)
+
+    return bins(F.col(text))
 
 
 @dataclass
