@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.flood import component_roots
 from ..session import cut
+from .filters import listed
 from .words import INK, LOWER, mix, row_groups, shingle_hashes, text_bytes, word_bounds, word_hashes
 
 TREES = 24
@@ -69,7 +70,7 @@ def sketch(mission_files: DataFrame, key: str, text: str) -> DataFrame:
     """Per text: size of its shingle set, fingerprint of the set, sketch and signature by tree (null for an empty set)."""
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in row_groups(text_bytes(batch.column(1))[1], 1 << 21):
+            for low, high in row_groups(text_bytes(batch.column(1))[1], 1 << 20):
                 some = batch.slice(low, high - low)
                 sets = shingle_sets(some.column(1))
                 n = np.array([len(s) for s in sets], np.int64)
@@ -201,13 +202,15 @@ def verified_links(pairs: DataFrame, mission_files: DataFrame, distinct: DataFra
     group = F.pmod(F.xxhash64("cluster", "part"), F.lit(max(1, -(-total // task_bytes)))).alias("group")
     named = mission_files.select(mission_files[key].cast("long").alias("id"), mission_files[text].alias("text"))
     wanted = sized.select(group, "id", "print1", "print2").distinct()
+    # only texts that some check needs are shuffled, whatever join Spark picks
+    named = named.filter(F.col("id").isNotNull()).filter(listed(wanted.select(F.xxhash64("id").alias("token")), F.xxhash64("id")))
     texts = wanted.join(named, "id").dropDuplicates(["group", "id"]).select("group", "id", "text")
     return pairs.select(group, "cluster", "a", "b").groupBy("group").cogroup(texts.groupBy("group")).applyInPandas(
         _verified(percent, all_pairs), "a long, b long"
     )
 
 
-def near_copies(mission_files: DataFrame, key: str = "file", text: str = "value", percent: int = 80, task_bytes: int = 1 << 24,
+def near_copies(mission_files: DataFrame, key: str = "file", text: str = "value", percent: int = 80, task_bytes: int = 1 << 23,
                 small_cluster: int = 1000, all_pairs: int = 64) -> DataFrame:
     """Classes of near copies among texts (mission files by a numeric ``file``): ``<key>, n_shingles, component_id, kept``, one row per row.
 
