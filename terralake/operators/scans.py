@@ -16,10 +16,19 @@ CHUNK = 1 << 16
 SALTS = 32
 
 
+def join_keyed(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where a null key equals a null key, so that no row is lost; the keys appear once."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def _scan(df: DataFrame, part: Sequence[str], order: str, value, out: str, agg, inclusive: bool,
           chunk: int) -> DataFrame:
     keys = [*part, "_chunk"]
-    tagged = df.withColumn("_chunk", F.expr(f"`{order}` div {chunk}")).withColumn("_value", value)
+    # a row without a place in the order has no running value: better to stop than to leave it out
+    place = f"coalesce(`{order}`, cast(raise_error('column {order} orders a running value and must not be null') AS BIGINT))"
+    tagged = df.withColumn("_chunk", F.expr(f"{place} div {chunk}")).withColumn("_value", value)
     before = W.partitionBy(*part).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     carry = (
         tagged.groupBy(*keys).agg(agg("_value").alias("_total"))
@@ -30,7 +39,7 @@ def _scan(df: DataFrame, part: Sequence[str], order: str, value, out: str, agg,
         W.unboundedPreceding, W.currentRow if inclusive else -1
     )
     local = tagged.withColumn("_local", agg("_value").over(frame))
-    return local.join(carry, keys)
+    return join_keyed(local, carry, keys)
 
 
 def fan_out(df: DataFrame, *by) -> DataFrame:
@@ -70,7 +79,7 @@ def delta_decode(df: DataFrame, part: Sequence[str], order: str, value: str, mod
     return summed.withColumn(out, F.pmod(F.col(out), F.lit(modulus)).cast("int"))
 
 
-def running_max_slope(rays: DataFrame, part: Sequence[str] = ("observer", "ray"), order: str = "step",
+def running_max_slope(rays: DataFrame, part: Sequence[str] = ("map_id", "observer", "ray"), order: str = "step",
                       slope: str = "slope", out: str = "max_before") -> DataFrame:
     """Largest slope of the earlier steps of a ray, -1e10 at the first one.
 
@@ -80,7 +89,7 @@ def running_max_slope(rays: DataFrame, part: Sequence[str] = ("observer", "ray")
     return rays.withColumn(out, F.coalesce(F.max(slope).over(before), F.lit(-1e10)))
 
 
-def sticky_block(rays: DataFrame, part: Sequence[str] = ("observer", "ray"), order: str = "step",
+def sticky_block(rays: DataFrame, part: Sequence[str] = ("map_id", "observer", "ray"), order: str = "step",
                  flag: str = "blocked", out: str = "hidden") -> DataFrame:
     """True from the first blocked step of a ray onwards."""
     upto = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -146,6 +155,6 @@ def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "
     shift = sizes.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return (
-        placed.withColumn("_local", local).join(shift, keys)
+        join_keyed(placed.withColumn("_local", local), shift, keys)
         .withColumn(out, F.col("_local") + F.col("_shift")).drop("_chunk", "_local", "_shift")
     )

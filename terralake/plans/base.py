@@ -62,7 +62,7 @@ VIEWS: dict[str, str] = {
           CAST((l_partkey * 7 + l_suppkey * 3 + l_linenumber) % 3000 AS DOUBLE) / 10 AS z
         FROM {lineitem}""",
     "fx_observers": """
-        SELECT CAST(s_suppkey AS BIGINT) AS observer, CAST(FLOOR(s_suppkey / 10) AS BIGINT) AS map_id,
+        SELECT CAST(s_suppkey % 10 AS BIGINT) AS observer, CAST(FLOOR(s_suppkey / 10) AS BIGINT) AS map_id,
           CAST((s_suppkey * 37) % 500 AS DOUBLE) AS x, CAST((s_suppkey * 53) % 300 AS DOUBLE) AS z
         FROM {supplier}""",
     "fx_zones": """
@@ -101,7 +101,7 @@ VIEWS: dict[str, str] = {
         SELECT DISTINCT CAST(FLOOR(l_orderkey / 1500) AS BIGINT) AS map_id,
           CASE CAST(l_linenumber % 3 AS INT) WHEN 0 THEN REPLACE(p_name, ' ', '_') WHEN 1 THEN LOWER(p_type) || '_tex_d'
             ELSE REPLACE(p_name, ' ', '_') || '_' || CAST(p_partkey % 7 AS STRING) || '_tex_d' END AS name
-        FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_returnflag = 'R'""",
+        FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "fx_spans": """
         SELECT user_id AS file, CAST((event_id * 37) % 10000 AS BIGINT) AS "start",
           CAST((event_id * 37) % 10000 + 1 + FLOOR(value) AS BIGINT) AS "end"

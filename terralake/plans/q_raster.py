@@ -309,26 +309,26 @@ pos AS (SELECT *, ox + dx * dist AS x, oz + dz * dist AS z FROM w),
 sam AS (SELECT p.*, CAST(coalesce(r.h, l.v_min) AS DOUBLE) AS h FROM pos p JOIN fx_layers l ON l.map_id = p.map_id LEFT JOIN fx_raster r ON p.x BETWEEN 0 AND 500 AND p.z BETWEEN 0 AND 300
   AND r.map_id = p.map_id AND r.px = floor(p.x / 500 * 49 + 0.5) AND r.pz = floor(p.z / 300 * 29 + 0.5)),
 sl AS (SELECT *, (h - eye) / dist AS slope FROM sam),
-seen AS (SELECT *, coalesce(max(slope) OVER (PARTITION BY observer, ray ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e10) AS before FROM sl)
+seen AS (SELECT *, coalesce(max(slope) OVER (PARTITION BY map_id, observer, ray ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e10) AS before FROM sl)
 """
 
 
 @query("viewshed", f"""
-WITH {_SIGHT} SELECT observer, count(*) AS steps, count(*) FILTER (slope >= before) AS visible, CAST(sum(CASE WHEN slope >= before THEN ray * step ELSE 0 END) AS BIGINT) AS mark FROM seen GROUP BY observer""")
+WITH {_SIGHT} SELECT map_id, observer, count(*) AS steps, count(*) FILTER (slope >= before) AS visible, CAST(sum(CASE WHEN slope >= before THEN ray * step ELSE 0 END) AS BIGINT) AS mark FROM seen GROUP BY map_id, observer""")
 def viewshed_terrain(spark, sf):
     v = viewshed.viewshed(view(spark, sf, "fx_observers"), base_raster(spark, sf), view(spark, sf, "fx_layers"), rays=RAYS, range_m=RANGE, step_m=STEP)
-    return v.groupBy("observer").agg(
+    return v.groupBy("map_id", "observer").agg(
         F.count(F.lit(1)).alias("steps"), F.count_if("visible").alias("visible"),
         F.sum(F.when(F.col("visible"), F.col("ray") * F.col("step")).otherwise(0)).alias("mark"),
     )
 
 
-@query("running_max_slope", f"WITH {_SIGHT} SELECT observer, ray, step, round(before, 6) AS max_before FROM seen")
+@query("running_max_slope", f"WITH {_SIGHT} SELECT map_id, observer, ray, step, round(before, 6) AS max_before FROM seen")
 def running_max_slope(spark, sf):
     eyes = sampling.sample_layers(view(spark, sf, "fx_observers"), base_raster(spark, sf), view(spark, sf, "fx_layers"), outside="min", out="_g")
     walked = viewshed.cast_rays(eyes.withColumn("eye", F.col("_g") + 5.0).select("observer", "map_id", "x", "z", "eye"), RAYS, N_STEPS, STEP)
     seen = viewshed.terrain_visibility(sampling.sample_layers(walked, base_raster(spark, sf), view(spark, sf, "fx_layers"), outside="min"))
-    return seen.select("observer", "ray", "step", F.round("max_before", 6).alias("max_before"))
+    return seen.select("map_id", "observer", "ray", "step", F.round("max_before", 6).alias("max_before"))
 
 
 @query("sticky_block", """
@@ -343,9 +343,9 @@ _BLOCKED = f"""
 sub AS (SELECT s.*, unnest(generate_series(0, CAST(least(greatest(ceil({STEP} / greatest(0.5, cell)), 1), 8) AS INT) - 1)) AS c, least(greatest(ceil({STEP} / greatest(0.5, cell)), 1), 8) AS n, x0 AS gx0, z0 AS gz0, cell
   FROM seen s JOIN gd ON gd.map_id = s.map_id WHERE slope >= before),
 tt AS (SELECT *, (dist - {STEP}) + {STEP} * ((c + 0.5) / n) AS t FROM sub),
-hit AS (SELECT tt.observer, tt.ray, min(step) AS hidden_from FROM tt JOIN occ ON occ.map_id = tt.map_id AND occ.gx = floor((ox + dx * t - gx0) / cell) AND occ.gz = floor((oz + dz * t - gz0) / cell)
+hit AS (SELECT tt.map_id, tt.observer, tt.ray, min(step) AS hidden_from FROM tt JOIN occ ON occ.map_id = tt.map_id AND occ.gx = floor((ox + dx * t - gx0) / cell) AND occ.gz = floor((oz + dz * t - gz0) / cell)
   WHERE top > 0 AND top > eye + before * t GROUP BY ALL),
-los AS (SELECT s.*, s.slope >= s.before AND (hidden_from IS NULL OR step < hidden_from) AS visible FROM seen s LEFT JOIN hit USING (observer, ray))
+los AS (SELECT s.*, s.slope >= s.before AND (hidden_from IS NULL OR step < hidden_from) AS visible FROM seen s LEFT JOIN hit USING (map_id, observer, ray))
 """
 
 
@@ -359,25 +359,25 @@ def blocked_view(spark, sf, packed=False):
 
 
 @query("viewshed_objects", f"""
-WITH {_BLOCKED} SELECT observer, count(*) FILTER (visible) AS visible, CAST(sum(CASE WHEN visible THEN ray * step ELSE 0 END) AS BIGINT) AS mark FROM los GROUP BY observer""")
+WITH {_BLOCKED} SELECT map_id, observer, count(*) FILTER (visible) AS visible, CAST(sum(CASE WHEN visible THEN ray * step ELSE 0 END) AS BIGINT) AS mark FROM los GROUP BY map_id, observer""")
 def viewshed_objects(spark, sf):
-    return blocked_view(spark, sf).groupBy("observer").agg(
+    return blocked_view(spark, sf).groupBy("map_id", "observer").agg(
         F.count_if("visible").alias("visible"), F.sum(F.when(F.col("visible"), F.col("ray") * F.col("step")).otherwise(0)).alias("mark")
     )
 
 
 @query("viewshed_packed", f"""
-WITH {_SIGHT} SELECT observer, ray, count(*) FILTER (slope >= before) AS visible FROM seen GROUP BY ALL""")
+WITH {_SIGHT} SELECT map_id, observer, ray, count(*) FILTER (slope >= before) AS visible FROM seen GROUP BY ALL""")
 def viewshed_packed(spark, sf):
     tiles = raster.pack_tiles(base_raster(spark, sf), view(spark, sf, "fx_layers"))
     v = viewshed.viewshed(view(spark, sf, "fx_observers"), tiles, view(spark, sf, "fx_layers"), rays=RAYS, range_m=RANGE, step_m=STEP, packed=True)
-    return v.groupBy("observer", "ray").agg(F.count_if("visible").alias("visible"))
+    return v.groupBy("map_id", "observer", "ray").agg(F.count_if("visible").alias("visible"))
 
 
 @query("viewshed_area", f"""
-WITH {_BLOCKED}, los_edge AS (SELECT observer, ray, step, h, visible, lead(h) OVER q AS h_out, lead(visible) OVER q AS v_out FROM los WINDOW q AS (PARTITION BY observer, ray ORDER BY step)),
-los_pair AS (SELECT a.*, b.h AS h2, b.visible AS v2, b.h_out AS h2_out, b.v_out AS v2_out FROM los_edge a JOIN los_edge b ON a.observer = b.observer AND a.step = b.step AND b.ray = (a.ray + 1) % {RAYS})
-SELECT observer, count(*) FILTER (step = 0 AND visible AND v2) AS caps, count(*) FILTER (v_out AND v2_out) AS visible_patches,
-  count(*) FILTER (v_out IS NOT NULL AND NOT (v_out AND v2_out) AND least(h, h_out, h2, h2_out) > 40.25) AS hidden_patches FROM los_pair GROUP BY observer""")
+WITH {_BLOCKED}, los_edge AS (SELECT map_id, observer, ray, step, h, visible, lead(h) OVER q AS h_out, lead(visible) OVER q AS v_out FROM los WINDOW q AS (PARTITION BY map_id, observer, ray ORDER BY step)),
+los_pair AS (SELECT a.*, b.h AS h2, b.visible AS v2, b.h_out AS h2_out, b.v_out AS v2_out FROM los_edge a JOIN los_edge b ON a.map_id = b.map_id AND a.observer = b.observer AND a.step = b.step AND b.ray = (a.ray + 1) % {RAYS})
+SELECT map_id, observer, count(*) FILTER (step = 0 AND visible AND v2) AS caps, count(*) FILTER (v_out AND v2_out) AS visible_patches,
+  count(*) FILTER (v_out IS NOT NULL AND NOT (v_out AND v2_out) AND least(h, h_out, h2, h2_out) > 40.25) AS hidden_patches FROM los_pair GROUP BY map_id, observer""")
 def viewshed_area(spark, sf):
     return viewshed.viewshed_area(blocked_view(spark, sf), RAYS, water=40.0)
