@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import DETAIL_KEYS, texture_candidates
-from .scans import CHUNK, first_match, head_per_group, join_dim, running_sum
+from .scans import CHUNK, first_match, head_per_group, join_dim, join_keyed, running_sum
 
 NO_LANDCLASS = 255
 DET_SLOTS = ["Base", "R", "G", "B", "G2", "R2", "A2"]
-MAP_KEYS = DETAIL_KEYS + [f"{k}_r" for k in DETAIL_KEYS]
 
 # ---- ordered resolution ----------------------------------------------------------------------
 
@@ -84,7 +83,7 @@ def first_wins_across_packs(entries: DataFrame) -> DataFrame:
 def merge_landclasses(landclasses: DataFrame) -> DataFrame:
     """One landclass per name, taking each property from the first entry that has it.
 
-    All properties are picked in one aggregation; ``ord`` gives the original order.
+    Details are merged key by key, whatever their keys; ``ord`` gives the original order.
     """
     def first(value: Column, known: Column) -> Column:
         return F.min_by(value, F.when(known, F.col("ord")))
@@ -97,14 +96,15 @@ def merge_landclasses(landclasses: DataFrame) -> DataFrame:
         first(F.col("size"), F.col("size").isNotNull()).alias("size"),
         first(F.col("detail_sizes"), F.col("detail_sizes").isNotNull()).alias("detail_sizes"),
     ]
-    for key in MAP_KEYS:
-        v = F.try_element_at(F.col("details"), F.lit(key))
-        picks.append(first(v, v.isNotNull()).alias(f"_d_{key}"))
-    entries = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_d_{k}").alias("v")) for k in MAP_KEYS])
-    details = F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
-    return (
-        landclasses.filter(F.col("name") != "").groupBy("map_id", "name").agg(*picks)
-        .withColumn("details", details).drop(*[f"_d_{k}" for k in MAP_KEYS])
+    named = landclasses.filter(F.col("name") != "")
+    entries = named.select("map_id", "name", "ord", F.explode("details").alias("k", "v")).filter(F.col("v").isNotNull())
+    firsts = entries.groupBy("map_id", "name", "k").agg(F.min_by("v", "ord").alias("v"))
+    details = firsts.groupBy("map_id", "name").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("details")
+    )
+    merged = named.groupBy("map_id", "name").agg(*picks)
+    return join_keyed(merged, details, ["map_id", "name"], "left").withColumn(
+        "details", F.coalesce("details", F.create_map().cast("map<string,string>"))
     )
 
 
@@ -159,7 +159,9 @@ def lc_reference_audit(cells: DataFrame, landclasses: DataFrame, resolved: DataF
     named = head_per_group(lost, ["map_id"], ["at"], keep).groupBy("map_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda s: s["label"]).alias("missing_names")
     )
-    return counted.join(textures, "map_id", "left").join(named, "map_id", "left")
+    # a map may have landclasses that no cell uses, and cells without any landclass
+    every = counted.join(textures, "map_id", "full").fillna(0, ["ref_total", "ref_invalid", "resolved", "missing"])
+    return every.join(named, "map_id", "left")
 
 
 def extend_landclasses(landclasses: DataFrame, cells: DataFrame) -> DataFrame:
@@ -259,7 +261,7 @@ def dedupe_materials(materials: DataFrame, name: str = "name", body: str = "body
     plain = contents.groupBy(name).agg(F.min_by("sha", F.struct("_first", "sha")).alias("_plain"))
     joined = join_dim(hashed, plain, [name], ["sha"], "inner")
     store = F.when(F.col("sha") == F.col("_plain"), F.col(name)).otherwise(
-        F.concat(F.col(name), F.lit("_"), F.substring("sha", 1, 16))
+        F.concat(F.col(name), F.lit("_"), F.col("sha"))
     )
     return joined.withColumn("store_name", store).drop("_plain")
 

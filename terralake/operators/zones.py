@@ -18,6 +18,11 @@ MISSION = ["map_id", "mission"]
 MIN_CAPTURE_RADIUS = 30.0
 
 
+def mission_key(zones: DataFrame) -> list[str]:
+    """What tells missions apart: map and label, and the file where the table has it, as two files may share a label."""
+    return [*MISSION, *(["file"] if "file" in zones.columns else [])]
+
+
 def union_zones(spawns: DataFrame, spawn_zones: DataFrame, captures: DataFrame, battles: DataFrame) -> DataFrame:
     """One table from the four kinds; battle missions use their spawn zones as spawns as well.
 
@@ -48,27 +53,27 @@ def preferred_mode(zones: DataFrame, selected: str = "merged") -> DataFrame:
         mode = F.when(arcade, "arcade").otherwise("hardcore")
     else:
         mode = F.lit(selected)
-    return zones.groupBy(*MISSION, "kind").agg(mode.alias("mode"))
+    return zones.groupBy(*mission_key(zones), "kind").agg(mode.alias("mode"))
 
 
 def mode_count(zones: DataFrame) -> DataFrame:
     """Zones in the preferred mode, per mission and kind, in one aggregation."""
     arcade, hard = F.count_if(F.col("mode") == "arcade"), F.count_if(F.col("mode") == "hardcore")
-    return zones.groupBy(*MISSION, "kind").agg(F.when(arcade > 0, arcade).otherwise(hard).alias("n"))
+    return zones.groupBy(*mission_key(zones), "kind").agg(F.when(arcade > 0, arcade).otherwise(hard).alias("n"))
 
 
 def mission_summary(zones: DataFrame) -> DataFrame:
-    """Battle, capture and spawn counts per mission, with its number in label order."""
+    """Battle, capture and spawn counts per mission, with its number in label order; missions without zones count as well."""
     counts = mode_count(zones)
 
     def total(*kinds: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("n"))), F.lit(0))
 
-    summed = counts.groupBy(*MISSION).agg(
+    summed = counts.groupBy(*mission_key(zones)).agg(
         total("battle").alias("battles"), total("capture").alias("captures"),
         total("spawn", "spawn_zone").alias("spawns"),
     )
-    return ordinal(summed, ["map_id"], ["mission"])
+    return ordinal(summed, ["map_id"], mission_key(zones)[1:])
 
 
 def order_missions(missions: DataFrame) -> DataFrame:
@@ -89,7 +94,7 @@ def _kind_boxes(zones: DataFrame) -> DataFrame:
             fn(F.when(F.col("mode") == "hardcore", value))
         )
 
-    return sized.groupBy(*MISSION, "kind").agg(
+    return sized.groupBy(*mission_key(zones), "kind").agg(
         pick(F.min, F.col("x") - F.col("_ex")).alias("x0"), pick(F.min, F.col("z") - F.col("_ez")).alias("z0"),
         pick(F.max, F.col("x") + F.col("_ex")).alias("x1"), pick(F.max, F.col("z") + F.col("_ez")).alias("z1"),
     ).filter(F.col("x0").isNotNull() & F.col("z0").isNotNull())
@@ -102,7 +107,7 @@ def battle_extent(zones: DataFrame) -> DataFrame:
 
 def mission_extent(zones: DataFrame) -> DataFrame:
     """Bounding box of battle areas, capture circles and spawn points per mission."""
-    return _kind_boxes(zones).groupBy(*MISSION).agg(
+    return _kind_boxes(zones).groupBy(*mission_key(zones)).agg(
         F.min("x0").alias("x0"), F.min("z0").alias("z0"), F.max("x1").alias("x1"), F.max("z1").alias("z1")
     )
 
@@ -115,11 +120,11 @@ def crop_rect(zones: DataFrame, maps: DataFrame, sources: DataFrame, min_px: int
     a part falls back to the whole source.
     """
     corners = ["x0", "z0", "x1", "z1"]
-    battle = battle_extent(zones).select(*MISSION, *[F.col(c).alias(f"b_{c}") for c in corners])
-    whole = mission_extent(zones).select(*MISSION, *[F.col(c).alias(f"m_{c}") for c in corners])
+    battle = battle_extent(zones).select(*mission_key(zones), *[F.col(c).alias(f"b_{c}") for c in corners])
+    whole = mission_extent(zones).select(*mission_key(zones), *[F.col(c).alias(f"m_{c}") for c in corners])
     src = sources.select("map_id", "width", "height", *[F.col(c).alias(f"s_{c}") for c in corners])
     zone = maps.select("map_id", *[F.col(f"t{c}").alias(f"t_{c}") for c in corners])
-    joined = whole.join(battle, MISSION, "left").join(zone, "map_id", "left").join(src, "map_id")
+    joined = whole.join(battle, mission_key(zones), "left").join(zone, "map_id", "left").join(src, "map_id")
     want = {c: F.coalesce(F.col(f"b_{c}"), F.col(f"t_{c}"), F.col(f"m_{c}")) for c in corners}
     a0, b0 = F.greatest(want["x0"], F.col("s_x0")), F.greatest(want["z0"], F.col("s_z0"))
     a1, b1 = F.least(want["x1"], F.col("s_x1")), F.least(want["z1"], F.col("s_z1"))

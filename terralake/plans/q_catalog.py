@@ -112,21 +112,22 @@ def head_per_group_query(spark, sf):
 WITH f AS (SELECT map_id, name, min(ord) AS ord,
   coalesce(arg_min(texture, ord) FILTER (trim(texture) <> ''), (SELECT texture FROM fx_lcs q WHERE q.ord = min(l.ord))) AS texture,
   arg_min(d_r, ord) FILTER (d_r IS NOT NULL) AS r, arg_min(d_g, ord) FILTER (d_g IS NOT NULL) AS g, arg_min(d_b, ord) FILTER (d_b IS NOT NULL) AS b,
-  arg_min(size_m, ord) FILTER (size_m IS NOT NULL) AS size_m FROM fx_lcs l GROUP BY map_id, name)
-SELECT map_id, name, ord, texture, r, g, b, size_m FROM f""")
+  arg_min(size_m, ord) FILTER (size_m IS NOT NULL) AS size_m, arg_min('own_' || ord, ord) FILTER (ord % 3 = 1) AS own FROM fx_lcs l GROUP BY map_id, name)
+SELECT map_id, name, ord, texture, r, g, b, size_m, own, coalesce(detail_sizes, size_m) AS detail_size FROM (SELECT *, size_m AS detail_sizes FROM f)""")
 def merge_landclasses(spark, sf):
     lcs = details(view(spark, sf, "fx_lcs")).withColumn("size", F.when(F.col("size_m").isNotNull(), F.array("size_m", "size_m")))
+    own = F.when(F.col("ord") % 3 == 1, F.create_map(F.lit("own_key"), F.concat(F.lit("own_"), F.col("ord").cast("string"))))
+    lcs = lcs.withColumn("details", F.map_concat(F.col("details"), F.coalesce(own, F.create_map().cast("map<string,string>"))))
     merged = catalog.merge_landclasses(lcs.withColumn("detail_sizes", F.col("size")))
     pick = {k: F.try_element_at("details", F.lit(k.upper())) for k in "rgb"}
-    return merged.select("map_id", "name", "ord", "texture", *[v.alias(k) for k, v in pick.items()], F.get("size", F.lit(0)).alias("size_m"))
+    return merged.select("map_id", "name", "ord", "texture", *[v.alias(k) for k, v in pick.items()], F.get("size", F.lit(0)).alias("size_m"),
+                         F.try_element_at("details", F.lit("own_key")).alias("own"), F.get("detail_sizes", F.lit(0)).alias("detail_size"))
 
 
-@query("index_by_name", "SELECT map_id, name, max(lc_idx) AS lc_idx, arg_max(texture, lc_idx) FILTER (texture IS NOT NULL) AS t FROM fx_lcs GROUP BY ALL")
+@query("index_by_name", "SELECT map_id, name, max(lc_idx) AS lc_idx, (SELECT texture FROM fx_lcs q WHERE q.map_id = l.map_id AND q.name = l.name AND q.lc_idx = max(l.lc_idx)) AS t FROM fx_lcs l GROUP BY map_id, name")
 def index_by_name(spark, sf):
     lcs = view(spark, sf, "fx_lcs").select("map_id", "lc_idx", "name", "texture")
-    last = catalog.index_by_name(lcs.select("map_id", "lc_idx", "name"))
-    texts = catalog.index_by_name(lcs.filter(F.col("texture").isNotNull())).select("map_id", "name", F.col("texture").alias("t"))
-    return last.join(texts, ["map_id", "name"], "left")
+    return catalog.index_by_name(lcs).select("map_id", "name", "lc_idx", F.col("texture").alias("t"))
 
 
 _REFS = """
@@ -151,7 +152,8 @@ lost AS (SELECT map_id, label, min(lc_idx) AS seen FROM st WHERE NOT ok GROUP BY
 named AS (SELECT map_id, string_agg(label, '|' ORDER BY seen) AS missing_names FROM (SELECT * FROM lost QUALIFY row_number() OVER (PARTITION BY map_id ORDER BY seen) <= 16) GROUP BY map_id),
 n AS (SELECT map_id, count(*) AS ref_total, count(*) FILTER (lc_idx >= 200) AS ref_invalid FROM refs GROUP BY map_id),
 t AS (SELECT map_id, count(*) FILTER (ok) AS resolved, count(*) FILTER (NOT ok) AS missing FROM st GROUP BY map_id)
-SELECT * FROM n LEFT JOIN t USING (map_id) LEFT JOIN named USING (map_id)""")
+SELECT map_id, coalesce(ref_total, 0) AS ref_total, coalesce(ref_invalid, 0) AS ref_invalid, coalesce(resolved, 0) AS resolved, coalesce(missing, 0) AS missing, missing_names
+FROM n FULL JOIN t USING (map_id) LEFT JOIN named USING (map_id)""")
 def lc_reference_audit(spark, sf):
     lcs = details(view(spark, sf, "fx_lcs"))
     resolved = catalog.resolve_textures(lcs, view(spark, sf, "fx_store"))
@@ -274,7 +276,7 @@ def pick_overview(spark, sf):
 @query("dedupe_materials", """
 WITH m AS (SELECT doc_id AS map_id, source || '_' || lang AS name, sha256(text) AS sha FROM documents),
 c AS (SELECT name, sha, min(map_id) AS first FROM m GROUP BY ALL), p AS (SELECT name, arg_min(sha, (first, sha)) AS plain FROM c GROUP BY name)
-SELECT map_id, name, CASE WHEN sha = plain THEN name ELSE name || '_' || substr(sha, 1, 16) END AS store_name FROM m JOIN p USING (name)""")
+SELECT map_id, name, CASE WHEN sha = plain THEN name ELSE name || '_' || sha END AS store_name FROM m JOIN p USING (name)""")
 def dedupe_materials(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("map_id"), F.concat_ws("_", "source", "lang").alias("name"), F.col("text").alias("body"))
     return catalog.dedupe_materials(d).select("map_id", "name", "store_name")
@@ -304,9 +306,9 @@ def upsert_index(spark, sf):
 
 
 @query("rebuild_index", """
-SELECT c.name, c.bal FROM fx_maps c WHERE success AND EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.id AND o.o_orderstatus = 'P') ORDER BY c.name""")
+SELECT c.name, c.bal FROM fx_maps c WHERE success AND EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.id) ORDER BY c.name""")
 def rebuild_index(spark, sf):
-    have = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"))
+    have = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"))
     maps = view(spark, sf, "fx_maps").join(have, "id", "left_semi").select("name")
     return catalog.rebuild_index(maps, view(spark, sf, "fx_maps").filter("success").select("name", "bal"), "name")
 

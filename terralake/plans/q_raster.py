@@ -306,8 +306,7 @@ eyes AS (SELECT o.*, r.h + 5.0 AS eye FROM fx_observers o JOIN fx_raster r ON r.
 ra AS (SELECT *, unnest(generate_series(0, {RAYS - 1})) AS ray FROM eyes), st AS (SELECT *, unnest(generate_series(0, {N_STEPS - 1})) AS step FROM ra),
 w AS (SELECT observer, map_id, ray, step, x AS ox, z AS oz, eye, (step + 1) * {STEP}::DOUBLE AS dist, cos(ray / {RAYS}.0::DOUBLE * 2 * pi()) AS dx, sin(ray / {RAYS}.0::DOUBLE * 2 * pi()) AS dz FROM st),
 pos AS (SELECT *, ox + dx * dist AS x, oz + dz * dist AS z FROM w),
-sam AS (SELECT p.*, CAST(coalesce(r.h, l.v_min) AS DOUBLE) AS h FROM pos p JOIN fx_layers l ON l.map_id = p.map_id LEFT JOIN fx_raster r ON p.x BETWEEN 0 AND 500 AND p.z BETWEEN 0 AND 300
-  AND r.map_id = p.map_id AND r.px = floor(p.x / 500 * 49 + 0.5) AND r.pz = floor(p.z / 300 * 29 + 0.5)),
+sam AS (SELECT p.*, CAST(coalesce(r.h, l.v_min) AS DOUBLE) AS h FROM pos p JOIN fx_layers l ON l.map_id = p.map_id LEFT JOIN fx_raster r ON r.map_id = p.map_id AND r.px = floor(p.x / 500 * 49 + 0.5) AND r.pz = floor(p.z / 300 * 29 + 0.5)),
 sl AS (SELECT *, (h - eye) / dist AS slope FROM sam),
 seen AS (SELECT *, coalesce(max(slope) OVER (PARTITION BY map_id, observer, ray ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e10) AS before FROM sl)
 """

@@ -128,7 +128,8 @@ def read_level_meta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def parse_missions(files: DataFrame, text: str = "text") -> DataFrame:
     """Zones of mission documents (``map_id, file, stem, suffix`` and the text).
 
-    All zones of a document are derived inside its own row and exploded once: no join, no shuffle.
+    All zones of a document are derived inside its own row and exploded once: no join, no shuffle. A document
+    without zones keeps one row whose zone columns are null.
     """
     doc = files.withColumn("_doc", F.from_json(F.col(text), MISSION_SCHEMA)).filter(F.col("_doc").isNotNull())
     doc = doc.withColumn("mission_kind", mission_kind("stem")).withColumn("mission", mission_label("stem", "suffix"))
@@ -174,8 +175,8 @@ def parse_missions(files: DataFrame, text: str = "text") -> DataFrame:
     )
     spawns = F.when(kind == "bttl", spawn_zones("spawn")).otherwise(squad_spawns)
     every = F.concat(spawns, spawn_zones("spawn_zone"), captures, battles)
-    rows = doc.select("map_id", "file", "mission", "mission_kind", F.explode(every).alias("_z"))
-    return rows.select("map_id", "file", "mission", "mission_kind", "_z.*").withColumn("mode", F.explode(modes_of("name")))
+    rows = doc.select("map_id", "file", "mission", "mission_kind", F.explode_outer(every).alias("_z"))
+    return rows.select("map_id", "file", "mission", "mission_kind", "_z.*").withColumn("mode", F.explode_outer(modes_of("name")))
 
 
 def read_missions(spark: SparkSession, root: str | list[str], recursive: bool = True) -> DataFrame:
