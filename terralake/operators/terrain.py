@@ -51,11 +51,28 @@ def hillshade(rgb: DataFrame, normals: DataFrame, azimuth: float = 30.0, elevati
 # ---- splat blending --------------------------------------------------------------------------
 
 
-def sample_tiled_texture(points: DataFrame, textures: DataFrame, sizes: DataFrame) -> DataFrame:
+def noise_seed(landclasses: DataFrame) -> Column:
+    """Seed of a landclass's noise: hash of its authored texture (column ``authored``, where there is one), else its name, else ``lc``."""
+    named = [F.col(c) for c in ("authored", "name") if c in landclasses.columns]
+    return fnv1a64(F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in named], F.lit("lc")))
+
+
+def known_details(landclasses: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``landclasses`` whose ``detail_textures`` hold only names in the store; a missing detail shows the base texture instead."""
+    rest = [c for c in landclasses.columns if c != "detail_textures"]
+    asked = landclasses.select("map_id", "lc_idx", F.posexplode("detail_textures").alias("at", "texture")).filter(F.col("texture").isNotNull())
+    have = asked.join(sizes.select("texture").distinct(), "texture", "left_semi")
+    found = have.groupBy("map_id", "lc_idx").agg(F.map_from_entries(F.collect_list(F.struct("at", "texture"))).alias("_have"))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.try_element_at("_have", i))
+    return landclasses.join(found, ["map_id", "lc_idx"], "left").select(*rest, slots.alias("detail_textures"))
+
+
+def sample_tiled_texture(points: DataFrame, textures: DataFrame, sizes: DataFrame, seed: str | None = None) -> DataFrame:
     """Texel of a repeating texture at output pixel (gx, gy) with periods (scale_x, scale_y) in pixels.
 
     ``textures`` holds texels (``texture, sx, sy, r, g, b``) and ``sizes`` their dimensions
-    (``texture, tw, th``). Points whose texture is unknown get null colours.
+    (``texture, tw, th``). Points whose texture is unknown show the noise of the column ``seed``; their colours are null
+    where there is no seed.
     """
     sized = join_dim(points, sizes, ["texture"], ["gx", "gy"], "left")
 
@@ -63,9 +80,14 @@ def sample_tiled_texture(points: DataFrame, textures: DataFrame, sizes: DataFram
         return (trunc_long(F.col(g) / F.greatest(F.col(scale), F.lit(1.0)) * F.col(n)) % F.col(n)).cast("int")
 
     placed = sized.withColumn("sx", at("gx", "scale_x", "tw")).withColumn("sy", at("gy", "scale_y", "th"))
-    return placed.join(textures.select("texture", "sx", "sy", *RGB), ["texture", "sx", "sy"], "left").drop(
+    found = placed.join(textures.select("texture", "sx", "sy", *RGB), ["texture", "sx", "sy"], "left").drop(
         "sx", "sy", "tw", "th"
     )
+    if seed is None:
+        return found
+    noisy = F.col("r").isNull() & F.col(seed).isNotNull()
+    shown = found.filter(noisy).withColumns({c: noise_byte(seed, "gx", "gy", i) for i, c in enumerate(RGB)})
+    return found.filter(~noisy).unionByName(shown)
 
 
 def single_lc_detail_mix(cells: DataFrame, landclasses: DataFrame) -> DataFrame:
@@ -123,9 +145,10 @@ def splat_blend(cells: DataFrame, splats: DataFrame, landclasses: DataFrame, tex
 
     ``cells``: ``map_id, tx, tz, det, export_idx, has_tex2``; ``splats``: ``map_id, tile, sx, sz, r, g,
     b, a``; ``landclasses``: ``map_id, lc_idx, name, texture, scale_x, scale_y, detail_textures,
-    detail_scales``.  Cells without a tile show their base landclass, pixels without any landclass the
+    detail_scales`` and, for noise, ``authored``.  Cells without a tile show their base landclass, pixels without any landclass the
     water colour.
     """
+    landclasses = known_details(landclasses, sizes).withColumn("_seed", noise_seed(landclasses))
     ocean = landclasses.groupBy("map_id").agg(
         (F.max("lc_idx") + 1).cast("int").alias("_lcs"),
         F.collect_set(F.when(F.col("ocean"), F.col("lc_idx"))).alias("_ocean"),
@@ -150,7 +173,7 @@ def splat_blend(cells: DataFrame, splats: DataFrame, landclasses: DataFrame, tex
         (F.col("_p.slot").between(0, 3) & F.col("single_lc").isNotNull()).alias("_mix"),
     )
     lc = join_dim(
-        asked, landclasses.select("map_id", "lc_idx", "name", "texture", "scale_x", "scale_y", "detail_textures", "detail_scales"),
+        asked, landclasses.select("map_id", "lc_idx", "_seed", "texture", "scale_x", "scale_y", "detail_textures", "detail_scales"),
         ["map_id", "lc_idx"], ["px", "pz"], "left",
     )
     pick = F.element_at(F.array(*[F.lit(s) for s in DETAIL_SLOTS]), F.greatest(F.col("slot"), F.lit(0)) % 4 + 1)
@@ -158,16 +181,13 @@ def splat_blend(cells: DataFrame, splats: DataFrame, landclasses: DataFrame, tex
     scale = F.when(detail.isNotNull(), F.get(F.col("detail_scales"), pick))
     points = lc.select(
         "map_id", "px", "pz", "weight", F.col("px").alias("gx"), F.col("pz").alias("gy"), F.col("lc_idx"),
-        F.coalesce(F.col("texture"), F.col("name")).alias("_seed_name"),
+        F.when(F.col("lc_idx").isNotNull(), F.col("_seed")).alias("_seed"),
         F.coalesce(detail, F.col("texture")).alias("texture"),
         F.coalesce(scale, F.col("scale_x")).alias("scale_x"), F.coalesce(scale, F.col("scale_y")).alias("scale_y"),
     )
-    colours = sample_tiled_texture(points, textures, sizes)
-    known = colours.filter(F.col("r").isNotNull() | F.col("lc_idx").isNull())
-    noisy = colours.filter(F.col("r").isNull() & F.col("lc_idx").isNotNull()).withColumn("_seed", fnv1a64("_seed_name"))
-    noisy = noisy.withColumns({c: noise_byte("_seed", "gx", "gy", i) for i, c in enumerate(RGB)}).drop("_seed")
+    colours = sample_tiled_texture(points, textures, sizes, "_seed")
     total = F.sum("weight")
-    return known.unionByName(noisy).groupBy("map_id", "px", "pz").agg(*[
+    return colours.groupBy("map_id", "px", "pz").agg(*[
         F.when(total > 0, byte_range(floor_long(F.sum(F.col(c) * F.col("weight")) / total)))
         .otherwise(WATER_COLOR[i]).cast("int").alias(c)
         for i, c in enumerate(RGB)
@@ -175,12 +195,12 @@ def splat_blend(cells: DataFrame, splats: DataFrame, landclasses: DataFrame, tex
 
 
 def synth_tile(cells: DataFrame, landclasses: DataFrame, textures: DataFrame, sizes: DataFrame, tile_w: int, tile_h: int) -> DataFrame:
-    """Cells shown by their base landclass alone; without one they keep the water colour."""
+    """Cells shown by their base landclass alone: its texture, or noise where it has none. Without a landclass they keep the water colour."""
     pixels = paint_pixels(cells.withColumn("lc_idx", F.get(F.col("det"), F.lit(0))), tile_w, tile_h)
-    lc = join_dim(pixels, landclasses.select("map_id", "lc_idx", "texture", "scale_x", "scale_y"),
-                  ["map_id", "lc_idx"], ["px", "pz"], "left")
-    points = lc.select("map_id", "px", "pz", F.col("px").alias("gx"), F.col("pz").alias("gy"), "texture", "scale_x", "scale_y")
-    shown = sample_tiled_texture(points, textures, sizes)
+    seeded = landclasses.select("map_id", "lc_idx", "texture", "scale_x", "scale_y", noise_seed(landclasses).alias("_seed"))
+    lc = join_dim(pixels, seeded, ["map_id", "lc_idx"], ["px", "pz"], "left")
+    points = lc.select("map_id", "px", "pz", F.col("px").alias("gx"), F.col("pz").alias("gy"), "texture", "scale_x", "scale_y", "_seed")
+    shown = sample_tiled_texture(points, textures, sizes, "_seed")
     return shown.select("map_id", "px", "pz", *[
         F.coalesce(F.col(c), F.lit(WATER_COLOR[i])).cast("int").alias(c) for i, c in enumerate(RGB)
     ])
@@ -239,7 +259,7 @@ def feather_seams(rgb: DataFrame, layers: DataFrame, tile_w: int, tile_h: int, b
 def mosaic(tiles: DataFrame, mapping: DataFrame, grids: DataFrame, tile_w: int, tile_h: int) -> DataFrame:
     """Tile pixels (``map_id, tile, x, y, r, g, b``) at their place in the level.
 
-    ``mapping`` says which cell a tile fills. Where two tiles meet, the later tile wins.
+    ``mapping`` says which cell a tile fills. Where two tiles meet, the later tile wins; pixels without a tile are black.
     """
     placed = join_dim(tiles, mapping.select("map_id", "tile", "cell"), ["map_id", "tile"], ["x", "y"], "inner")
     grid = join_dim(placed, grids.select("map_id", "cols", "rows"), ["map_id"], ["tile", "x", "y"], "inner")
@@ -248,7 +268,11 @@ def mosaic(tiles: DataFrame, mapping: DataFrame, grids: DataFrame, tile_w: int,
         "map_id", "tile", (gx * tile_w + F.col("x")).cast("int").alias("px"), (gz * tile_h + F.col("y")).cast("int").alias("pz"), *RGB
     )
     top = at.groupBy("map_id", "px", "pz").agg(F.max_by(F.struct(*RGB), "tile").alias("_c"))
-    return top.select("map_id", "px", "pz", *[F.col(f"_c.{c}").alias(c) for c in RGB])
+    rows = grids.select("map_id", "cols", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("tz"))
+    canvas = paint_pixels(rows.withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("cols") - 1))), tile_w, tile_h).select("map_id", "px", "pz")
+    return canvas.join(top, ["map_id", "px", "pz"], "left").select(
+        "map_id", "px", "pz", *[F.coalesce(F.col(f"_c.{c}"), F.lit(0)).alias(c) for c in RGB]
+    )
 
 
 def tint_water(rgb: DataFrame, mask: DataFrame, color: tuple[int, int, int] = TINT_COLOR, alpha: float = 0.7,

@@ -153,8 +153,10 @@ def tile_pixels(spark, sf):
 
 @query("mosaic", f"""
 WITH t AS ({_TILE_PX_SQL}), c AS (SELECT *, tile - 1 + tile % 2 * 15 AS cell FROM t),
-p AS (SELECT map_id, tile, CAST(cell % 15 * 5 + x AS INT) AS px, CAST(cell // 15 * 2 + y AS INT) AS pz, r, g, b FROM c WHERE cell // 15 < 10)
-SELECT map_id, px, pz, r, g, b FROM p QUALIFY row_number() OVER (PARTITION BY map_id, px, pz ORDER BY tile DESC) = 1""")
+p AS (SELECT map_id, tile, CAST(cell % 15 * 5 + x AS INT) AS px, CAST(cell // 15 * 2 + y AS INT) AS pz, r, g, b FROM c WHERE cell // 15 < 10),
+top AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY map_id, px, pz ORDER BY tile DESC) = 1),
+w AS (SELECT map_id, unnest(generate_series(0, 74)) AS px FROM fx_layers), canvas AS (SELECT map_id, CAST(px AS INT) AS px, CAST(unnest(generate_series(0, 19)) AS INT) AS pz FROM w)
+SELECT map_id, px, pz, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM canvas LEFT JOIN top USING (map_id, px, pz)""")
 def mosaic(spark, sf):
     t = tile_pixels(spark, sf)
     mapping = t.select("map_id", "tile").distinct().withColumn("cell", F.col("tile") - 1 + F.col("tile") % 2 * 15)
@@ -164,7 +166,7 @@ def mosaic(spark, sf):
 
 _MATERIALS = """
 SELECT map_id, lc_idx, name, CASE WHEN lc_idx % 9 = 4 THEN NULL ELSE 'tex_' || CAST(lc_idx % 200 AS STRING) END AS texture, CAST(8 + lc_idx % 17 AS DOUBLE) AS scale_x, CAST(8 + lc_idx % 23 AS DOUBLE) AS scale_y,
-  CASE WHEN lc_idx % 2 = 1 THEN 'tex_' || CAST(lc_idx + 3 AS STRING) END AS t_r, CASE WHEN lc_idx % 4 = 1 THEN 'tex_' || CAST(lc_idx + 5 AS STRING) END AS t_k, CAST(1 + lc_idx % 5 AS DOUBLE) AS d_scale
+  CASE WHEN lc_idx % 2 = 1 THEN 'tex_' || CAST(lc_idx + 3 + CASE WHEN lc_idx % 6 = 1 THEN 1000000 ELSE 0 END AS STRING) END AS t_r, CASE WHEN lc_idx % 4 = 1 THEN 'tex_' || CAST(lc_idx + 5 AS STRING) END AS t_k, CAST(1 + lc_idx % 5 AS DOUBLE) AS d_scale, texture AS authored
 FROM {lcs}"""
 _TEXTURES = """
 SELECT 'tex_' || CAST(vec_id AS STRING) AS texture, CAST(i % 8 AS INT) AS sx, CAST(FLOOR(i / 8) AS INT) AS sy,
@@ -217,15 +219,6 @@ def single_lc_detail_mix(spark, sf):
     return terrain.single_lc_detail_mix(single_cells(spark, sf), materials(spark, sf)).select("map_id", "cell", "single_lc")
 
 
-@query("synth_tile", f"""
-WITH t AS ({_TEXTURES_SQL}), m AS ({_MATERIALS_SQL}), x AS (SELECT map_id, tx, tz, det0, unnest(generate_series(0, 5)) AS x FROM fx_cells), y AS (SELECT *, unnest(generate_series(0, 3)) AS y FROM x),
-p AS (SELECT map_id, det0, CAST(tx * 6 + x AS INT) AS px, CAST(tz * 4 + y AS INT) AS pz FROM y),
-q AS (SELECT p.*, m.texture, CAST(trunc(px / scale_x * 8) AS INT) % 8 AS sx, CAST(trunc(pz / scale_y * 8) AS INT) % 8 AS sy FROM p LEFT JOIN m ON m.map_id = p.map_id AND m.lc_idx = p.det0)
-SELECT q.map_id, px, pz, coalesce(t.r, 20) AS r, coalesce(t.g, 60) AS g, coalesce(t.b, 120) AS b FROM q LEFT JOIN t ON t.texture = q.texture AND t.sx = q.sx AND t.sy = q.sy""")
-def synth_tile(spark, sf):
-    return terrain.synth_tile(cells_with_det(spark, sf), materials(spark, sf), *textures(spark, sf), 6, 4)
-
-
 _M = "18446744073709551616::UHUGEINT"
 
 
@@ -239,15 +232,26 @@ def _noise_sql(chan: int) -> str:
     return f"CAST(128 + trunc((CAST(xor({h4}, {h4} >> 33) % 256 AS INT) - 128) * 24 / 128.0) AS INT)"
 
 
-_SEED = f"list_reduce(list_prepend(1469598103934665603::UHUGEINT, list_transform(string_split(coalesce(mm.texture, mm.name), ''), lambda c: ord(c)::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % {_M})::UBIGINT"
+_SEED = f"list_reduce(list_prepend(1469598103934665603::UHUGEINT, list_transform(string_split(coalesce(nullif(trim(mm.authored), ''), nullif(trim(mm.name), ''), 'lc'), ''), lambda c: ord(c)::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % {_M})::UBIGINT"
+
+
+@query("synth_tile", f"""
+WITH t AS ({_TEXTURES_SQL}), m AS ({_MATERIALS_SQL}), x AS (SELECT map_id, tx, tz, det0, unnest(generate_series(0, 5)) AS x FROM fx_cells), y AS (SELECT *, unnest(generate_series(0, 3)) AS y FROM x),
+p AS (SELECT map_id, det0, CAST(tx * 6 + x AS INT) AS px, CAST(tz * 4 + y AS INT) AS pz FROM y),
+mm AS (SELECT p.*, m.lc_idx, m.texture, m.authored, m.name, CAST(trunc(px / scale_x * 8) AS INT) % 8 AS sx, CAST(trunc(pz / scale_y * 8) AS INT) % 8 AS sy FROM p LEFT JOIN m ON m.map_id = p.map_id AND m.lc_idx = p.det0),
+q AS (SELECT mm.*, {_SEED} AS seed FROM mm)
+SELECT q.map_id, px, pz, CASE WHEN lc_idx IS NULL THEN 20 ELSE coalesce(t.r, {_noise_sql(0)}) END AS r, CASE WHEN lc_idx IS NULL THEN 60 ELSE coalesce(t.g, {_noise_sql(1)}) END AS g,
+  CASE WHEN lc_idx IS NULL THEN 120 ELSE coalesce(t.b, {_noise_sql(2)}) END AS b FROM q LEFT JOIN t ON t.texture = q.texture AND t.sx = q.sx AND t.sy = q.sy""")
+def synth_tile(spark, sf):
+    return terrain.synth_tile(cells_with_det(spark, sf), materials(spark, sf), *textures(spark, sf), 6, 4)
 
 
 @query("splat_blend", f"""
-WITH {_SINGLE_CELLS}, m AS ({_MATERIALS_SQL}), oc AS (SELECT map_id, lc_idx FROM fx_lcs WHERE starts_with(lower(name), 'ocean') OR contains(lower(name), '_ocean')),
+WITH {_SINGLE_CELLS}, t AS ({_TEXTURES_SQL}), m AS (SELECT * REPLACE (CASE WHEN t_r IN (SELECT texture FROM t) THEN t_r END AS t_r, CASE WHEN t_k IN (SELECT texture FROM t) THEN t_k END AS t_k) FROM ({_MATERIALS_SQL})), oc AS (SELECT map_id, lc_idx FROM fx_lcs WHERE starts_with(lower(name), 'ocean') OR contains(lower(name), '_ocean')),
 si AS (SELECT c.map_id, cell, list_distinct(list_filter([det0, CASE WHEN o1.lc_idx IS NOT NULL AND bo.lc_idx IS NULL THEN 255 ELSE det1 END, CASE WHEN o2.lc_idx IS NOT NULL AND bo.lc_idx IS NULL THEN 255 ELSE det2 END, det3], lambda v: v < 200)) AS ids
   FROM fx_single c LEFT JOIN oc bo ON bo.map_id = c.map_id AND bo.lc_idx = det0 LEFT JOIN oc o1 ON o1.map_id = c.map_id AND o1.lc_idx = det1 LEFT JOIN oc o2 ON o2.map_id = c.map_id AND o2.lc_idx = det2),
 single AS (SELECT si.map_id, cell, CASE WHEN len(ids) = 1 AND (m.t_r IS NOT NULL OR m.t_k IS NOT NULL) THEN ids[1] END AS single_lc FROM si LEFT JOIN m ON m.map_id = si.map_id AND m.lc_idx = ids[1]),
-t AS ({_TEXTURES_SQL}), sp AS ({_TILE_PX_SQL}), al AS (SELECT map_id, tile, min(a) < 255 AS alpha FROM sp GROUP BY ALL),
+sp AS ({_TILE_PX_SQL}), al AS (SELECT map_id, tile, min(a) < 255 AS alpha FROM sp GROUP BY ALL),
 cx AS (SELECT c.*, s.single_lc, CASE WHEN populated THEN cell + 1 END AS idx, bo.lc_idx IS NOT NULL AS base_ocean FROM fx_single c LEFT JOIN single s USING (map_id, cell) LEFT JOIN oc bo ON bo.map_id = c.map_id AND bo.lc_idx = c.det0),
 xx AS (SELECT *, unnest(generate_series(0, 5)) AS x FROM cx), px AS (SELECT *, unnest(generate_series(0, 3)) AS y FROM xx),
 w AS (SELECT p.*, CAST(tx * 6 + p.x AS INT) AS px, CAST(tz * 4 + p.y AS INT) AS pz, s1.r AS r1, s1.g AS g1, CASE WHEN a1.alpha THEN s1.a ELSE 0 * s1.a END AS al1, s2.r AS r2, s2.g AS g2, CASE WHEN a2.alpha THEN s2.a ELSE 0 * s2.a END AS al2
@@ -261,7 +265,7 @@ ok AS (SELECT p.* FROM parts p LEFT JOIN oc ON oc.map_id = p.map_id AND oc.lc_id
 base AS (SELECT DISTINCT map_id, px, pz, det0 FROM parts), fall AS (SELECT b.map_id, px, pz, det0 AS lc, 1 AS weight, -1 AS slot, NULL AS single_lc FROM base b ANTI JOIN ok USING (map_id, px, pz)),
 pick AS (SELECT map_id, px, pz, weight, slot, CASE WHEN slot <= 3 THEN single_lc END AS mix, CASE WHEN slot <= 3 THEN coalesce(single_lc, lc) ELSE lc END AS lc_idx FROM ok
   UNION ALL SELECT map_id, px, pz, weight, slot, NULL, CASE WHEN lc < 200 THEN lc END FROM fall),
-mm AS (SELECT k.*, m.name, m.texture, m.scale_x, m.scale_y, CASE WHEN mix IS NOT NULL THEN CASE slot WHEN 0 THEN t_k WHEN 2 THEN t_r END END AS dt, d_scale FROM pick k LEFT JOIN m ON m.map_id = k.map_id AND m.lc_idx = k.lc_idx),
+mm AS (SELECT k.*, m.name, m.authored, m.texture, m.scale_x, m.scale_y, CASE WHEN mix IS NOT NULL THEN CASE slot WHEN 0 THEN t_k WHEN 2 THEN t_r END END AS dt, d_scale FROM pick k LEFT JOIN m ON m.map_id = k.map_id AND m.lc_idx = k.lc_idx),
 co AS (SELECT mm.*, t.r AS tr, t.g AS tg, t.b AS tb, {_SEED} AS seed FROM mm LEFT JOIN t ON t.texture = coalesce(dt, mm.texture)
   AND t.sx = CAST(trunc(px / CASE WHEN dt IS NULL THEN scale_x ELSE d_scale END * 8) AS INT) % 8 AND t.sy = CAST(trunc(pz / CASE WHEN dt IS NULL THEN scale_y ELSE d_scale END * 8) AS INT) % 8),
 nn AS (SELECT *, lc_idx IS NOT NULL AND tr IS NULL AS noisy FROM co)
