@@ -232,14 +232,47 @@ def bilinear(targets: DataFrame, source: DataFrame, fx: Column, fz: Column, widt
     return merged.select(*keys, "px", "pz", *carry, value.alias(out))
 
 
-def fill_smallest(sized: DataFrame, v: str = "v") -> DataFrame:
+def dense_array(cells: Column, n: Column) -> Column:
+    """Array of ``n`` values from an array of ``(at, v)`` with distinct places, null where there is none; takes time in proportion to both."""
+    ordered = F.array_sort(cells)
+    gaps = F.transform(ordered, lambda c, i: F.concat(
+        F.array_repeat(F.lit(None).cast("double"), (c["at"] - F.coalesce(F.get(ordered, i - 1)["at"], F.lit(-1)) - 1).cast("int")),
+        F.array(c["v"].cast("double")),
+    ))
+    last = F.coalesce(F.try_element_at(ordered, F.lit(-1))["at"], F.lit(-1))
+    return F.concat(F.flatten(gaps), F.array_repeat(F.lit(None).cast("double"), (n - 1 - last).cast("int")))
+
+
+def layer_cells(layers: DataFrame) -> DataFrame:
+    """All cells of every layer in its own size, generated row by row on the executors."""
+    keys = [k for k in KEYS if k in layers.columns]
+    rows = layers.select(*keys, "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("pz"))
+    return fan_out(rows, *keys, "pz").withColumn("px", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).select(*keys, "px", "pz")
+
+
+def complete_cells(raster: DataFrame, layers: DataFrame, v: str = "v") -> DataFrame:
+    """The raster with a row for every cell of its layers; cells it lacks are null."""
+    keys = _keys(raster)
+    return layer_cells(_dims(raster, layers)).join(raster.select(*keys, "px", "pz", v), [*keys, "px", "pz"], "left")
+
+
+def _dims(raster: DataFrame, layers: DataFrame) -> DataFrame:
+    """Width and height by the keys of the raster."""
+    keys = _keys(raster)
+    known = [k for k in keys if k in layers.columns]
+    sizes = layers.select(*known, "width", "height")
+    return sizes if len(known) == len(keys) else raster.select(*keys).distinct().join(sizes, known)
+
+
+def fill_smallest(known: DataFrame, dims: DataFrame, v: str = "v") -> DataFrame:
     """Spread known values over grids of at most 4x4 cells; 0 where a grid knows none.
 
     A grid is one short array per layer. Six rounds reach every cell from any other.
     """
-    keys = _keys(sized)
-    grids = sized.groupBy(*keys, "width", "height").agg(
-        F.array_sort(F.collect_list(F.struct((F.col("pz") * F.col("width") + F.col("px")).alias("at"), F.col(v).alias("v")))).alias("_g")
+    keys = _keys(known)
+    at = (F.col("pz") * F.col("width") + F.col("px")).alias("at")
+    grids = dims.join(known.select(*keys, "px", "pz", v), keys, "left").groupBy(*keys, "width", "height").agg(
+        F.collect_list(F.when(F.col("px").isNotNull(), F.struct(at, F.col(v).alias("v")))).alias("_g")
     )
     w, n = F.col("width"), F.col("width") * F.col("height")
 
@@ -257,7 +290,7 @@ def fill_smallest(sized: DataFrame, v: str = "v") -> DataFrame:
 
         return F.transform(g, cell)
 
-    start = F.transform("_g", lambda c: c["v"].cast("double"))
+    start = dense_array(F.col("_g"), n)
     done = F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, lambda g, _: spread(g))
     return grids.select(*keys, "width", F.posexplode(done).alias("_i", v)).select(
         *keys, (F.col("_i") % F.col("width")).cast("int").alias("px"), F.floor(F.col("_i") / F.col("width")).cast("int").alias("pz"),
@@ -268,37 +301,39 @@ def fill_smallest(sized: DataFrame, v: str = "v") -> DataFrame:
 def fill_nodata(raster: DataFrame, layers: DataFrame, v: str = "v") -> DataFrame:
     """Fill missing cells from a pyramid of block means; known cells keep their value.
 
+    Cells may be missing as nulls or as absent rows: only known cells travel, and every layer comes out in full.
     The coarser levels are written to the shared folder: they shrink fourfold each and serve twice,
     on the way down and on the way up.  The way up is one chain of joins, one per level.
     """
     keys = _keys(raster)
-    sizes = layers.select(*[k for k in keys if k in layers.columns], "width", "height")
+    sizes = _dims(raster, layers)
     # number of halvings a layer needs to fit 4x4 cells; few different values exist
     halvings = F.expr("size(filter(sequence(0, 30), d -> shiftright(greatest(width, height), d) > 4))")
     depths = set(sizes.agg(F.collect_set(halvings)).first()[0]) or {0}
-    levels, dims = [raster.select(*keys, "px", "pz", F.col(v).cast("double").alias(v))], [sizes]
+    levels, dims = [raster.select(*keys, "px", "pz", F.col(v).cast("double").alias(v)).filter(F.col(v).isNotNull())], [sizes]
     for _ in range(max(depths)):
         levels.append(cut(pyramid_level(levels[-1], dims[-1], v), "pyramid"))
         dims.append(halved(dims[-1]))
 
     # A layer's last level is the one that fits 4x4 cells; layers of other sizes end at other levels.
     def smallest(i: int) -> DataFrame:
-        small = dims[i].filter(F.greatest("width", "height") <= 4)
-        return fill_smallest(levels[i].join(small, [k for k in keys if k in small.columns]), v)
+        return fill_smallest(levels[i], dims[i].filter(F.greatest("width", "height") <= 4), v)
 
     full = smallest(max(depths))
     for i in reversed(range(max(depths))):
         deep = dims[i].filter(F.greatest("width", "height") > 4).withColumn(
             "_cw", F.greatest(F.expr("width div 2"), F.lit(1)).cast("int")
         ).withColumn("_ch", F.greatest(F.expr("height div 2"), F.lit(1)).cast("int"))
-        cells = _layers_for(levels[i], deep, "width", "height", "_cw", "_ch")
+        known = levels[i].join(deep.select(*keys), keys, "left_semi")
+        missing = _layers_for(
+            layer_cells(deep).join(levels[i], [*keys, "px", "pz"], "left_anti"), deep, "width", "height", "_cw", "_ch"
+        )
         cx = (F.col("px") + 0.5) / F.col("width") * F.col("_cw") - 0.5
         cz = (F.col("pz") + 0.5) / F.col("height") * F.col("_ch") - 0.5
         patched = bilinear(
-            cells.filter(col(v).isNull()), full, F.greatest(cx, F.lit(0.0)), F.greatest(cz, F.lit(0.0)),
-            F.col("_cw"), F.col("_ch"), v, v,
+            missing, full, F.greatest(cx, F.lit(0.0)), F.greatest(cz, F.lit(0.0)), F.col("_cw"), F.col("_ch"), v, v,
         )
-        full = cells.filter(col(v).isNotNull()).select(*keys, "px", "pz", v).unionByName(patched)
+        full = known.select(*keys, "px", "pz", v).unionByName(patched)
         if i in depths:
             full = full.unionByName(smallest(i))
     return full
@@ -496,12 +531,11 @@ def pack_tiles(raster: DataFrame, layers: DataFrame, side: int = TILE, v: str =
             (F.col("pz") % side * side + F.col("px") % side).cast("int").alias("at"), F.col(v).cast("float").alias("v")
         )).alias("_cells"),
     )
-    slots = F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)
-    dense = F.transform(F.array_sort("_cells"), lambda c: c["v"])
-    sparse = F.transform(slots, lambda i: F.try_element_at(
-        F.map_from_entries("_cells"), (F.floor(i / F.col("w")) * side + i % F.col("w")).cast("int")
+    # places count inside the tile's own width, which is smaller at the border
+    local = F.transform("_cells", lambda c: F.struct(
+        (F.floor(c["at"] / side) * F.col("w") + c["at"] % side).cast("int").alias("at"), c["v"].alias("v")
     ))
-    data = F.when(F.size("_cells") == F.col("w") * F.col("h"), dense).otherwise(sparse)
+    data = dense_array(local, F.col("w") * F.col("h")).cast("array<float>")
     return tiles.withColumn("data", data).drop("_cells")
 
 

@@ -111,10 +111,11 @@ def pyramid_level(spark, sf):
     return raster.pyramid_level(r, view(spark, sf, "fx_layers")).withColumn("v", F.round("v", 8))
 
 
-def _fill_sql() -> str:
+def _fill_sql(before: str = "", source: str = "fx_raster") -> str:
     """All levels of the filling for 50 x 30 cells: 25x15, 12x7, 6x3, 3x1."""
     dims = [(50, 30), (25, 15), (12, 7), (6, 3), (3, 1)]
-    ctes = ["l0 AS (SELECT map_id, px, pz, CAST(h_nd AS DOUBLE) AS v FROM fx_raster)"]
+    ctes = [before] if before else []
+    ctes.append(f"l0 AS (SELECT map_id, px, pz, CAST(h_nd AS DOUBLE) AS v FROM {source})")
     for i in range(1, len(dims)):
         w, h = dims[i]
         ctes.append(f"l{i} AS (SELECT map_id, px // 2 AS px, pz // 2 AS pz, avg(v) AS v FROM l{i - 1} WHERE px // 2 < {w} AND pz // 2 < {h} GROUP BY ALL)")
@@ -217,6 +218,19 @@ def rasterize_triangles(spark, sf):
     return raster.rasterize_triangles(tris, view(spark, sf, "fx_layers"), (50, 30), side=16).withColumn("h", F.round("h", 6))
 
 
+@query("filled_mesh", _fill_sql(f"""
+u AS (SELECT r.map_id, r.px, r.pz, max(CASE WHEN a >= 0 AND b >= 0 AND a + b <= 1 THEN y0 + a * (y1 - y0) + b * (y2 - y0) END) AS h_nd FROM fx_raster r
+  LEFT JOIN (SELECT d.*, q.px, q.pz, ((q.px + 0.5) / 50 * 500 - x0) AS dx, ((q.pz + 0.5) / 30 * 300 - z0) AS dz, (dx * (z2 - z0) - dz * (x2 - x0)) * (1 / det) AS a, ((x1 - x0) * dz - (z1 - z0) * dx) * (1 / det) AS b
+    FROM (SELECT *, (x1 - x0) * (z2 - z0) - (z1 - z0) * (x2 - x0) AS det FROM ({_TRIS.format(supplier='supplier')})) d JOIN fx_raster q USING (map_id) WHERE abs(det) >= 1e-12) k
+  ON k.map_id = r.map_id AND k.px = r.px AND k.pz = r.pz GROUP BY ALL)""", "u"))
+def filled_mesh(spark, sf):
+    """A mesh becomes a raster, and what no triangle covers is filled."""
+    tris = spark.sql(_TRIS, supplier=table(spark, sf, "supplier"))
+    layers = view(spark, sf, "fx_layers")
+    mesh = raster.rasterize_triangles(tris, layers, (50, 30), side=16).withColumnRenamed("h", "v")
+    return raster.fill_nodata(mesh, layers.drop("layer")).withColumn("v", F.round("v", 6))
+
+
 # ---- sampling --------------------------------------------------------------------------------
 
 _LAYERED = """
