@@ -158,30 +158,35 @@ def points_in_zones(points: DataFrame, zones: DataFrame, bucket: float = 64.0, s
     """Pairs of points and the zones that contain them (borders included).
 
     Zones with ``hx, hz`` are boxes, the others circles with ``radius``.  Both sides meet in square
-    buckets by an equi-join, followed by the exact test.  Points of one bucket are spread over
-    ``salts`` groups, since a third of all points may lie in one place; zones are repeated instead.
+    buckets by an equi-join, followed by the exact test.  Buckets come in levels, each twice as wide as the one before: a
+    zone lies in the level where it spans at most two buckets each way, so no zone makes more than four rows per salt, and
+    a point looks once into every level in use (the driver reads these few numbers).  Points of one bucket are spread
+    over ``salts`` groups, since a third of all points may lie in one place; zones are repeated instead.
     """
     ex = F.when(F.col("hx").isNotNull(), F.abs("hx")).otherwise(F.abs("radius"))
     ez = F.when(F.col("hz").isNotNull(), F.abs("hz")).otherwise(F.abs("radius"))
+    width = F.greatest(2 * F.greatest(ex, ez) / bucket, F.lit(1.0))
+    sized = zones.filter(ex.isNotNull() & ez.isNotNull()).withColumn("_level", F.ceil(F.log2(width)).cast("int"))
+    levels = [r[0] for r in sized.select("_level").distinct().collect()]
+
+    def at(value: Column) -> Column:
+        return F.floor(value / (F.lit(float(bucket)) * F.pow(F.lit(2.0), F.col("_level"))))
 
     def cells(p: str, e: Column) -> Column:
-        at = F.col(p)
-        return F.sequence(F.floor((at - e) / bucket), F.floor((at + e) / bucket))
+        return F.sequence(at(F.col(p) - e), at(F.col(p) + e))
 
     z = (
-        zones.filter(ex.isNotNull() & ez.isNotNull())
-        .withColumn("_bx", F.explode(cells("x", ex))).withColumn("_bz", F.explode(cells("z", ez)))
+        sized.withColumn("_bx", F.explode(cells("x", ex))).withColumn("_bz", F.explode(cells("z", ez)))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         .withColumnsRenamed({"x": "zone_x", "z": "zone_z", "name": "zone_name"})
     )
-    p = (
-        points.withColumn("_bx", F.floor(F.col("x") / bucket)).withColumn("_bz", F.floor(F.col("z") / bucket))
-        .withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int"))
-    )
+    p = points.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int"))
+    p = p.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in sorted(levels)]).cast("array<int>")))
+    p = p.withColumn("_bx", at(F.col("x"))).withColumn("_bz", at(F.col("z")))
     dx, dz = F.col("x") - F.col("zone_x"), F.col("z") - F.col("zone_z")
     box = F.col("hx").isNotNull() & (F.abs(dx) <= F.abs("hx")) & (F.abs(dz) <= F.abs("hz"))
     circle = F.col("hx").isNull() & (dx * dx + dz * dz <= F.col("radius") * F.col("radius"))
-    return p.join(z, ["map_id", "_bx", "_bz", "_salt"]).filter(box | circle).drop("_bx", "_bz", "_salt")
+    return p.join(z, ["map_id", "_level", "_bx", "_bz", "_salt"]).filter(box | circle).drop("_level", "_bx", "_bz", "_salt")
 
 
 def missions_for_maps(maps: DataFrame, files: DataFrame, gram: int = 4) -> DataFrame:

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import audit, catalog
 from ..operators.scans import delta_decode, first_match, head_per_group
-from ..sources import sinks
+from ..session import scratch_path
+from ..sources import readers, sinks
 from .base import query, table, view
 from .q_names import CANDIDATES_SQL, cells_with_det, details
 
@@ -321,16 +322,32 @@ def order_maps(spark, sf):
 @query("write_manifest", """
 WITH l AS (SELECT map_id, string_agg('{"layer":"' || layer || '","width":' || width || ',"height":' || height || ',"world_extent":[0.0,0.0,500.0,300.0]}', ',') AS layers FROM fx_layers GROUP BY map_id),
 c AS (SELECT map_id, string_agg('{"lc_idx":' || lc_idx || ',"name":"' || name || '","texture":' || coalesce('"' || texture || '"', 'null') || '}', ',' ORDER BY lc_idx) AS lcs FROM fx_lcs GROUP BY map_id),
-z AS (SELECT DISTINCT map_id FROM fx_zones WHERE kind = 'capture')
+z AS (SELECT DISTINCT map_id FROM fx_zones)
 SELECT l.map_id, '{"mapName":' || l.map_id || ',"layers":[' || layers || '],"landclasses":' || coalesce('[' || lcs || ']', 'null') || ',"hasMissions":' || CASE WHEN z.map_id IS NULL THEN 'false' ELSE 'true' END || '}' AS manifest
 FROM l LEFT JOIN c USING (map_id) LEFT JOIN z USING (map_id)""")
 def write_manifest(spark, sf):
     return sinks.assemble_manifests(
         view(spark, sf, "fx_layers").select("map_id"), layers=view(spark, sf, "fx_layers"), landclasses=view(spark, sf, "fx_lcs"),
-        missions=view(spark, sf, "fx_zones").filter("kind = 'capture'"),
+        missions=view(spark, sf, "fx_zones"),
     )
 
 
+@query("manifest_round_trip", """
+WITH l AS (SELECT map_id, count(*) AS n FROM fx_layers GROUP BY map_id), c AS (SELECT map_id, count(*) AS n FROM fx_lcs GROUP BY map_id),
+p AS (SELECT map_id, count(DISTINCT pool_idx) AS n, count(*) AS i FROM fx_instances GROUP BY map_id)
+SELECT CAST(l.map_id AS VARCHAR) AS map_id, CAST(l.n AS INT) AS layers, CAST(coalesce(c.n, 0) AS INT) AS landclasses, CAST(coalesce(p.n, 0) AS INT) AS pools, coalesce(p.i, 0) AS "instanceCount",
+  EXISTS (SELECT 1 FROM fx_zones z WHERE z.map_id = l.map_id) AS "hasMissions", false AS "has_heightmap", false AS "has_terrainPaint", false AS "has_colormap"
+FROM l LEFT JOIN c USING (map_id) LEFT JOIN p USING (map_id)""")
+def manifest_round_trip(spark, sf):
+    """Manifests are written, read back and summed up."""
+    layers = view(spark, sf, "fx_layers")
+    pools = view(spark, sf, "fx_instances").groupBy("map_id", "pool_idx").agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(spark, "manifests")
+    sinks.write_manifest(layers.select("map_id"), path, layers=layers, landclasses=view(spark, sf, "fx_lcs"), missions=view(spark, sf, "fx_zones"),
+                         pools=pools.withColumns({"name": F.lit("pool"), "category": F.lit("other")}))
+    return readers.manifest_summary(readers.read_manifest_lines(spark, path))
+
+
 @query("main_source", """
 SELECT id, CASE WHEN bal % 3 > 1 THEN 'paint' WHEN bal % 2 > 1 THEN 'colormap' WHEN bal > 0 THEN 'tiles' END AS file,
   CASE WHEN bal % 3 > 1 OR (bal % 2 <= 1 AND bal > 0) THEN CASE WHEN id % 2 = 0 THEN 'grid' ELSE 'coords' END WHEN bal % 2 > 1 THEN CASE WHEN id % 3 = 0 THEN 'heights' ELSE 'coords' END END AS extent_from

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import instances as obj
 from ..operators import raster, sampling, scans, viewshed
 from .base import query, table, view
-from .q_zones import GRIDS_SQL, OBJECTS_SQL, OCC_SQL, OCC_TAIL, base_raster, objects
+from .q_zones import GRIDS_SQL, OBJECTS_SQL, OCC_SQL, OCC_TAIL, base_raster, objects, pools
 
 # ---- statistics and packing ------------------------------------------------------------------
 
@@ -379,6 +379,24 @@ def viewshed_objects(spark, sf):
     )
 
 
+_REPAIRED = """
+WITH fx_ground AS (SELECT i.map_id, i.pool_idx, i.x, i.z, CASE WHEN i.y IS NULL OR abs(i.y - r.h) > 120 THEN r.h ELSE i.y END AS y
+  FROM fx_instances i JOIN fx_raster r ON r.map_id = i.map_id AND r.px = least(greatest(floor(i.x / 500 * 50), 0), 49) AND r.pz = least(greatest(floor(i.z / 300 * 30), 0), 29)), """
+
+
+@query("viewshed_repaired", _REPAIRED + _BLOCKED.replace("FROM fx_instances i LEFT JOIN pc", "FROM fx_ground i LEFT JOIN pc").strip() + """
+SELECT map_id, observer, count(*) FILTER (visible) AS visible, CAST(sum(CASE WHEN visible THEN ray * step ELSE 0 END) AS BIGINT) AS mark FROM los GROUP BY map_id, observer""")
+def viewshed_repaired(spark, sf):
+    """Object heights are repaired from the ground, become an occupancy grid, and hide what is behind them."""
+    layers = view(spark, sf, "fx_layers")
+    grounded = sampling.instances_with_ground(view(spark, sf, "fx_instances"), base_raster(spark, sf), layers).select("map_id", "pool_idx", "x", "y", "z")
+    occ, grids = obj.build_occupancy(obj.instances_with_pool(grounded, obj.styled_pools(pools(spark, sf))))
+    los = viewshed.viewshed(view(spark, sf, "fx_observers"), base_raster(spark, sf), layers, occ, grids, rays=RAYS, range_m=RANGE, step_m=STEP)
+    return los.groupBy("map_id", "observer").agg(
+        F.count_if("visible").alias("visible"), F.sum(F.when(F.col("visible"), F.col("ray") * F.col("step")).otherwise(0)).alias("mark")
+    )
+
+
 @query("viewshed_packed", f"""
 WITH {_SIGHT} SELECT map_id, observer, ray, count(*) FILTER (slope >= before) AS visible FROM seen GROUP BY ALL""")
 def viewshed_packed(spark, sf):

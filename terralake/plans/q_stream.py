@@ -13,12 +13,17 @@ def _stream(spark, sf, name):
 
 
 @query("stream_index", """
-SELECT event_type || '_' || user_id AS name, CAST(row_number() OVER (ORDER BY event_type || '_' || user_id) AS BIGINT) AS pos, arg_max(value, event_id) AS value FROM events GROUP BY event_type, user_id""")
+WITH e AS (SELECT *, event_type || '_' || user_id AS name, event_id % 3 AS part FROM events)
+SELECT name, CAST(row_number() OVER (ORDER BY min(part), name) AS BIGINT) AS pos, arg_max(value, part * 1000000000 + event_id) AS value FROM e GROUP BY name""")
 def stream_index(spark, sf):
-    entries = _stream(spark, sf, "events").select(
-        F.concat_ws("_", "event_type", F.col("user_id").cast("string")).alias("name"), F.col("event_id").alias("seq"), "value"
-    )
+    """Three files arrive one after the other, hence three batches."""
+    source = scratch_path(spark, "arriving")
+    events = table(spark, sf, "events").withColumn("name", F.concat_ws("_", "event_type", F.col("user_id").cast("string")))
+    for part in range(3):
+        rows = events.filter(F.col("event_id") % 3 == part).select("name", F.col("event_id").alias("seq"), "value")
+        rows.coalesce(1).write.mode("append").parquet(source)
     path = scratch_path(spark, "index")
+    entries = spark.readStream.schema("name string, seq long, value double").option("maxFilesPerTrigger", 1).parquet(source)
     jobs.stream_index(entries, path, scratch_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     return jobs.read_index(spark, path).select("name", "pos", "value")
 

@@ -43,6 +43,11 @@ MANIFEST_SCHEMA = (
     " location struct<latitude: double, longitude: double>,"
     f" heightmap {_LAYER}, colormap struct<file: string, width: int, height: int>,"
     f" terrainPaint struct<file: string, width: int, height: int>, tileGrid {_LAYER},"
+    " layers array<struct<layer: string, width: int, height: int, world_extent: array<double>>>,"
+    " landclasses array<struct<lc_idx: int, name: string, texture: string>>,"
+    " pools array<struct<pool_idx: int, name: string, category: string, count: bigint>>, instanceCount bigint, poolCount bigint,"
+    f" normalMap {_LAYER}, heightmapDetail {_LAYER}, tiles array<struct<index: int, file: string>>,"
+    " materials array<struct<name: string, file: string>>, sun struct<azimuth: double, elevation: double>,"
     " hasMissions boolean"
 )
 
@@ -225,3 +230,18 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
         .text(root, wholetext=True).select(parent_name(path).alias("map_id"), F.col("value").alias("text"))
     )
     return parse_manifests(raw)
+
+
+def read_manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Manifests written as JSON lines; the document names its map."""
+    lines = spark.read.text(path).select(F.get_json_object("value", "$.mapName").alias("map_id"), F.col("value").alias("text"))
+    return parse_manifests(lines)
+
+
+def manifest_summary(manifests: DataFrame) -> DataFrame:
+    """Numbers of layers, landclasses and pools, and what a map has, from its manifest."""
+    return manifests.select(
+        "map_id", *[F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("int").alias(c) for c in ("layers", "landclasses", "pools")],
+        F.coalesce("instanceCount", F.lit(0)).cast("long").alias("instanceCount"), F.coalesce("hasMissions", F.lit(False)).alias("hasMissions"),
+        *[F.col(c).isNotNull().alias(f"has_{c}") for c in ("heightmap", "terrainPaint", "colormap")],
+    )

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_instances(instances: DataFrame, path: str, files_per_level: int = 8, mode: str = "overwrite") -> None:
-    """Object table by level, positions rounded to 0.1 m. A large level is written by several tasks."""
+def write_instances(instances: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Object table by level, positions rounded to 0.1 m.
+
+    The rows are rebalanced by level at run time: small levels share tasks, and a large one is split by its size.
+    """
     rounded = instances.withColumns({
         c: (F.round(F.col(c).cast("double") * 10) / 10).cast("float") for c in ("x", "y", "z")
     })
-    spread = rounded.repartition("map_id", F.pmod(F.hash("x", "z"), F.lit(files_per_level)))
-    spread.write.mode(mode).partitionBy("map_id").parquet(path)
+    rounded.hint("rebalance", "map_id").write.mode(mode).partitionBy("map_id").parquet(path)
 
 
 def write_raster(tiles: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -50,5 +52,5 @@ def assemble_manifests(maps: DataFrame, layers: DataFrame | None = None, landcla
 
 
 def write_manifest(maps: DataFrame, path: str, mode: str = "overwrite", **tables: DataFrame) -> None:
-    """Write the documents as JSON lines, one per map."""
+    """Write the documents as JSON lines, one per map; ``readers.read_manifest_lines`` reads them back."""
     assemble_manifests(maps, **tables).select(F.col("manifest").alias("value")).write.mode(mode).text(path)

@@ -8,37 +8,49 @@ from pyspark.sql import functions as F
 
 from ..operators.catalog import upsert_index
 
-VERSION = "v"
+VERSION, WHOLE = "v", "whole"
+COMPACT_EVERY = 16
 
 
-def read_index(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Latest version of a versioned index (or the latest one before a given version)."""
+def read_index(spark: SparkSession, path: str, before: int | None = None, key: str = "name") -> DataFrame | None:
+    """Latest entries of a versioned index (or those before a given version); None where nothing is written yet.
+
+    A version holds the entries that its batch changed, or the whole index; only versions from the last whole one on are read.
+    """
     try:
         table = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":  # any other failure must not restart the index
+            raise
         return None
     if before is not None:
         table = table.filter(F.col(VERSION) < before)
-    last = table.agg(F.max(VERSION)).first()[0]
-    return None if last is None else table.filter(F.col(VERSION) == last).drop(VERSION)
+    first, last = table.agg(F.max(F.when(F.col(WHOLE) == 1, F.col(VERSION))), F.max(VERSION)).first()
+    if last is None:
+        return None
+    values = [c for c in table.columns if c not in (key, VERSION, WHOLE)]
+    recent = table.filter(F.col(VERSION) >= first) if first is not None else table
+    return recent.groupBy(key).agg(F.max_by(F.struct(*values), VERSION).alias("_e")).select(key, "_e.*")
 
 
-def apply_batch(batch: DataFrame, batch_id: int, path: str, key: str = "name") -> None:
+def apply_batch(batch: DataFrame, batch_id: int, path: str, key: str = "name", compact_every: int = COMPACT_EVERY) -> None:
     """Merge a batch of entries into the index as version ``batch_id``.
 
-    A repeated batch starts from the version before it and overwrites its own output, so delivering
-    it again changes nothing. Of several entries with the same key the latest (``seq``) counts.
+    Only changed entries are written, and the whole index in every ``compact_every``-th version. A repeated batch starts from
+    the versions before it and overwrites its own output, so delivering it again changes nothing. Of several entries with the
+    same key the latest (``seq``) counts. An index belongs to one checkpoint: versions are its batch numbers.
     """
     spark = batch.sparkSession
     values = [c for c in batch.columns if c not in (key, "seq")]
     newest = batch.groupBy(key).agg(F.max_by(F.struct(*values), "seq").alias("_e")).select(key, "_e.*")
-    current = read_index(spark, path, before=batch_id)
+    current = read_index(spark, path, batch_id, key)
     if current is None:
-        empty = newest.limit(0).withColumn("pos", F.lit(0).cast("long"))
-        merged = upsert_index(empty, newest, key)
-    else:
-        merged = upsert_index(current, newest, key)
-    merged.write.mode("overwrite").parquet(f"{path}/{VERSION}={batch_id}")
+        current = newest.limit(0).withColumn("pos", F.lit(0).cast("long"))
+    merged = upsert_index(current, newest, key)
+    whole = int(batch_id % compact_every == 0)
+    if not whole:
+        merged = merged.join(newest.select(key), key, "left_semi")
+    merged.write.mode("overwrite").parquet(f"{path}/{VERSION}={batch_id}/{WHOLE}={whole}")
 
 
 def stream_index(stream: DataFrame, index_path: str, checkpoint: str, key: str = "name"):
