@@ -332,6 +332,21 @@ def write_manifest(spark, sf):
     )
 
 
+@query("height_source", """
+SELECT id, CASE WHEN bal % 5 > 2 THEN 'height' WHEN bal > 0 THEN 'tiles' END AS file,
+  CASE WHEN bal % 5 > 2 THEN CASE WHEN id % 3 = 0 THEN 'heights' ELSE 'coords' END WHEN bal > 0 THEN 'coords' END AS extent_from FROM fx_maps""")
+def height_source(spark, sf):
+    def box(name, when):
+        return F.when(when, F.struct(F.lit(name).alias("origin")))
+
+    m = view(spark, sf, "fx_maps").select(
+        "id", F.when(F.col("bal") % 5 > 2, "height").alias("height"), F.when(F.col("bal") > 0, "tiles").alias("tiles"), F.lit(None).cast("string").alias("none"),
+        box("heights", F.col("id") % 3 == 0).alias("hx"), box("coords", F.lit(True)).alias("mx"), box("grid", F.lit(False)).alias("gx"),
+    )
+    main = catalog.main_source("none", "none", "tiles", "gx", "hx", "mx")
+    return m.select("id", catalog.height_source("height", "hx", "mx", main).alias("s")).select("id", "s.file", F.col("s.extent.origin").alias("extent_from"))
+
+
 @query("manifest_round_trip", """
 WITH l AS (SELECT map_id, count(*) AS n FROM fx_layers GROUP BY map_id), c AS (SELECT map_id, count(*) AS n FROM fx_lcs GROUP BY map_id),
 p AS (SELECT map_id, count(DISTINCT pool_idx) AS n, count(*) AS i FROM fx_instances GROUP BY map_id)

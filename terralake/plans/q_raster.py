@@ -94,11 +94,12 @@ def gradient_normals(spark, sf):
 @query("gradient_normals_metres", """
 WITH g AS (SELECT map_id, px, pz, -(lead(h) OVER x - lag(h) OVER x) / 20.0 AS gx, -(lead(h) OVER z - lag(h) OVER z) / 20.0 AS gz FROM fx_raster
   WINDOW x AS (PARTITION BY map_id, pz ORDER BY px), z AS (PARTITION BY map_id, px ORDER BY pz)),
-n AS (SELECT *, sqrt(gx * gx + gz * gz + 1) AS m FROM g)
-SELECT map_id, px, pz, CASE WHEN px BETWEEN 1 AND 48 AND pz BETWEEN 1 AND 28 THEN CAST(trunc((1 / m * 0.5 + 0.5) * 255.0) AS INT) ELSE 0 END AS nb FROM n""")
+n AS (SELECT *, sqrt(gx * gx + gz * gz + 1) AS m, px BETWEEN 1 AND 48 AND pz BETWEEN 1 AND 28 AS inner_cell FROM g)
+SELECT map_id, px, pz, CASE WHEN inner_cell THEN CAST(trunc((gx / m * 0.5 + 0.5) * 255.0) AS INT) ELSE 0 END AS nr,
+  CASE WHEN inner_cell THEN CAST(trunc((gz / m * 0.5 + 0.5) * 255.0) AS INT) ELSE 0 END AS ng, CASE WHEN inner_cell THEN CAST(trunc((1 / m * 0.5 + 0.5) * 255.0) AS INT) ELSE 0 END AS nb FROM n""")
 def gradient_normals_metres(spark, sf):
     layers = view(spark, sf, "fx_layers").withColumn("cell_size", F.lit(10.0))
-    return raster.gradient_normals(base_raster(spark, sf), layers, "cell_size").select("map_id", "px", "pz", "nb")
+    return raster.gradient_normals(base_raster(spark, sf), layers, "cell_size").select("map_id", "px", "pz", "nr", "ng", "nb")
 
 
 # ---- filling ---------------------------------------------------------------------------------

@@ -123,10 +123,11 @@ def tint_water(spark, sf):
 
 
 @query("tint_water_tactical", """
-SELECT map_id, px, pz, CASE WHEN b > 128 THEN CAST(round(r * 0.55::DOUBLE + 18 * 0.45::DOUBLE) AS INT) ELSE r END AS r FROM fx_rgb""")
+SELECT map_id, px, pz, CASE WHEN b > 128 THEN CAST(round(r * 0.55::DOUBLE + 18 * 0.45::DOUBLE) AS INT) ELSE r END AS r,
+  CASE WHEN b > 128 THEN CAST(round(g * 0.55::DOUBLE + 86 * 0.45::DOUBLE) AS INT) ELSE g END AS g, CASE WHEN b > 128 THEN CAST(round(b * 0.55::DOUBLE + 145 * 0.45::DOUBLE) AS INT) ELSE b END AS b FROM fx_rgb""")
 def tint_water_tactical(spark, sf):
     rgb = view(spark, sf, "fx_rgb").select("map_id", "px", "pz", "r", "g", "b")
-    return terrain.tint_water(rgb, rgb.filter("b > 128"), terrain.MAP_WATER_COLOR, 0.45, "nearest").select("map_id", "px", "pz", "r")
+    return terrain.tint_water(rgb, rgb.filter("b > 128"), terrain.MAP_WATER_COLOR, 0.45, "nearest").select("map_id", "px", "pz", "r", "g", "b")
 
 
 # grey picture, blurred in rows and columns with a cut-off at three sigma
