@@ -129,24 +129,44 @@ def fnv1a64(text: pd.Series) -> pd.Series:
     return text.map(seen)
 
 
-@F.pandas_udf(T.IntegerType())
-def _noise(seed: pd.Series, gx: pd.Series, gy: pd.Series, chan: pd.Series) -> pd.Series:
+def seed_bits(seed: ColumnOrName) -> Column:
+    """Unsigned 64-bit number (a decimal) as the BIGINT with the same bits."""
+    s, half, whole = col(seed), F.lit(str(1 << 63)).cast("decimal(20,0)"), F.lit(str(1 << 64)).cast("decimal(20,0)")
+    return F.when(s >= half, s - whole).otherwise(s).cast("long")
+
+
+def _mixed(seed: pd.Series, gx: pd.Series, gy: pd.Series, chan) -> np.ndarray:
     u = np.uint64
     with np.errstate(over="ignore"):
-        h = np.array([int(v) for v in seed], dtype=u) ^ (gx.to_numpy(dtype=u) << u(32))
-        h ^= gy.to_numpy(dtype=u) ^ (chan.to_numpy(dtype=u) << u(56)) ^ u(MIX_SEED)
+        h = seed.to_numpy(np.int64).view(u) ^ (gx.to_numpy(np.int64).view(u) << u(32))
+        h ^= gy.to_numpy(np.int64).view(u) ^ (chan << u(56)) ^ u(MIX_SEED)
         h ^= h >> u(33)
         h *= u(MIX_FIRST)
         h ^= h >> u(33)
         h *= u(MIX_SECOND)
         h ^= h >> u(33)
     centred = (h & u(0xFF)).astype(np.int32) - 128
-    return pd.Series(128 + np.trunc(centred * 24 / 128).astype(np.int32))
+    return 128 + np.trunc(centred * 24 / 128).astype(np.int32)
+
+
+@F.pandas_udf(T.IntegerType())
+def _noise(seed: pd.Series, gx: pd.Series, gy: pd.Series, chan: pd.Series) -> pd.Series:
+    return pd.Series(_mixed(seed, gx, gy, chan.to_numpy(np.int64).view(np.uint64)))
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in "rgb"]))
+def _noise_rgb(seed: pd.Series, gx: pd.Series, gy: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({c: _mixed(seed, gx, gy, np.uint64(i)) for i, c in enumerate("rgb")})
 
 
 def noise_byte(seed: ColumnOrName, gx: ColumnOrName, gy: ColumnOrName, chan) -> Column:
-    """Repeatable grey noise around 128 for landclasses without a texture."""
-    return _noise(col(seed), col(gx).cast("long"), col(gy).cast("long"), num(chan).cast("long"))
+    """Repeatable grey noise around 128 for landclasses without a texture; the seed is an unsigned number (a decimal)."""
+    return _noise(seed_bits(seed), col(gx).cast("long"), col(gy).cast("long"), num(chan).cast("long"))
+
+
+def noise_rgb(bits: ColumnOrName, gx: ColumnOrName, gy: ColumnOrName) -> Column:
+    """Noise of all three channels in one call, from the bits of the seed."""
+    return _noise_rgb(col(bits), col(gx).cast("long"), col(gy).cast("long"))
 
 
 # ---- JSON fields -----------------------------------------------------------------------------

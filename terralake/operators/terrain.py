@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions._col import clamp, floor_long, trunc_long
-from ..functions.codec import fnv1a64, noise_byte
+from ..functions.codec import fnv1a64, noise_rgb, seed_bits
 from ..functions.names import sanitize_det
 from .raster import _keys, _layers_for, _tile_keys, box_sums, with_halo
 from .scans import fan_out, join_dim
@@ -52,9 +52,9 @@ def hillshade(rgb: DataFrame, normals: DataFrame, azimuth: float = 30.0, elevati
 
 
 def noise_seed(landclasses: DataFrame) -> Column:
-    """Seed of a landclass's noise: hash of its authored texture (column ``authored``, where there is one), else its name, else ``lc``."""
+    """Bits of the seed of a landclass's noise: hash of its authored texture (column ``authored``, where there is one), else its name, else ``lc``."""
     named = [F.col(c) for c in ("authored", "name") if c in landclasses.columns]
-    return fnv1a64(F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in named], F.lit("lc")))
+    return seed_bits(fnv1a64(F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in named], F.lit("lc"))))
 
 
 def known_details(landclasses: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -86,7 +86,8 @@ def sample_tiled_texture(points: DataFrame, textures: DataFrame, sizes: DataFram
     if seed is None:
         return found
     noisy = F.col("r").isNull() & F.col(seed).isNotNull()
-    shown = found.filter(noisy).withColumns({c: noise_byte(seed, "gx", "gy", i) for i, c in enumerate(RGB)})
+    shown = found.filter(noisy).withColumn("_noise", noise_rgb(seed, "gx", "gy"))
+    shown = shown.withColumns({c: F.col(f"_noise.{c}") for c in RGB}).drop("_noise")
     return found.filter(~noisy).unionByName(shown)
 
 
