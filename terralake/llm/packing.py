@@ -18,6 +18,7 @@ NOT_BLANK = np.ones(256, bool)
 NOT_BLANK[[9, 10, 32]] = False
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
+CHUNK = 1 << 13  # words encoded at once
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[list(b",.|%$&#*!")] = True
 
@@ -32,7 +33,7 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return word_bounds(data, offsets, NOT_BLANK, cuts)
 
 
-def word_encoder(path: str, most: int = 400_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+def word_encoder(path: str, most: int = 300_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """Ids of whole texts and their number per text, for tokenizers that ignore blanks and case and never span a blank, nor a letter
     and the punctuation behind it.
 
@@ -42,7 +43,7 @@ def word_encoder(path: str, most: int = 400_000) -> Callable[[pa.Array], tuple[n
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[int, np.ndarray] = {}
+    known: dict[int, bytes] = {}
     special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,12 +65,15 @@ def word_encoder(path: str, most: int = 400_000) -> Callable[[pa.Array], tuple[n
         unseen = [i for i, k in enumerate(keys) if k not in known]
         at = first[unseen]
         text = data.tobytes()
-        fresh = [text[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-        for i, e in zip(unseen, tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            known[keys[i]] = np.array(e.ids, "<u4")
+        spans = list(zip(unseen, starts[at].tolist(), ends[at].tolist()))
+        for low in range(0, len(spans), CHUNK):
+            some = spans[low:low + CHUNK]
+            fresh = [text[s:e].decode("utf-8", "replace") for _, s, e in some]
+            for (i, _, _), e in zip(some, tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+                known[keys[i]] = np.array(e.ids, "<u4").tobytes()
         own = [known[k] for k in keys]
-        size = np.array([len(x) for x in own], np.int64)
-        flat, begin = np.concatenate([np.zeros(0, "<u4"), *own]), np.cumsum(size) - size
+        size = np.array([len(x) for x in own], np.int64) // 4
+        flat, begin = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size) - size
         count = size[inverse]
         upto = np.concatenate([[0], np.cumsum(count)])
         ids = flat[np.repeat(begin[inverse] - upto[:-1], count) + np.arange(upto[-1])]
@@ -131,7 +135,7 @@ def _pack(keys: list, ids: list[np.ndarray], first: int, most: int, linear: floa
 
 
 def pack_texts(mission_files: DataFrame, tokenizer: str, key: str = "file", text: str = "value", end_id: int = 2, most: int = 4096,
-               group_tokens: int = 1 << 22, linear: float = 1.0, quadratic: float = 1 / 4096) -> DataFrame:
+               group_tokens: int = 1 << 21, linear: float = 1.0, quadratic: float = 1 / 4096) -> DataFrame:
     """Pack texts (mission files by ``file``) into sequences: one row ``<key>, start, length, ids_crc32, doc_tokens, sequence_id, offset`` a piece.
 
     ``tokenizer`` is the path of a tokenizer file on the executors. A text's ids are those of its whole text followed by

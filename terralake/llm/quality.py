@@ -85,17 +85,18 @@ class Evidence:
     bias: float
     prior: float
 
-    def log_odds(self) -> Column:
-        """Column function from bins to the evidence of a document, without any prior."""
+    def log_odds(self, bins: str | None = None, text: str | None = None) -> Column:
+        """Evidence of a document, without any prior, from its feature bins or from its text."""
         weights, bias = self.weights, self.bias
 
         @F.pandas_udf("double")
-        def evidence(bins: pd.Series) -> pd.Series:
-            if not len(bins):
+        def evidence(values: pd.Series) -> pd.Series:
+            if not len(values):
                 return pd.Series([], dtype=float)
-            return pd.Series(weights[np.arange(N_FEATURES), np.stack(bins.to_list()).astype(int)].sum(axis=1) + bias, index=bins.index)
+            own = text_features(pa.array(values, pa.string(), from_pandas=True)) if bins is None else np.stack(values.to_list())
+            return pd.Series(weights[np.arange(N_FEATURES), own.astype(int)].sum(axis=1) + bias, index=values.index)
 
-        return evidence
+        return evidence(F.col(bins or text))
 
 
 def fit_evidence(labelled: DataFrame, rounds: int = 300, rate: float = 0.5, ridge: float = 2e-3) -> Evidence:
@@ -162,16 +163,16 @@ def site_priors(judged: DataFrame, prior: float, host: str = "host", path: str =
 
 
 def judge_quality(documents: DataFrame, evidence: Evidence, priors: DataFrame, host: str = "host", path: str = "path", bins: str = "bins",
-                  least: float = 0.5) -> DataFrame:
+                  text: str | None = None, least: float = 0.5) -> DataFrame:
     """All columns of ``documents`` but ``bins``, plus ``evidence, site_prior, quality, keep``.
 
-    ``quality`` is the chance that a document is good: its site's prior odds times the odds of its evidence; ``keep`` where it is ``least``
+    The evidence comes from ``bins``, or from the column ``text`` where that is given. ``quality`` is the chance that a document is good: its site's prior odds times the odds of its evidence; ``keep`` where it is ``least``
     or more. A site without priors has the global one. Columns with the names of results are replaced.
     """
     results = ("evidence", "host_prior", "site_prior", "quality", "keep", bins)
     kept = [c for c in documents.columns if c not in results]
     sites = priors.select(priors[host].alias("_host"), priors[path].alias("_path"), F.col("site_prior").alias("_prior"))
-    scored = documents.withColumn("_evidence", evidence.log_odds()(F.col(bins)))
+    scored = documents.withColumn("_evidence", evidence.log_odds(None if text else bins, text))
     joined = scored.join(sites, scored[host].eqNullSafe(sites["_host"]) & scored[path].eqNullSafe(sites["_path"]), "left")
     site = F.coalesce("_prior", F.lit(evidence.prior))
     site = F.least(F.greatest(site, F.lit(1e-6)), F.lit(1 - 1e-6))
@@ -191,5 +192,5 @@ def fit_quality(documents: DataFrame, labels: DataFrame, key: str = "doc_id", la
     rated = documents.join(known, key, "left")
     evidence = fit_evidence(rated.filter("label IS NOT NULL").select("label", F.col(bins).alias("bins")))
     base = float(np.log(evidence.prior / (1 - evidence.prior)))
-    share = F.coalesce(F.col("label").cast("double"), 1 / (1 + F.exp(-(evidence.log_odds()(F.col(bins)) + base))))
+    share = F.coalesce(F.col("label").cast("double"), 1 / (1 + F.exp(-(evidence.log_odds(bins) + base))))
     return evidence, site_priors(rated.select(host, path, share.alias("share")), evidence.prior, host, path)

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-BLOCK = 1 << 20
+BLOCK = 1 << 18  # bytes hashed at once
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -33,7 +33,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def row_groups(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def row_groups(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` bytes; a longer row is a range of its own."""
     row, rows = 0, len(offsets) - 1
     while row < rows:
