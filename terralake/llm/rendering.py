@@ -20,6 +20,7 @@ INVISIBLE_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video canvas object svg math".split())
+HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())  # what leaves an open head open
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section summary table tbody "
@@ -153,6 +154,8 @@ class Page:
     # -- tree ---------------------------------------------------------------------------------
 
     def start(self, name: str, attrs: str) -> None:
+        if self.hidden and name not in HEAD:
+            self.end_head(name == "body")
         if name in BLOCKS and self.count.get("p") and name not in CELLS and name not in SECTIONS and name != "tr":
             self.close({"p"}, {"table", "td", "th", "caption", "button"})
         if name in ENDS:
@@ -179,6 +182,11 @@ class Page:
         else:
             self.opened(name, found)
 
+    def end_head(self, outright: bool = False) -> None:
+        """End an open head at what can't stand directly inside it; outright also with what it holds, templates aside."""
+        if self.open and self.open[-1][0] == "head" or outright and self.count.get("head") and not self.count.get("template"):
+            self.close({"head"}, frozenset())
+
     def within(self, name: str, limit: str) -> bool:
         for own, _ in reversed(self.open):
             if own in (name, limit):
@@ -200,7 +208,9 @@ class Page:
     def end(self, name: str) -> None:
         if name == "br":
             self.start("br", "")
-        elif name not in ("html", "body") and self.count.get(name):
+        elif name in ("html", "body"):
+            self.end_head()
+        elif self.count.get(name):
             self.close({name}, frozenset() if name == "table" else {"table"} if name in CELLS | SECTIONS | {"tr"} else {"table", "td", "th", "caption"})
 
     def pop(self) -> None:
@@ -261,6 +271,8 @@ class Page:
                 flow.indent = flow.indent[:len(flow.indent) - attrs["_indent"]]
 
     def text(self, raw: str) -> None:
+        if self.hidden and SPACE.sub("", raw):
+            self.end_head()
         if self.hidden or not raw:
             return
         kept = bool(self.count.get("pre") or self.count.get("textarea") or self.count.get("listing") or self.count.get("xmp"))
@@ -276,7 +288,7 @@ class Page:
 def visible_text(source: str) -> str:
     """All visible text of a page.
 
-    Unclosed paragraphs, items, rows and cells end where HTML says; rows are implied around stray cells. Not visible: comments, scripts,
+    Unclosed heads, paragraphs, items, rows and cells end where HTML says; rows are implied around stray cells. Not visible: comments, scripts,
     styles, the head, templates, what stands in for missing features (``noscript``), and elements with ``hidden``, ``display: none`` or
     ``visibility: hidden``. Pictures and form values have no text. Paragraphs, headings, lists and tables are set off by an empty
     line, other blocks by a line break; items carry ``- `` or their number and are indented by depth; cells are padded to the width of

@@ -29,6 +29,18 @@ def test_rules(source, text):
     assert visible_text(source).strip("\n").rstrip() == text.strip("\n").rstrip() or visible_text(source) == text
 
 
+@pytest.mark.parametrize("source,text", [
+    ("<html><head><title>t</title><body><p>text", "text"), ("<head><title>t</title><meta charset=x><link rel=y>\n<p>a<p>b", "a\n\nb"),
+    ("<head>\n<style>s</style> bare text<p>b", "bare text\n\nb"), ("<head><script>s()</script><div>a</div></head>b", "a\nb"),
+    ("<head><title>t</title></body></html>late", "late"), ("<head><title>t</title><br>a", "a"), ("<head><head><title>t</title><html><body>a", "a"),
+    ("<head><noscript>n<body>a", "a"), ("<head><noscript><img></noscript><meta><template><p>no</template><p>a", "a"), ("<title>t</title><p>a", "a"),
+    ("<head hidden><body>a", "a"), ("<div hidden><head><title>t</title><p>no</div>a", "a"), ("<head><title>t</title>&nbsp;a", " a"),
+    ("<html><head><title>t</title></head><p>a", "a"), ("<head><title>t</title>  \n", ""),
+])
+def test_heads_without_end_tag(source, text):
+    assert visible_text(source) == text
+
+
 def page(rng, depth):
     """A random page: markup with end tags, markup without the ones that may be left out, and its text."""
     word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 7)))
@@ -62,6 +74,14 @@ def test_round_trip_with_and_without_implied_tags():
         assert visible_text(short) == text
 
 
+def test_round_trip_without_tags_of_head_and_body():
+    rng = random.Random(10)
+    for _ in range(100):
+        _, short, text = page(rng, 1)
+        assert visible_text(f"<!DOCTYPE html><html><head><title>x</title>\n<meta name=m>{short}") == text
+        assert visible_text(f"<!DOCTYPE html><title>x</title><body>{short}") == text
+
+
 def test_deep_and_long_pages():
     assert visible_text("<div>" * 50000 + "x") == "x"
     assert visible_text("<b>" * 50000 + "x" + "<p>y" * 2).endswith("y")
