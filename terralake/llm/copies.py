@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ TREES = 24
 DEPTH = 4  # values of a signature that two neighbours share at least
 HASHES = TREES * DEPTH
 NEIGHBOURS = 3
+COMMON = 32  # a shingle of more texts of a block than this is counted by a product of matrices
 _DRAWN = np.random.default_rng(20240607)
 TURNS = _DRAWN.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 FACTORS = _DRAWN.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -99,18 +102,20 @@ def _agreeing(a1, a2, b1, b2) -> np.ndarray:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbours in sorted rows ``tree, hi, lo, id, bits1, bits2``; the first and last rows of a partition also go on as they are."""
-    names = ["tree", "hi", "lo", "id", "bits1", "bits2"]
+    """Pairs of neighbours in sorted rows ``tree, hi, id, bits1, bits2``; the first and last rows of a partition also go on, with their place."""
+    names = ["tree", "hi", "id", "bits1", "bits2"]
+    part = TaskContext.get().partitionId()
 
-    def ends(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), *[pa.array(rows[:, i]) for i in range(6)]], ["a", "b", *names])
+    def ends(rows: np.ndarray, first: int) -> pa.RecordBatch:
+        place = [pa.array(np.full(len(rows), part)), pa.array(np.arange(first, first + len(rows)))]
+        return pa.record_batch([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), *place, *[pa.array(rows[:, i]) for i in range(5)]], ["a", "b", "part", "at", *names])
 
-    held, begun = np.zeros((0, 6), np.int64), False
+    held, total = np.zeros((0, 5), np.int64), 0
     for batch in batches:
         own = np.column_stack([np.asarray(batch.column(n)) for n in names]).astype(np.int64)
-        if not begun and len(own):
-            yield ends(own[:NEIGHBOURS])
-            begun = True
+        if not total and len(own):
+            yield ends(own[:NEIGHBOURS], 0)
+        total += len(own)
         rows = np.concatenate([held, own])
         for d in range(1, NEIGHBOURS + 1):
             x, y = rows[:-d], rows[d:]
@@ -118,30 +123,31 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = x[max(0, len(held) - d):], y[max(0, len(held) - d):]
             if not len(y):
                 continue
-            near = (x[:, 0] == y[:, 0]) & (x[:, 1] == y[:, 1]) & (_agreeing(x[:, 4], x[:, 5], y[:, 4], y[:, 5]) >= LEAST_BITS)
-            a, b = np.minimum(x[near, 3], y[near, 3]), np.maximum(x[near, 3], y[near, 3])
+            near = (x[:, 0] == y[:, 0]) & (x[:, 1] == y[:, 1]) & (_agreeing(x[:, 3], x[:, 4], y[:, 3], y[:, 4]) >= LEAST_BITS)
+            a, b = np.minimum(x[near, 2], y[near, 2]), np.maximum(x[near, 2], y[near, 2])
             once = np.unique(np.column_stack([a, b]), axis=0)
-            yield pa.record_batch([pa.array(once[:, 0]), pa.array(once[:, 1]), *[pa.nulls(len(once), pa.int64()) for _ in range(6)]], ["a", "b", *names])
+            yield pa.record_batch([pa.array(once[:, 0]), pa.array(once[:, 1]), *[pa.nulls(len(once), pa.int64()) for _ in range(7)]], ["a", "b", "part", "at", *names])
         held = rows[-NEIGHBOURS:]
     if len(held):
-        yield ends(held)
+        yield ends(held, total - len(held))
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
     """Pairs ``a < b`` that are neighbours in some tree of the forest.
 
-    A tree is the sorted order of all signatures, read from one position on. Neighbours share the longest prefix that any text
-    shares with them; pairs with fewer than ``DEPTH`` common values, or too few common sketch bits, are left out. In a crowded region the
-    order goes on by the next values, which deepens the prefix just there. Rows are range-partitioned, so a region may span tasks.
+    A tree is the sorted order of all signatures, read from one position on to the end and around. Neighbours share the longest prefix that any
+    text shares with them; pairs with fewer than ``DEPTH`` common values, or too few common sketch bits, are left out. Rows are
+    range-partitioned, so a region may span tasks.
     """
     leaves = distinct.select(
         "id", "bits1", "bits2", F.posexplode("trees").alias("tree", "hi"), "trees"
-    ).select(F.col("tree").cast("long").alias("tree"), "hi", F.expr(f"trees[(tree + 1) % {TREES}]").alias("lo"), "id", "bits1", "bits2")
-    order = ["tree", "hi", "lo", "id"]
-    schema = "a long, b long, tree long, hi long, lo long, id long, bits1 long, bits2 long"
-    found = cut(leaves.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, schema), "neighbours")
-    seams = found.filter("a IS NULL").select(*order, "bits1", "bits2").distinct()
-    here, w = F.struct("id", "hi", "bits1", "bits2"), W.partitionBy("tree").orderBy("hi", "lo", "id")
+    ).select(F.col("tree").cast("long").alias("tree"), "hi", F.expr(f"concat(slice(trees, tree + 2, {TREES}), slice(trees, 1, tree))").alias("rest"), "id", "bits1", "bits2")
+    order = ["tree", "hi", "rest", "id"]
+    schema = "a long, b long, part long, at long, tree long, hi long, id long, bits1 long, bits2 long"
+    found = leaves.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "hi", "id", "bits1", "bits2").mapInArrow(_neighbours, schema)
+    found = cut(found, "neighbours")
+    seams = found.filter("a IS NULL").select("part", "at", "tree", "hi", "id", "bits1", "bits2").distinct()
+    here, w = F.struct("id", "hi", "bits1", "bits2"), W.partitionBy("tree").orderBy("part", "at")
     ahead = seams.withColumn("others", F.array(*[F.lead(here, d).over(w) for d in range(1, NEIGHBOURS + 1)]))
     ahead = ahead.select("id", "hi", "bits1", "bits2", F.explode("others").alias("o"))
     differing = F.bit_count(F.col("bits1").bitwiseXOR(F.col("o.bits1"))) + F.bit_count(F.col("bits2").bitwiseXOR(F.col("o.bits2")))
@@ -190,6 +196,13 @@ def _verified(percent: int, all_pairs: int):
     return run
 
 
+def texts_of(wanted: DataFrame, mission_files: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFrame:
+    """A text (``id, text``) of every node of ``wanted``; only texts that are needed are shuffled, whatever join Spark picks."""
+    named = mission_files.select(mission_files[key].cast("long").alias("id"), mission_files[text].alias("text"))
+    named = named.filter(F.col("id").isNotNull()).filter(listed(wanted.select(F.xxhash64("id").alias("token")), F.xxhash64("id")))
+    return wanted.join(named, "id").dropDuplicates(["id"]).select("id", "text")
+
+
 def verified_links(pairs: DataFrame, mission_files: DataFrame, distinct: DataFrame, key: str, text: str, percent: int,
                    task_bytes: int, all_pairs: int) -> DataFrame:
     """Links ``a, b`` that join up the same texts as all pairs of ``pairs`` (``cluster, part, a, b``) that hold on their whole sets.
@@ -210,8 +223,107 @@ def verified_links(pairs: DataFrame, mission_files: DataFrame, distinct: DataFra
     )
 
 
+# ---- clusters with texts that are still apart ------------------------------------------------
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets: hashes of few sets pair by pair, those of many as a product of matrices."""
+    n = len(sets)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    often = np.diff(np.concatenate([starts, [len(flat)]]))
+    of_row = np.repeat(often, often)
+    out = np.zeros((n, n), np.int64)
+    rare = (of_row > 1) & (of_row <= COMMON)
+    values, who = flat[rare], owner[rare]
+    for d in range(1, COMMON):
+        same = values[d:] == values[:-d]
+        if not same.any():
+            break
+        out += np.bincount(who[:-d][same] * n + who[d:][same], minlength=n * n).reshape(n, n)
+    out += out.T
+    number = np.repeat(np.cumsum(often > COMMON) - 1, often)
+    number, who = number[of_row > COMMON], owner[of_row > COMMON]
+    for low in range(0, int((often > COMMON).sum()), 4096):
+        own = slice(*np.searchsorted(number, [low, low + 4096]))
+        holds = np.zeros((n, 4096), np.float32)
+        holds[who[own], number[own] - low] = 1
+        out += (holds @ holds.T).astype(np.int64)
+    return out
+
+
+def _joined(percent: int):
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        sets = shingle_sets(pa.array(block["text"], pa.string(), from_pandas=True))
+        ids, roots, size = block["id"].to_numpy(), block["root"].to_numpy(), np.array([len(s) for s in sets])
+        while len(sets):  # prefix filter: whoever shares fewer hashes with all others together than a link needs is out
+            values, often = np.unique(np.concatenate(sets), return_counts=True)
+            shared = np.array([(often[np.searchsorted(values, s)] > 1).sum() for s in sets])
+            keep = np.flatnonzero((100 * shared >= percent * size) & (size > 0))
+            if len(keep) == len(sets):
+                break
+            ids, roots, size, sets = ids[keep], roots[keep], size[keep], [sets[i] for i in keep]
+        out = []
+        if len({*roots}) > 1:
+            common = common_counts(sets)
+            linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+            parent = {r: r for r in roots.tolist()}
+
+            def find(i: int) -> int:
+                while parent[i] != i:
+                    parent[i] = parent[parent[i]]
+                    i = parent[i]
+                return i
+
+            for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked & (roots[:, None] != roots[None, :]))))):
+                x, y = find(int(roots[i])), find(int(roots[j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((min(x, y), max(x, y)))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def apart_links(members: DataFrame, mission_files: DataFrame, distinct: DataFrame, key: str, text: str, percent: int,
+                block_texts: int, block_bytes: int) -> DataFrame:
+    """Links ``a, b`` between components, from all pairs of texts of a cluster that are still apart; ``members`` holds ``cluster, id, root``.
+
+    Linked texts are equal or next in the classes of their sizes. A class of a cluster is dealt into salted blocks of bounded texts
+    and bytes, those of the cluster's largest component into blocks of their own, which aren't compared among themselves. Each
+    pair of blocks is one group, compared on whole sets.
+    """
+    step = max(math.log(100 / percent), 0.001) * 1.0001  # a bit more, for rounding
+    parts = members.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(
+        F.max_by("root", F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("parts")
+    )
+    open_ = members.join(parts.filter("parts > 1"), "cluster").join(distinct.select("id", "n_shingles", "n_bytes"), "id").select(
+        "cluster", "id", "root", "n_bytes", F.floor(F.log("n_shingles") / step).alias("class"), (F.col("root") == F.col("most")).alias("most")
+    )
+    dealt = ["cluster", "class", "most"]
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block_texts), F.ceil(F.sum("n_bytes") / block_bytes)).cast("int")
+    open_ = cut(open_, "apart")
+    stock = cut(open_.groupBy(*dealt).agg(blocks.alias("blocks")), "blocks")
+    salted = open_.join(stock, dealt).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(5)), "blocks").cast("int"))
+    x = stock.select("cluster", F.struct("class", "most").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    y = stock.select("cluster", F.struct("class", "most").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    ahead, within = F.col("y.class") - F.col("x.class"), F.col("x.most") == F.col("y.most")
+    pairs = x.join(y, "cluster").filter(~(F.col("x.most") & F.col("y.most"))).filter(
+        (ahead == 1) | (ahead == 0) & (within & (F.col("i") <= F.col("j")) | (F.col("x.most") < F.col("y.most")))
+    )
+    sides = pairs.select(
+        "cluster", F.xxhash64("cluster", "x", "i", "y", "j").alias("pair"),
+        F.explode(F.array_distinct(F.array(F.struct("x.*", F.col("i").alias("salt")), F.struct("y.*", F.col("j").alias("salt"))))).alias("side"),
+    ).select("cluster", "pair", "side.*")
+    compared = salted.join(sides, [*dealt, "salt"]).select("pair", "id", "root")
+    texts = texts_of(open_.select("id"), mission_files, distinct, key, text)
+    return compared.join(texts, "id").groupBy("pair").applyInPandas(_joined(percent), "a long, b long")
+
+
 def near_copies(mission_files: DataFrame, key: str = "file", text: str = "value", percent: int = 80, task_bytes: int = 1 << 23,
-                small_cluster: int = 1000, all_pairs: int = 64) -> DataFrame:
+                small_cluster: int = 1000, all_pairs: int = 64, block_texts: int = 512, block_bytes: int = 1 << 21) -> DataFrame:
     """Classes of near copies among texts (mission files by a numeric ``file``): ``<key>, n_shingles, component_id, kept``, one row per row.
 
     A-Z is lower-cased, words are split at blanks, and a text's set holds its distinct 2-word shingles (the word itself, if it has one;
@@ -221,7 +333,9 @@ def near_copies(mission_files: DataFrame, key: str = "file", text: str = "value"
     Texts with equal sets are one class from the start, so copies never multiply. Neighbours in the LSH forest are candidates; a pair
     of similarity 0.8 shares a prefix in some tree with probability 1 - 3e-6. Candidates form clusters; those of up to ``small_cluster``
     texts are verified in one task each, including all pairs of clusters of up to ``all_pairs`` texts that fall apart. In a larger cluster every
-    text is first compared with the cluster's smallest key, and only what isn't linked with it is compared with its own neighbours.
+    text is first compared with the cluster's smallest key, and only what isn't linked with it is compared with its own neighbours. In
+    every cluster of over ``all_pairs`` texts all pairs that are then still apart are compared too, in blocks of about ``block_texts`` texts or
+    ``block_bytes``: work that grows with the square of what stays apart in one cluster, within classes of like size.
 
     Null and empty texts have an empty set and are linked with nothing. Rows without a key take no part: their ``component_id`` is null
     and they are kept. Repeated rows get a row each; a repeated key is one node. An empty table gives an empty result.
@@ -248,6 +362,14 @@ def near_copies(mission_files: DataFrame, key: str = "file", text: str = "value"
         rest = open_.join(alone, "alone", "left_semi").select("cluster", parts("a"), "a", "b").distinct()
         links = cut(links.unionByName(verify(cut(rest, "checks"))), "links")
     joined = component_roots(links.select(F.lit(0).alias("map_id"), "a", "b")).select(F.col("a").alias("id"), F.col("root"))
+    crowded = sizes.filter(F.col("size") > all_pairs).select("cluster")
+    if not crowded.isEmpty():
+        members = roots.select("cluster", "id").unionByName(roots.select("cluster", F.col("cluster").alias("id")).distinct())
+        members = members.join(crowded, "cluster", "left_semi").join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        more = cut(apart_links(members, mission_files, distinct, key, text, percent, block_texts, block_bytes), "apart-links")
+        if not more.isEmpty():
+            both = joined.select(F.lit(0).alias("map_id"), F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more.select(F.lit(0).alias("map_id"), "a", "b"))
+            joined = component_roots(both).select(F.col("a").alias("id"), F.col("root"))
     classes = distinct.select(*sets, F.col("id").alias("first")).join(joined.withColumnRenamed("id", "first"), "first", "left")
     classes = classes.select(*sets, F.coalesce("root", "first").alias("component"))
     kept = sketched.select("id", *sets).join(classes, sets, "left").withColumn(

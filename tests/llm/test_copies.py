@@ -80,6 +80,54 @@ def test_large_family_of_near_copies(spark):
     assert sorted([tuple(r) for r in got], key=repr) == brute(rows)
 
 
+def template_family(texts, seed=5):
+    """Pages of one template in groups of close links; two groups are joined by one link each at J of just over 0.8, most not at all."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(120)]
+    rows = []
+    while len(rows) < texts:
+        cut, n = rng.randrange(0, 100), rng.randrange(13, 17)
+        own = template[:cut] + [f"g{len(rows)}x{i}" for i in range(n)] + template[cut + n:]
+        rows.append(" ".join(own))
+        if rng.random() < 0.3:  # at J 0.8 to 0.83 of the last one
+            at = rng.choice([p for p in range(0, 105) if p + 14 < cut or p > cut + n] or [0])
+            rows.append(" ".join(own[:at] + [f"h{len(rows)}x{i}" for i in range(12)] + own[at + 12:]))
+    ids = list(range(len(rows)))
+    rng.shuffle(ids)
+    return list(zip(ids, rows))
+
+
+def fast_brute(rows, percent=80):
+    sets = [shingles(t) for _, t in rows]
+    number = {}
+    m = np.zeros((len(rows), len({x for s in sets for x in s})), np.float32)
+    for i, s in enumerate(sets):
+        for x in s:
+            m[i, number.setdefault(x, len(number))] = 1
+    m = m[:, m.sum(0) > 1]
+    n, common = np.array([len(s) for s in sets]), m @ m.T
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = [i for i, _ in rows]
+    for i, j in zip(*np.nonzero(np.triu(100 * common >= percent * (n[:, None] + n[None] - common), 1))):
+        a, b = sorted((find(i), find(j)), key=lambda x: ids[x])
+        parent[b] = a
+    return sorted([(ids[i], len(sets[i]), ids[find(i)], find(i) == i) for i in range(len(rows))], key=repr)
+
+
+def test_template_family_of_thousands(spark):
+    rows = template_family(3000)
+    files = spark.createDataFrame(rows, "file long, value string").repartition(4)
+    got, want = sorted([tuple(r) for r in near_copies(files).collect()], key=repr), fast_brute(rows)
+    assert 300 < sum(not k for *_, k in want) < 2000
+    assert got == want
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     shared = rng.integers(0, 1 << 63, 800, dtype=np.uint64)
