@@ -28,7 +28,7 @@ def units(name: str, spark) -> int | None:
     """Rows a query works through, for a rate next to the seconds."""
     count = lambda t: spark.read.parquet(f"{SF_DIR}/{t}.parquet").count()
     if name.startswith("viewshed"):
-        return count("supplier") * 72 * 40  # observers x rays x steps
+        return count("supplier") * 360 * 375  # observers x rays x steps
     if name in ("sample_layers", "sample_tiles", "points_in_zones", "build_occupancy", "density_grid"):
         return count("lineitem")
     if name == "splat_blend":

@@ -313,7 +313,7 @@ def clearance(spark, sf):
 
 # ---- line of sight ---------------------------------------------------------------------------
 
-RAYS, STEP, RANGE = 72, 10.0, 400.0
+RAYS, STEP, RANGE = viewshed.RAYS, viewshed.STEP_M, viewshed.RANGE_M  # 360 rays, 4 m, 1,500 m
 N_STEPS = int(RANGE // STEP)
 
 _SIGHT = f"""

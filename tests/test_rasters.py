@@ -271,3 +271,28 @@ def test_outside_rules(spark):
 def test_flat_stand_in(spark):
     flat = terrain.pseudo_height(layers=layer(spark, 4, 4).select("map_id", "layer", "width", "height"))
     assert flat.count() == 512 * 512 and flat.agg(F.max("v"), F.min("v")).first() == (128.0, 128.0)
+
+
+def test_line_of_sight_queries_run_the_whole_size(spark):
+    from terralake.plans import q_raster
+
+    assert (q_raster.RAYS, q_raster.N_STEPS, q_raster.STEP) == (360, 375, 4.0)
+    rng = np.random.default_rng(4)
+    grid = rng.integers(0, 40, (30, 40)).astype(float)
+    grid[10:12, 20:30] = 90
+    extent = (0.0, 0.0, 2000.0, 1500.0)
+    obs = spark.createDataFrame([(1, 0, 900.5, 700.25)], "observer long, map_id long, x double, z double")
+    v = viewshed.viewshed(obs, cells(spark, grid).withColumn("layer", F.lit("base")), layer(spark, 40, 30, extent), rays=q_raster.RAYS, range_m=q_raster.RANGE, step_m=q_raster.STEP)
+    got = v.select("ray", "step", "visible").toPandas()
+    seen = np.zeros((360, 375), bool)
+    seen[got["ray"], got["step"]] = got["visible"]
+    dist = (np.arange(375) + 1) * 4.0
+    angle = np.arange(360)[:, None] / 360.0 * 2 * np.pi
+    at = lambda x, z: (np.floor(x / 2000 * 39 + 0.5).astype(int), np.floor(z / 1500 * 29 + 0.5).astype(int))
+    px, pz = at(900.5 + np.cos(angle) * dist, 700.25 + np.sin(angle) * dist)
+    inside = (px >= 0) & (px < 40) & (pz >= 0) & (pz < 30)
+    h = np.where(inside, grid[pz.clip(0, 29), px.clip(0, 39)], 0.0)
+    ex, ez = at(np.array(900.5), np.array(700.25))
+    slope = (h - (grid[ez, ex] + 5.0)) / dist
+    before = np.concatenate([np.full((360, 1), -1e10), np.maximum.accumulate(slope, 1)[:, :-1]], 1)
+    assert len(got) == 360 * 375 and (seen != (slope >= before)).sum() <= 20  # cosines may differ in the last bit
