@@ -19,7 +19,7 @@ INVISIBLE_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*
 # Fixed values of HTML: what has no content, whose content is no markup, and what is never shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video canvas object svg math".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video canvas object".split())
 HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())  # what leaves an open head open
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -27,6 +27,17 @@ BLOCKS = frozenset(
     "td tfoot th thead tr ul xmp".split()
 )
 SPACED = frozenset("blockquote dl figure fieldset h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul listing xmp".split())
+# SVG and MathML: what is never shown, where HTML begins again, and the tags that end them.
+NEVER = {
+    "svg": frozenset("title desc metadata defs style script symbol clippath mask marker pattern lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+HTML_IN = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext".split())}
+HTML_TAGS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s "
+    "small span strong strike sub sup table tt u ul var".split()
+)
+SVG_BLOCKS = frozenset("text foreignobject".split())
 LISTS = frozenset("ul ol menu dir".split())
 SECTIONS = frozenset("tbody thead tfoot".split())
 CELLS = frozenset("td th caption".split())
@@ -146,6 +157,7 @@ class Page:
 
     def __init__(self) -> None:
         self.open: list[tuple[str, dict]] = []
+        self.kinds: list[tuple[str, str]] = []  # per open element what it belongs to and what stands in it: "svg", "math" or "" (HTML)
         self.count: dict[str, int] = {}
         self.flows: list[Flow] = [Flow()]
         self.tables: list[Table] = []
@@ -153,7 +165,12 @@ class Page:
 
     # -- tree ---------------------------------------------------------------------------------
 
+    def kind(self) -> str:
+        return self.kinds[-1][1] if self.kinds else ""
+
     def start(self, name: str, attrs: str) -> None:
+        while name in HTML_TAGS and self.kind():
+            self.pop()
         if self.hidden and name not in HEAD:
             self.end_head(name == "body")
         if name in BLOCKS and self.count.get("p") and name not in CELLS and name not in SECTIONS and name != "tr":
@@ -162,25 +179,34 @@ class Page:
             self.close(*ENDS[name])
         if name in CELLS and name != "caption" and self.count.get("table") and not self.within("tr", "table"):
             self.start("tr", "")
-        found = {}
+        found, empty = {}, attrs.endswith("/")
         if attrs.strip(" \t\n\r\f/"):
             for m in ATTRIBUTE.finditer(attrs):
                 found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+                empty = empty and not (m[4] and m.end() == len(attrs))  # a slash in a value without quotes
+        kind = name if name in NEVER else self.kind()
         unseen = (
             name in UNSEEN or "hidden" in found and found["hidden"].lower() != "until-found" or bool(INVISIBLE_STYLE.search(found.get("style", "")))
+            or kind and name in NEVER[kind] or kind == "svg" and (found.get("display") == "none" or found.get("visibility") in ("hidden", "collapse"))
         )
-        if name in VOID:
+        if name in VOID and not kind:
             if not self.hidden and not unseen:
                 self.leaf(name)
             return
         self.open.append((name, found))
+        self.kinds.append((kind, "" if kind and name in HTML_IN[kind] else kind))
         self.count[name] = self.count.get(name, 0) + 1
-        if self.hidden:
-            return
-        if unseen:
-            self.hidden = len(self.open)
-        else:
-            self.opened(name, found)
+        if not self.hidden:
+            if unseen:
+                self.hidden = len(self.open)
+            else:
+                self.opened(name, found)
+        if kind and empty:
+            self.pop()
+
+    def kinds_of(self, name: str) -> str:
+        """What the tag just read belongs to; one that is empty and closed again can only be foreign to HTML."""
+        return self.kinds[-1][0] if self.open and self.open[-1][0] == name else "empty"
 
     def end_head(self, outright: bool = False) -> None:
         """End an open head at what can't stand directly inside it; outright also with what it holds, templates aside."""
@@ -215,6 +241,7 @@ class Page:
 
     def pop(self) -> None:
         name, attrs = self.open.pop()
+        self.kinds.pop()
         self.count[name] -= 1
         if not self.hidden:
             self.closed(name, attrs)
@@ -237,6 +264,10 @@ class Page:
             self.tables[-1].new_row()
         elif self.tables and name in CELLS:
             self.flows.append(Flow())
+        elif self.kinds[-1][0]:
+            attrs["_block"] = self.kinds[-1][0] == "svg" and name in SVG_BLOCKS or name == "math" and attrs.get("display") == "block"
+            if attrs["_block"]:
+                flow.block()
         elif name in BLOCKS and name not in SECTIONS:
             flow.block(2 if name in SPACED and not (name in LISTS and self.count.get("li")) else 1)
             if name in LISTS:
@@ -254,7 +285,12 @@ class Page:
 
     def closed(self, name: str, attrs: dict) -> None:
         flow = self.flows[-1]
-        if name == "table" and self.tables:
+        if "_block" in attrs:
+            if attrs["_block"]:
+                flow.block()
+            elif name == "mtd":
+                flow.write(" ")
+        elif name == "table" and self.tables:
             flow.add(self.tables.pop().text())
         elif self.tables and name in CELLS:
             lines = self.flows.pop().text()
@@ -273,6 +309,9 @@ class Page:
     def text(self, raw: str) -> None:
         if self.hidden and SPACE.sub("", raw):
             self.end_head()
+        kind = self.kind()
+        if kind and not SPACE.sub("", raw) and not self.count.get("text") or kind == "svg" and not self.count.get("text"):
+            return  # blanks between elements, and what stands in a drawing outside its texts
         if self.hidden or not raw:
             return
         kept = bool(self.count.get("pre") or self.count.get("textarea") or self.count.get("listing") or self.count.get("xmp"))
@@ -289,7 +328,7 @@ def visible_text(source: str) -> str:
     """All visible text of a page.
 
     Unclosed heads, paragraphs, items, rows and cells end where HTML says; rows are implied around stray cells. Not visible: comments, scripts,
-    styles, the head, templates, what stands in for missing features (``noscript``), and elements with ``hidden``, ``display: none`` or
+    styles, the head, templates, in SVG what isn't in a ``text`` or ``foreignObject`` or only serves as a definition or description, annotations of MathML, what stands in for missing features (``noscript``), and elements with ``hidden``, ``display: none`` or
     ``visibility: hidden``. Pictures and form values have no text. Paragraphs, headings, lists and tables are set off by an empty
     line, other blocks by a line break; items carry ``- `` or their number and are indented by depth; cells are padded to the width of
     their column (columns with lines over 80 characters aren't); preformatted text keeps its blanks.
@@ -299,13 +338,17 @@ def visible_text(source: str) -> str:
         page.text(source[at:m.start()])
         at = m.end()
         if not m["name"]:
+            if page.kind() and m[0].startswith("<![CDATA["):
+                close = source.find("]]>", m.start())
+                at = close + 3 if close >= 0 else len(source)
+                page.text(html.escape(source[m.start() + 9:close if close >= 0 else len(source)]))
             continue
         name = m["name"].lower()
         if m["end"]:
             page.end(name)
             continue
         page.start(name, m["attrs"])
-        if name in RAW:
+        if name in RAW and not page.kinds_of(name):
             close = re.compile(f"</{name}(?=[\\s/>]|\\Z)[^>]*>?", re.I).search(source, at)
             page.text(source[at:close.start() if close else len(source)])
             page.end(name)

@@ -41,6 +41,19 @@ def test_heads_without_end_tag(source, text):
     assert visible_text(source) == text
 
 
+@pytest.mark.parametrize("source,text", [
+    ("<p>a <math><mi>x</mi> <mo>=</mo>\n<mn>1</mn></math> b", "a x=1 b"), ("a<math display=block><mi>x</mi></math>b", "a\nx\nb"),
+    ("<math><semantics><mi>x</mi><annotation encoding=tex>no</annotation><annotation-xml><ci>no</ci></annotation-xml></semantics></math>y", "xy"),
+    ("<svg width=3><title>no</title><desc>no</desc><metadata>no</metadata><defs><text>no</text></defs><text x=1>one <tspan>two</tspan></text>\n<g><text>three</text></g></svg>after", "one two\nthree\nafter"),
+    ("<svg><title/><style/><path d='M0'/><rect style='display:none'/><text>a</text></svg><p>b", "a\n\nb"), ("<svg>stray<g/>no</svg>b", "b"),
+    ("<svg><foreignObject><div>a<p/>b</div></foreignObject></svg>c", "a\n\nb\n\nc"), ("<svg><g><path d=M0/><p>a", "a"), ("<svg><text><![CDATA[a<b>&amp;]]></text></svg>", "a<b>&amp;"),
+    ("<div hidden><svg><text>no</text></svg><math><mi>no</mi></math></div>a", "a"), ("<svg><text display=none>no</text><text>a</text></svg>", "a"),
+    ("<svg><style>p>a{}</style><script>if(1)</script><text>a</text></svg>", "a"), ("<table><tr><td><math><mi>x</mi></math><td>y</table>", "x  y"),
+])
+def test_formulas_and_drawings(source, text):
+    assert visible_text(source) == text
+
+
 def page(rng, depth):
     """A random page: markup with end tags, markup without the ones that may be left out, and its text."""
     word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 7)))
