@@ -66,7 +66,7 @@ def _packed(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return trees.view(np.int64), np.ascontiguousarray(bits).view(np.int64)
 
 
-SKETCHED = "id long, n_shingles long, print1 long, print2 long, bits1 long, bits2 long, trees array<long>, n_bytes long"
+SKETCHED = "id long, n_shingles long, print1 long, print2 long, bits1 long, bits2 long, trees array<long>, n_bytes long, of_text long"
 
 
 def sketch(mission_files: DataFrame, key: str, text: str) -> DataFrame:
@@ -85,12 +85,12 @@ def sketch(mission_files: DataFrame, key: str, text: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(trees) + 1) * TREES, pa.int32()), pa.array(trees.reshape(-1)))
                 yield pa.record_batch(
                     [some.column(0).cast(pa.int64()), pa.array(n), pa.array(prints[:, 0]), pa.array(prints[:, 1]), take(bits[:, 0]), take(bits[:, 1]),
-                     lists.take(pa.array(row, mask=n == 0)), pa.array(np.diff(text_bytes(some.column(1))[1]))],
-                    ["id", "n_shingles", "print1", "print2", "bits1", "bits2", "trees", "n_bytes"],
+                     lists.take(pa.array(row, mask=n == 0)), pa.array(np.diff(text_bytes(some.column(1))[1])), some.column(2)],
+                    ["id", "n_shingles", "print1", "print2", "bits1", "bits2", "trees", "n_bytes", "of_text"],
                 )
 
     named = mission_files.select(mission_files[key].cast("long").alias("id"), mission_files[text].alias("text"))
-    return named.mapInArrow(sketched, SKETCHED)
+    return named.withColumn("of_text", F.xxhash64("text")).mapInArrow(sketched, SKETCHED)
 
 
 # ---- candidates ------------------------------------------------------------------------------
@@ -197,10 +197,15 @@ def _verified(percent: int, all_pairs: int):
 
 
 def texts_of(wanted: DataFrame, mission_files: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFrame:
-    """A text (``id, text``) of every node of ``wanted``; only texts that are needed are shuffled, whatever join Spark picks."""
-    named = mission_files.select(mission_files[key].cast("long").alias("id"), mission_files[text].alias("text"))
-    named = named.filter(F.col("id").isNotNull()).filter(listed(wanted.select(F.xxhash64("id").alias("token")), F.xxhash64("id")))
-    return wanted.join(named, "id").dropDuplicates(["id"]).select("id", "text")
+    """The text (``id, text``) of every node of ``wanted``: of its smallest key, that text which has its set.
+
+    Only texts that are needed are shuffled, whatever join Spark picks.
+    """
+    wanted = wanted.distinct().join(distinct.select("id", "first", "of_text"), "id")
+    named = mission_files.select(mission_files[key].cast("long").alias("first"), mission_files[text].alias("text")).withColumn("of_text", F.xxhash64("text"))
+    token = F.xxhash64("first", "of_text")
+    named = named.filter(F.col("first").isNotNull()).filter(listed(wanted.select(token.alias("token")), token))
+    return wanted.join(named, ["first", "of_text"]).dropDuplicates(["id"]).select("id", "text")
 
 
 def verified_links(pairs: DataFrame, mission_files: DataFrame, distinct: DataFrame, key: str, text: str, percent: int,
@@ -210,14 +215,11 @@ def verified_links(pairs: DataFrame, mission_files: DataFrame, distinct: DataFra
     Texts travel once to every (cluster, part) that needs them. Several small ones share a group of about ``task_bytes``.
     """
     needed = pairs.select("cluster", "part", F.explode(F.array("a", "b")).alias("id")).distinct()
-    sized = needed.join(distinct.select("id", "n_bytes", "print1", "print2"), "id")
+    sized = needed.join(distinct.select("id", "n_bytes"), "id")
     total = sized.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     group = F.pmod(F.xxhash64("cluster", "part"), F.lit(max(1, -(-total // task_bytes)))).alias("group")
-    named = mission_files.select(mission_files[key].cast("long").alias("id"), mission_files[text].alias("text"))
-    wanted = sized.select(group, "id", "print1", "print2").distinct()
-    # only texts that some check needs are shuffled, whatever join Spark picks
-    named = named.filter(F.col("id").isNotNull()).filter(listed(wanted.select(F.xxhash64("id").alias("token")), F.xxhash64("id")))
-    texts = wanted.join(named, "id").dropDuplicates(["group", "id"]).select("group", "id", "text")
+    wanted = sized.select(group, "id").distinct()
+    texts = wanted.join(texts_of(wanted.select("id"), mission_files, distinct, key, text), "id").select("group", "id", "text")
     return pairs.select(group, "cluster", "a", "b").groupBy("group").cogroup(texts.groupBy("group")).applyInPandas(
         _verified(percent, all_pairs), "a long, b long"
     )
@@ -343,8 +345,9 @@ def near_copies(mission_files: DataFrame, key: str = "file", text: str = "value"
     sketched = cut(sketch(mission_files, key, text), "sketches")
     full = sketched.filter("n_shingles > 0 AND id IS NOT NULL")
     sets = ["print1", "print2", "n_shingles"]
-    first = full.groupBy(*sets).agg(F.min_by(F.struct("id", "bits1", "bits2", "trees", "n_bytes"), "id").alias("f"))
-    distinct = cut(first.select(*sets, "f.*").dropDuplicates(["id"]), "distinct")
+    first = full.groupBy(*sets).agg(F.min_by(F.struct(F.col("id").alias("first"), "of_text", "bits1", "bits2", "trees", "n_bytes"), "id").alias("f"))
+    # a node is a set; its number is unique once it is written
+    distinct = cut(first.select(*sets, "f.*", F.monotonically_increasing_id().alias("id")), "distinct")
     pairs = cut(candidates(distinct), "pairs")
     roots = component_roots(pairs.select(F.lit(0).alias("map_id"), "a", "b")).select(F.col("a").alias("id"), F.col("root").alias("cluster"))
     of_pair = pairs.join(roots, pairs["b"] == roots["id"]).select("cluster", "a", "b")
@@ -370,11 +373,27 @@ def near_copies(mission_files: DataFrame, key: str = "file", text: str = "value"
         if not more.isEmpty():
             both = joined.select(F.lit(0).alias("map_id"), F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more.select(F.lit(0).alias("map_id"), "a", "b"))
             joined = component_roots(both).select(F.col("a").alias("id"), F.col("root"))
-    classes = distinct.select(*sets, F.col("id").alias("first")).join(joined.withColumnRenamed("id", "first"), "first", "left")
-    classes = classes.select(*sets, F.coalesce("root", "first").alias("component"))
-    kept = sketched.select("id", *sets).join(classes, sets, "left").withColumn(
-        "component_id", F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")))
-    )
+    # sets that share a key are one class too
+    ends = [f(c).alias(f"{n}_{c}") for c in sets for n, f in (("least", F.min), ("most", F.max))]
+    several = full.groupBy("id").agg(*ends).filter(" OR ".join(f"least_{c} <> most_{c}" for c in sets)).select("id")
+    several = cut(several, "several")
+    if not several.isEmpty():
+        held = full.join(several, "id", "left_semi").select(F.col("id").alias("key"), *sets).join(distinct.select(*sets, "id"), sets).select("key", "id").distinct()
+        held = cut(held, "held")
+        star = held.join(held.groupBy("key").agg(F.min("id").alias("b")), "key").filter("id <> b").select(F.lit(0).alias("map_id"), F.col("id").alias("a"), "b")
+        joined = component_roots(joined.select(F.lit(0).alias("map_id"), F.col("id").alias("a"), F.col("root").alias("b")).unionByName(star.distinct()))
+        joined = joined.select(F.col("a").alias("id"), F.col("root"))
+    rooted = distinct.select(*sets, "first", "id").join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = cut(rooted, "rooted")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    classes = rooted.join(smallest, "root").select(*sets, "component")
+    # an empty text belongs to the class of the other texts of its key
+    bare = sketched.filter("n_shingles = 0 AND id IS NOT NULL").select("id").distinct()
+    of_key = full.join(bare, "id", "left_semi").select("id", *sets).join(classes, sets).groupBy("id").agg(F.min("component").alias("of_key"))
+    some, none = sketched.filter("n_shingles > 0"), sketched.filter("n_shingles = 0")
+    kept = some.select("id", *sets).join(classes, sets, "left").unionByName(
+        none.select("id", *sets).join(cut(of_key, "of-key"), "id", "left").withColumn("component", F.coalesce("of_key", "id")).drop("of_key")
+    ).withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component")))
     return kept.select(
         F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )

@@ -141,5 +141,12 @@ def test_sets_are_exact():
     assert [len(s) for s in shingle_sets(pa.array(texts, pa.string()))] == [len(shingles(t)) for t in texts]
 
 
+def test_a_key_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (9, b), (8, a), (7, c), (9, c), (3, ""), (7, ""), (12, b + " more"), (20, "x y"), (21, "x y"), (21, "z"), (22, "z"), (None, a)]
+    files = spark.createDataFrame(rows, "file long, value string").repartition(3)
+    assert sorted([tuple(r) for r in near_copies(files).collect()], key=repr) == brute(rows)
+
+
 def test_empty_table(spark):
     assert near_copies(spark.createDataFrame([], "file long, value string")).collect() == []
