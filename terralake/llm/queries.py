@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scans import join_keyed
 from ..session import cut
 from .contamination import contaminated
 from .copies import near_copies
@@ -15,6 +16,7 @@ from .packing import pack_texts
 from .personal import find_personal, label_runs, train_crf
 from .quality import feature_bins, fit_quality, judge_quality
 from .rendering import render_pages
+from .repair import repair_conversations, summarise_repairs
 from .repeats import remove_repeats
 from .shards import shard_levels
 from .tables import read
@@ -133,9 +135,83 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    said = F.coalesce("text", F.lit(" "))
+    place = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c else F.lit(":") for c in ("conv_id", "", "turn")])
+    damage = F.crc32(place.cast("binary")) % 20
+    damaged = turns.withColumn("damage", damage).filter("damage <> 0").select(
+        "conv_id", "turn", F.when(F.col("damage") == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.translate(said, ".!?", "")).otherwise(said).alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(F.col("damage") == 3, 2).otherwise(1))).alias("copy"),
+    )
+    found = summarise_repairs(repair_conversations(damaged))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return join_keyed(turns.select("conv_id").distinct(), found, ["conv_id"], "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+OP13_SQL = r"""
+WITH RECURSIVE hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT,
+        [ascii(c)::BIGINT FOR c IN string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')]),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda v, _: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 20 AS damage
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE damage WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM hashed WHERE damage <> 0),
+placed AS (
+  SELECT *, rtrim(translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ')) AS inked,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM damaged),
+rows AS MATERIALIZED (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS initial,
+    CASE WHEN inked = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(inked, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM placed),
+-- up to two inserts in front of a row: state before, state after, edits, rows
+inserts(q, q1, e, o) AS (VALUES ('', '', '', []::VARCHAR[]), ('', 'u', 'I', ['user:']), ('', 'a', 'II', ['user:', 'assistant:']),
+  ('s', 's', '', []), ('s', 'u', 'I', ['user:']), ('s', 'a', 'II', ['user:', 'assistant:']), ('u', 'u', '', []), ('u', 'a', 'I', ['assistant:']),
+  ('u', 'u', 'II', ['assistant:', 'user:']), ('a', 'a', '', []), ('a', 'u', 'I', ['user:']), ('a', 'a', 'II', ['user:', 'assistant:'])),
+keeps(q1, initial) AS (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+walk(conv_id, i, q, cost, audit, said) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '', 0::BIGINT, '', []::VARCHAR[] FROM rows
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit, said FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) AS best FROM (
+      SELECT w.conv_id, r.i, CASE edit WHEN 'D' THEN s.q1 WHEN 'K' THEN r.initial WHEN 'R' THEN CASE s.q1 WHEN 'u' THEN 'a' ELSE 'u' END END AS q,
+        w.cost + 5 * length(s.e) + CASE edit WHEN 'D' THEN 2 ELSE CASE edit WHEN 'R' THEN 1 ELSE 0 END + CASE r.fault WHEN 'truncated' THEN 5 ELSE 0 END END AS cost,
+        w.audit || s.e || edit AS audit,
+        list_concat(w.said, s.o, CASE edit WHEN 'D' THEN [] WHEN 'K' THEN [r.role || ':' || r.text]
+          ELSE [CASE s.q1 WHEN 'u' THEN 'assistant' ELSE 'user' END || ':' || r.text] END) AS said
+      FROM walk AS w JOIN rows AS r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = w.i + 1 JOIN inserts AS s ON s.q = w.q,
+        (VALUES ('K'), ('R'), ('D')) AS edits(edit)
+      WHERE edit = 'D' OR (r.fault NOT IN ('blank', 'duplicate')
+        AND (edit = 'R' OR EXISTS (SELECT 1 FROM keeps AS k WHERE k.q1 = s.q1 AND k.initial = r.initial)))))
+  WHERE best = 1),
+ended AS (
+  SELECT w.conv_id, w.cost + 5 * length(e) AS cost, w.audit || e AS audit, list_concat(w.said, o) AS said,
+    row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + 5 * length(e), w.audit || e) AS best
+  FROM walk AS w JOIN (SELECT conv_id, max(i) AS n FROM rows GROUP BY conv_id) AS t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND w.i = t.n
+    JOIN inserts AS s ON s.q = w.q AND s.q1 IN ('', 'a')),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN counts AS n ON c.conv_id IS NOT DISTINCT FROM n.conv_id
+  LEFT JOIN ended AS e ON c.conv_id IS NOT DISTINCT FROM e.conv_id AND e.best = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_nearest": OP2_SQL, "op3_contamination": OP3_SQL, "op8_urls": OP8_SQL}
+    return {"op2_nearest": OP2_SQL, "op3_contamination": OP3_SQL, "op8_urls": OP8_SQL, "op13_repair": OP13_SQL}
