@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scans import join_keyed
 from ..session import cut
+from .alignment import align_tokens, link_counts, score_links
 from .contamination import contaminated
 from .copies import near_copies
 from .nearest import highest_products
@@ -20,6 +21,7 @@ from .repair import repair_conversations, summarise_repairs
 from .repeats import remove_repeats
 from .shards import shard_levels
 from .tables import read
+from .toxicity import tag_toxic, toxicity_sample, train_toxicity
 from .urls import judge_urls
 
 def op1_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +55,10 @@ def op5_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(read(spark, sf_dir, "documents"), key="doc_id", text="text")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +137,23 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    sample = toxicity_sample(documents, labels.filter(~held_out), key="doc_id", text="text")
+    return tag_toxic(documents, train_toxicity(sample), key="doc_id", text="text").withColumn("held_out", held_out)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    found = align_tokens(documents, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), key="doc_id", text="text")
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups"), 256))
+    aligned = cut(found.select("doc_id", "n_a", "n_b", "n_groups", "links", digest.alias("groups_sha256"), F.monotonically_increasing_id().alias("row")), "aligned")
+    scored = score_links(aligned, cut(link_counts(aligned), "counts"), "row")
+    sums = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_links", "n_best", "count_sum")]
+    return aligned.drop("links").join(scored, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", *sums, "groups_sha256")
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations")
     said = F.coalesce("text", F.lit(" "))

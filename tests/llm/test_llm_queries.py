@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import __spark_entry__ as entry
 import corpus_pipeline
+import test_alignment
 import test_contamination
 import test_copies
 import test_packing
@@ -153,3 +154,27 @@ def test_stages_take_odd_rows(spark, sf):
         assert docs.count() >= 0
     deduped = corpus_pipeline.dedup(spark, corpus_pipeline.cut(spark.createDataFrame(rows, schema), "odd"), sf).collect()
     assert sorted((r["doc_id"] or 0) for r in deduped) == [0, 0, 1, 2]
+
+
+def test_op11(spark, sf, documents, tables):
+    """Held-out rows are those of the rule, and scores of labelled ones among them follow the labels (label noise allowed for)."""
+    import zlib
+
+    got = {r["doc_id"]: r for r in entry.queries()["op11_toxicity"](spark, sf).collect()}
+    assert set(got) == {d for d, _ in documents}
+    for r in got.values():
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1
+    labels = [(d, y) for d, y in tables.execute("SELECT doc_id, toxic FROM labels").fetchall() if got[d]["held_out"]]
+    assert sum(got[d]["predicted"] == y for d, y in labels) >= 0.85 * len(labels)
+
+
+def test_op12(spark, sf, documents):
+    import hashlib
+
+    got = {r["doc_id"]: r for r in entry.queries()["op12_alignment"](spark, sf).collect()}
+    want = test_alignment.brute(documents)
+    assert set(got) == set(want)
+    for doc, (*numbers, groups) in want.items():
+        r = got[doc]
+        assert [r[c] for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")] == numbers
+        assert r["groups_sha256"] == (hashlib.sha256(groups.encode()).hexdigest() if groups else "")
