@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import is_water_color, is_water_height
 from ..session import cut
-from .scans import fan_out, join_dim
+from .scans import SALTS, fan_out, join_dim, join_keyed
 
 _COMPONENT = "map_id {id}, px int, pz int, comp long"
 
@@ -95,37 +95,104 @@ def seam_edges(cells: DataFrame, side: int) -> DataFrame:
         high = cells.filter(F.col(axis) % side == 0).select("map_id", axis, other, F.col("comp").alias("b"))
         return low.join(high, ["map_id", axis, other]).select("map_id", "a", "b")
 
-    return pairs("px", "pz").unionByName(pairs("pz", "px")).distinct()
+    return pairs("px", "pz").unionByName(pairs("pz", "px"))
 
 
-def component_roots(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _stars(keys, a, b):
+    """Every node of some edges that isn't the smallest of its part, and that smallest one: a spanning forest of stars (numpy arrays)."""
+    import numpy as np
+
+    key, node = np.concatenate([keys, keys]), np.concatenate([a, b])
+    order = np.lexsort((node, key))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(key[order]) != 0) | (np.diff(node[order]) != 0)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    key, node = key[order][fresh], node[order][fresh]
+    x, y = number[:len(a)], number[len(a):]
+    label = np.arange(len(node))
+    while True:
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        apart = low != high
+        if not apart.any():
+            break
+        x, y, low, high = x[apart], y[apart], low[apart], high[apart]
+        np.minimum.at(label, high, low)
+        shorter = label[label]
+        while (shorter != label).any():
+            label, shorter = shorter, shorter[shorter]
+    inner = label != np.arange(len(node))
+    return key[inner], node[inner], node[label[inner]]
+
+
+def _contract_batches(batches, held: int):
+    import numpy as np
+    import pandas as pd
+
+    rest: list = []
+
+    def forest():
+        pdf = pd.concat(rest, ignore_index=True)
+        codes, names = pd.factorize(pdf["map_id"], use_na_sentinel=False)
+        key, node, root = _stars(codes.astype(np.int64), pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64))
+        return pd.DataFrame({"map_id": names.take(key), "a": node, "b": root})
+
+    for pdf in batches:
+        rest.append(pdf)
+        if sum(map(len, rest)) >= held:
+            rest = [forest()]
+            if len(rest[0]) >= held // 2:
+                yield rest[0]
+                rest = []
+    if rest:
+        yield forest()
+
+
+def contract_edges(edges: DataFrame, held: int = 1 << 21) -> DataFrame:
+    """Edges (``map_id, a, b``) as a spanning forest of stars per task, the higher end in ``a``: what parts a task's own edges connect is settled
+    before anything is shuffled. About ``held`` edges are in memory at once."""
+    kind = dict(edges.dtypes)["map_id"]
+    return edges.select("map_id", "a", "b").mapInPandas(lambda batches: _contract_batches(batches, held), f"map_id {kind}, a long, b long")
+
+
+def component_roots(edges: DataFrame, max_rounds: int = 64, most: int = 1 << 18, salts: int = SALTS) -> DataFrame:
     """Smallest component reachable from every component that has an edge (``map_id, a, root``).
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014), which need a number of
-    rounds logarithmic in the size of a connected part instead of its diameter.  Every step is an
-    aggregation and an equi-join; results are written to the shared folder between rounds.
+    A round contracts the edges of every task to a forest, brings the edges of a node together and contracts again. Nodes with one lower neighbour
+    and no higher one are then set aside with it: they can't connect anything. The others go into the next round, where the higher end of every edge
+    first moves to the lowest neighbour of the lower end (the large-star step of Kiveris et al., 2014), which keeps the number of rounds
+    logarithmic. That join is spread over ``salts``, since a root may be the lower end of most edges; it has a row per inner node on its other side.
+    At most ``most`` edges are left to one task. What was set aside takes its roots from the later rounds, latest first.
+
+    Every round is written to the shared folder.
     """
-    current = cut(edges.select("map_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    active, aside, roots = edges, [], None
     for _ in range(max_rounds):
-        deeper = current.join(current.select("map_id", F.col("a").alias("b")), ["map_id", "b"], "left_semi")
-        shared = current.groupBy("map_id", "a").count().filter("count > 1")
-        if deeper.select("map_id").unionByName(shared.select("map_id")).isEmpty():
-            return current.select("map_id", "a", F.col("b").alias("root"))
-        # Large star: the higher end of every edge moves to the lowest neighbour of the lower end.
-        # The lower end of many edges may be one node; adaptive execution splits that side.
-        lowest = current.groupBy("map_id", F.col("a").alias("b")).agg(F.min("b").alias("m"))
-        large = current.join(lowest, ["map_id", "b"], "left").select(
-            "map_id", "a", F.coalesce("m", "b").alias("b")
-        ).distinct()
-        # Small star: all lower neighbours of a node, and the node itself, move to the lowest of them.
-        least = large.groupBy("map_id", "a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(least, ["map_id", "a"]).filter("b <> m").select("map_id", F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(least.select("map_id", "a", F.col("m").alias("b")))
-            .distinct()
-        )
-        current = cut(small, "edges")
-    raise RuntimeError("components did not settle")
+        current = cut(contract_edges(contract_edges(active).repartition("map_id", "a")), "edges")
+        ends = current.select("map_id", F.col("a").alias("node"), F.col("b").alias("low"), F.lit(False).alias("lower")).unionByName(
+            current.select("map_id", F.col("b").alias("node"), F.lit(None).cast("long").alias("low"), F.lit(True).alias("lower")))
+        nodes = cut(ends.groupBy("map_id", "node").agg(F.min("low").alias("low"), F.count("low").alias("n"), F.max("lower").alias("lower")), "nodes")
+        aside.append(nodes.filter("n = 1 AND NOT lower").select("map_id", F.col("node").alias("a"), F.col("low").alias("b")))
+        inner = nodes.filter("n > 1 OR (n = 1 AND lower)").select("map_id", F.col("node").alias("a"), "low")
+        active = join_keyed(current, inner.select("map_id", "a"), ["map_id", "a"], "left_semi")
+        left = inner.limit(most + 1).count() and active.limit(most + 1).count()
+        if not left:
+            break
+        if left <= most:
+            roots = cut(contract_edges(active.coalesce(1)).withColumnRenamed("b", "root"), "roots")
+            break
+        lowest = inner.select("map_id", F.col("a").alias("b"), "low")
+        active = join_dim(active, lowest, ["map_id", "b"], ["a"], "left", salts).select("map_id", "a", F.coalesce("low", "b").alias("b"))
+    else:
+        raise RuntimeError("components did not settle")
+    for leaves in reversed(aside):
+        if roots is None:
+            roots = leaves.withColumnRenamed("b", "root")
+        else:
+            above = roots.select("map_id", F.col("a").alias("b"), "root")
+            found = join_dim(leaves, above, ["map_id", "b"], ["a"], "left", salts).select("map_id", "a", F.coalesce("root", "b").alias("root"))
+            roots = roots.unionByName(found)
+    return roots
 
 
 def flood_from_border(mask: DataFrame, layers: DataFrame, tile: int = 64) -> DataFrame:

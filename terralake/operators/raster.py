@@ -232,15 +232,18 @@ def bilinear(targets: DataFrame, source: DataFrame, fx: Column, fz: Column, widt
     return merged.select(*keys, "px", "pz", *carry, value.alias(out))
 
 
-def dense_array(cells: Column, n: Column) -> Column:
-    """Array of ``n`` values from an array of ``(at, v)`` with distinct places, null where there is none; takes time in proportion to both."""
-    ordered = F.array_sort(cells)
+def dense_array(ordered: Column, n: Column, kind: str = "double") -> Column:
+    """Array of ``n`` values from an array of ``(at, v)`` sorted by distinct places, null where there is none; takes time in proportion to both.
+
+    ``ordered`` has to be a column that exists, not an expression: it would be computed anew for every element.
+    """
+    none = F.lit(None).cast(kind)
     gaps = F.transform(ordered, lambda c, i: F.concat(
-        F.array_repeat(F.lit(None).cast("double"), (c["at"] - F.coalesce(F.get(ordered, i - 1)["at"], F.lit(-1)) - 1).cast("int")),
-        F.array(c["v"].cast("double")),
+        F.array_repeat(none, (c["at"] - F.coalesce(F.get(ordered, i - 1)["at"], F.lit(-1)) - 1).cast("int")), F.array(c["v"]),
     ))
     last = F.coalesce(F.try_element_at(ordered, F.lit(-1))["at"], F.lit(-1))
-    return F.concat(F.flatten(gaps), F.array_repeat(F.lit(None).cast("double"), (n - 1 - last).cast("int")))
+    sparse = F.concat(F.flatten(gaps), F.array_repeat(none, (n - 1 - last).cast("int")))
+    return F.when(F.size(ordered) == n, F.transform(ordered, lambda c: c["v"])).otherwise(sparse)
 
 
 def layer_cells(layers: DataFrame) -> DataFrame:
@@ -272,7 +275,7 @@ def fill_smallest(known: DataFrame, dims: DataFrame, v: str = "v") -> DataFrame:
     keys = _keys(known)
     at = (F.col("pz") * F.col("width") + F.col("px")).alias("at")
     grids = dims.join(known.select(*keys, "px", "pz", v), keys, "left").groupBy(*keys, "width", "height").agg(
-        F.collect_list(F.when(F.col("px").isNotNull(), F.struct(at, F.col(v).alias("v")))).alias("_g")
+        F.array_sort(F.collect_list(F.when(F.col("px").isNotNull(), F.struct(at, F.col(v).cast("double").alias("v"))))).alias("_g")
     )
     w, n = F.col("width"), F.col("width") * F.col("height")
 
@@ -519,24 +522,22 @@ def rasterize_triangles(tris: DataFrame, layers: DataFrame, dim: tuple[int, int]
 # ---- tiles -----------------------------------------------------------------------------------
 
 
-def pack_tiles(raster: DataFrame, layers: DataFrame, side: int = TILE, v: str = "v") -> DataFrame:
-    """Cells to square tiles with one row-major array each; missing cells become null entries."""
+def pack_tiles(raster: DataFrame, layers: DataFrame, side: int = TILE, v: str = "v", kind: str = "float") -> DataFrame:
+    """Cells to square tiles with one row-major array of ``kind`` each; missing cells become null entries.
+
+    The cells of a tile are sorted once, as a column of its own, and then laid out in linear time.
+    """
     keys = _keys(raster)
     sized = _layers_for(raster, layers, "width", "height")
     tx, tz = F.floor(F.col("px") / side).cast("int"), F.floor(F.col("pz") / side).cast("int")
+    # places count inside the tile's own width, which is smaller at the border
+    at = F.col("pz") % side * F.least(F.lit(side), F.col("width") - tx * side) + F.col("px") % side
     tiles = sized.groupBy(*keys, tx.alias("tx"), tz.alias("tz")).agg(
         F.least(F.lit(side), F.first("width") - F.first(tx) * side).cast("int").alias("w"),
         F.least(F.lit(side), F.first("height") - F.first(tz) * side).cast("int").alias("h"),
-        F.collect_list(F.struct(
-            (F.col("pz") % side * side + F.col("px") % side).cast("int").alias("at"), F.col(v).cast("float").alias("v")
-        )).alias("_cells"),
+        F.array_sort(F.collect_list(F.struct(at.cast("int").alias("at"), F.col(v).cast(kind).alias("v")))).alias("_cells"),
     )
-    # places count inside the tile's own width, which is smaller at the border
-    local = F.transform("_cells", lambda c: F.struct(
-        (F.floor(c["at"] / side) * F.col("w") + c["at"] % side).cast("int").alias("at"), c["v"].alias("v")
-    ))
-    data = dense_array(local, F.col("w") * F.col("h")).cast("array<float>")
-    return tiles.withColumn("data", data).drop("_cells")
+    return tiles.withColumn("data", dense_array(F.col("_cells"), F.col("w") * F.col("h"), kind)).drop("_cells")
 
 
 def unpack_tiles(tiles: DataFrame, side: int = TILE, v: str = "v") -> DataFrame:

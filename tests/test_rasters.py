@@ -1,5 +1,8 @@
 """Hand-made grids."""
 
+import random
+import time
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -158,10 +161,45 @@ def test_snake_needs_few_rounds(spark):
     for z in range(31):
         rows.append("#" * 31 if z % 2 == 0 else ("." * 30 + "#" if z % 4 == 1 else "#" + "." * 30))
     tiles = flood.label_tiles(mask_of(spark, rows), 2)
-    roots = flood.component_roots(flood.seam_edges(tiles, 2), max_rounds=9)
+    roots = flood.component_roots(flood.seam_edges(tiles, 2), max_rounds=9, most=0)
     assert roots.select("root").distinct().count() == 1
 
 
+def random_edges():
+    """Chains, stars, sparse random graphs and nodes with many lower neighbours, on three maps of which one has no name."""
+    rng = random.Random(1)
+    for m in (None, 1, 2):
+        yield from ((m, i + 1, i) for i in range(120))
+        yield from ((m, 1000 + i, 1000) for i in range(1, 200))
+        yield from ((m, 2000 + rng.randrange(200), 2000 + rng.randrange(200)) for _ in range(160))
+        yield from ((m, 5000 + i, 4000 + i % 7) for i in range(40))
+        yield from ((m, 7000, 6000 + i) for i in range(60))
+
+
+@pytest.mark.parametrize("most", [0, 20, 1 << 18])
+def test_components_in_rounds_or_in_one_task(spark, most):
+    edges = list(random_edges())
+    above = {}
+
+    def root(x):
+        while above.setdefault(x, x) != x:
+            x = above[x]
+        return x
+
+    for m, a, b in edges:
+        x, y = sorted((root((m, a)), root((m, b))), key=lambda n: n[1])
+        above[y] = x
+    got = flood.component_roots(spark.createDataFrame(edges, "map_id long, a long, b long").repartition(5), most=most, salts=3)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((*n, root(n)[1]) for n in list(above) if root(n) != n), key=repr)
+
+
+def test_contraction_leaves_a_forest(spark):
+    """All cells of a lake touch each other many times; what a task passes on is at most one edge per node."""
+    edges = spark.range(3000).selectExpr("1L AS map_id", "id % 50 + 1 AS a", "(id * 7 + id div 50) % 50 AS b").coalesce(1)
+    assert flood.contract_edges(edges).count() == 50
+    assert flood.contract_edges(edges, held=64).count() <= 50 * (3000 // 64)
+
+
 def test_water_override_and_protection(spark):
     # the lake of one cell is 1/25 of its terrain cell: no override at 8 %, dry when protected
     pixels = mask_of(spark, LAKE).withColumn("wet", F.lit(True)).unionByName(mask_of(spark, LAKE, ".").withColumn("wet", F.lit(False)))
@@ -296,3 +334,98 @@ def test_line_of_sight_queries_run_the_whole_size(spark):
     slope = (h - (grid[ez, ex] + 5.0)) / dist
     before = np.concatenate([np.full((360, 1), -1e10), np.maximum.accumulate(slope, 1)[:, :-1]], 1)
     assert len(got) == 360 * 375 and (seen != (slope >= before)).sum() <= 20  # cosines may differ in the last bit
+
+
+# ---- packed tiles ----------------------------------------------------------------------------
+
+
+def big_raster(spark, side, layer_name="base"):
+    return spark.range(side * side).select(
+        F.lit(0).cast("long").alias("map_id"), F.lit(layer_name).alias("layer"), (F.col("id") % side).cast("int").alias("px"),
+        F.floor(F.col("id") / side).cast("int").alias("pz"), ((F.col("id") * 7919) % 1009).cast("double").alias("v"),
+    )
+
+
+@pytest.mark.parametrize("step", [1, 3])
+def test_packing_takes_linear_time(spark, step):
+    """A dense (or every third cell of a) raster of 1024 x 1024 cells, 256 tiles of 64 x 64: well under 50 ms a tile."""
+    cells_ = big_raster(spark, 1024).filter(F.expr(f"(px + pz * 1024) % {step} = 0"))
+    start = time.perf_counter()
+    sums = raster.pack_tiles(cells_, layer(spark, 1024, 1024)).agg(
+        F.count(F.lit(1)), F.sum(F.size("data")), F.sum(F.aggregate("data", F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0))))).first()
+    assert time.perf_counter() - start < 256 * 0.05
+    assert tuple(sums) == (256, 1 << 20, cells_.agg(F.sum("v")).first()[0])
+
+
+def test_points_without_a_cell_are_dealt_over_all_tasks(spark):
+    """No null key reaches the shuffle of the cell join, and points outside the raster don't meet in one partition."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    points = spark.range(4000).select(F.lit(0).cast("long").alias("map_id"), (F.col("id") + 1000.0).alias("x"), F.lit(-5.0).alias("z"))
+    found = sampling.sample_layers(points, big_raster(spark, 8), layer(spark, 8, 8), outside="null")
+    sizes = [r[1] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    keys = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 4000 and max(sizes) < 2 * 4000 / len(sizes) and len(sizes) == 4
+    assert "coalesce(px" in keys.replace(" ", "") or "_px" in keys
+
+
+def sight_by_hand(obs, layers, grids, rays, steps, step_m, side=None):
+    """Heights by layer priority with nodes; lowest height of the last layer where none has a cell."""
+    def height(x, z):
+        for name, (x0, z0, x1, z1), lo in layers:
+            grid = grids[name]
+            if x0 <= x <= x1 and z0 <= z <= z1 or name == layers[-1][0]:
+                h, w = grid.shape
+                px, pz = int(np.floor((x - x0) / (x1 - x0) * (w - 1) + 0.5)), int(np.floor((z - z0) / (z1 - z0) * (h - 1) + 0.5))
+                return grid[pz, px] if 0 <= px < w and 0 <= pz < h else lo
+    out = {}
+    for o, x, z in obs:
+        eye = height(x, z) + 5.0
+        for ray in range(rays):
+            before = -1e10
+            for step in range(steps):
+                d = (step + 1) * step_m
+                h = height(x + np.cos(ray / rays * 2 * np.pi) * d, z + np.sin(ray / rays * 2 * np.pi) * d)
+                if np.isnan(h):
+                    out[o, ray, step] = (None, None)
+                    continue
+                slope = (h - eye) / d
+                out[o, ray, step] = (h, bool(slope >= before))
+                before = max(before, slope)
+    return out
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_rays_over_two_layers_with_holes(spark, packed):
+    rng = np.random.default_rng(8)
+    grids = {"base": rng.integers(0, 60, (70, 90)).astype(float), "detail": rng.integers(0, 90, (20, 30)).astype(float)}
+    grids["base"][30:34, 40:60] = np.nan
+    extents = {"base": (0.0, 0.0, 900.0, 700.0), "detail": (100.0, 100.0, 250.0, 200.0)}
+    layers = layer(spark, 30, 20, extents["detail"], name="detail", priority=1).unionByName(layer(spark, 90, 70, extents["base"], lo=-3.0))
+    data = None
+    for name, grid in grids.items():
+        part = cells(spark, [[None if np.isnan(v) else v for v in row] for row in grid.tolist()]).withColumn("layer", F.lit(name))
+        data = part if data is None else data.unionByName(part)
+    obs = [(1, 151.5, 160.25), (2, 880.0, 690.0), (3, 5000.0, 5000.0)]
+    observers = spark.createDataFrame([(o, 0, x, z) for o, x, z in obs], "observer long, map_id long, x double, z double")
+    rasters = raster.pack_tiles(data, layers) if packed else data
+    got = viewshed.viewshed(observers, rasters, layers, rays=24, range_m=1000.0, step_m=10.0, packed=packed).collect()
+    want = sight_by_hand(obs, [(n, extents[n], lo) for n, lo in (("detail", 0.0), ("base", -3.0))], grids, 24, 100, 10.0)
+    assert {(r["observer"], r["ray"], r["step"]): (r["h"], r["visible"]) for r in got} == want
+    assert all(abs(r["x"] - obs[r["observer"] - 1][1] - np.cos(r["ray"] / 24 * 2 * np.pi) * (r["step"] + 1) * 10) < 1e-6 for r in got)
+
+
+def test_samples_outside_take_no_part_in_the_join(spark):
+    """An observer in a corner: only crossed tiles are asked for, one row each, with as many cells as samples inside."""
+    observers = spark.createDataFrame([(1, 0, 1.0, 1.0, 9.0), (2, 0, -9000.0, 0.0, 9.0)], "observer long, map_id long, x double, z double, eye double")
+    placed = observers.join(sampling.layer_list(layer(spark, 100, 100, (0.0, 0.0, 1000.0, 1000.0))), "map_id")
+    kind = "observer long, map_id long, x double, z double, eye double, fill double, layer string, tx int, tz int, lo double, hi double, first array<int>, n array<int>, cell array<int>"
+    schema = viewshed._arrow(spark.createDataFrame([], kind))
+    asked = placed.mapInArrow(lambda b: viewshed._walk_rays(b, schema, 360, 375, 4.0, "node", "min", 64), kind).collect()
+    mine = [r for r in asked if r["observer"] == 1]
+    assert sorted((r["tx"], r["tz"]) for r in mine) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    inside = sum(len(r["cell"]) for r in mine)
+    assert inside == sum(sum(r["n"]) for r in mine) < 360 * 375 / 3
+    assert [len(r["cell"]) for r in asked if r["observer"] == 2] == [0]
