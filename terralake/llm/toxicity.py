@@ -34,33 +34,45 @@ def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
     if not len(starts):
         return np.zeros((0, OWN + 4), np.uint64)
     words = word_hashes(data, starts, ends)
-    columns = [words]
-    letters = np.zeros((max(PREFIXES), len(starts)), np.uint64)
+    out = np.empty((len(starts), OWN + 4), np.uint64)
+
+    def put(i: int, key: np.ndarray) -> None:
+        out[:, i] = mix(key * np.uint64(16) + np.uint64(i))
+
+    put(0, words)
+    key, kept = np.zeros(len(starts), np.uint64), 1
     for k in range(max(PREFIXES)):
-        at = np.minimum(starts + k, len(data) - 1)
-        letters[k] = np.where(starts + k < ends, data[at], 0)
-    for n in PREFIXES:
-        key = np.zeros(len(starts), np.uint64)
-        for k in range(n):
-            key = key << np.uint64(8) | letters[k]
-        columns.append(key)
-    tail = np.zeros(len(starts), np.uint64)
+        key = key << np.uint64(8) | np.where(starts + k < ends, data[np.minimum(starts + k, len(data) - 1)], 0).astype(np.uint64)
+        if k + 1 in PREFIXES:
+            put(kept, key)
+            kept += 1
+    key[:] = 0
     for k in range(1, 4):
-        tail = tail << np.uint64(8) | np.where(ends - k >= starts, data[np.maximum(ends - k, 0)], 0).astype(np.uint64)
-    columns += [tail, np.minimum(ends - starts, 24).astype(np.uint64)]
-    before, after = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
-    before[1:], after[:-1] = words[:-1], words[1:]
+        key = key << np.uint64(8) | np.where(ends - k >= starts, data[np.maximum(ends - k, 0)], 0).astype(np.uint64)
+    put(OWN, key)
+    put(OWN + 1, np.minimum(ends - starts, 24).astype(np.uint64))
     edge = first[first < len(words)]
-    before[edge] = 0
-    after[edge[edge > 0] - 1] = 0
-    columns += [before, after]
-    return np.stack([mix(c * np.uint64(16) + np.uint64(i)) for i, c in enumerate(columns)], axis=1)
+    key[0], key[1:] = 0, words[:-1]
+    key[edge] = 0
+    put(OWN + 2, key)
+    key[-1], key[:-1] = 0, words[1:]
+    key[edge[edge > 0] - 1] = 0
+    put(OWN + 3, key)
+    return out
 
 
 def slots(keys: np.ndarray) -> np.ndarray:
     return (keys & np.uint64(SLOTS - 1)).astype(np.int32)
 
 
+def scores(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Sum of the weights of every word's features."""
+    out = np.zeros(len(features))
+    for k in range(features.shape[1]):
+        out += weights[features[:, k]]
+    return out
+
+
 # ---- forward and backward --------------------------------------------------------------------
 
 
@@ -226,7 +238,7 @@ def train_toxicity(labelled: pd.DataFrame, rounds: int = 25, rate: float = 0.3,
     np.add.at(pairs, (t[:-1][inner[1:]], t[1:][inner[1:]]), 1)
     seen = {n: np.full_like(model[n], 1e-6) for n in ("emit", "move", "first")}
     for _ in range(rounds if len(x) else 0):
-        p, moves = forward_backward(model["emit"][x].sum(axis=1), start_of, model)
+        p, moves = forward_backward(scores(model["emit"], x), start_of, model)
         wrong = p - t
         grads = {"emit": np.zeros(SLOTS), "move": moves - pairs}
         for k in range(x.shape[1]):
@@ -237,7 +249,7 @@ def train_toxicity(labelled: pd.DataFrame, rounds: int = 25, rate: float = 0.3,
             g = g / len(bad) + decay * model[n]
             seen[n] += g * g
             model[n] -= rate * g / np.sqrt(seen[n])
-    toxic, _ = forward_backward(model["emit"][own].sum(axis=1), first[:-1], model)
+    toxic, _ = forward_backward(scores(model["emit"], own), first[:-1], model)
     model["score"] = _logistic(_features(*evidence(toxic, first)), y)
     return model
 
@@ -278,7 +290,7 @@ def tag_toxic(missions: DataFrame, model: dict[str, np.ndarray], key: str = "mis
                 raw, offsets = text_bytes(some.column(1))
                 data, starts, ends, first = words_of(some.column(1))
                 x = slots(word_keys(data, starts, ends, first))
-                toxic, _ = forward_backward(fitted["emit"][x].sum(axis=1), first[:-1], fitted)
+                toxic, _ = forward_backward(scores(fitted["emit"], x), first[:-1], fitted)
                 total, top = evidence(toxic, first)
                 z = np.column_stack([np.ones(len(total)), _features(total, top)]) @ fitted["score"]
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
