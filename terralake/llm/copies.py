@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.flood import component_roots
+from ..operators.scans import join_dim
 from ..session import cut
 from .filters import listed
 from .words import INK, LOWER, mix, row_groups, shingle_hashes, text_bytes, word_bounds, word_hashes
@@ -22,6 +23,7 @@ TREES = 24
 DEPTH = 4  # values of a signature that two neighbours share at least
 HASHES = TREES * DEPTH
 NEIGHBOURS = 3
+SMALL = 2 * NEIGHBOURS + 1  # a region of so many texts needs no order
 COMMON = 32  # a shingle of more texts of a block than this is counted by a product of matrices
 _DRAWN = np.random.default_rng(20240607)
 TURNS = _DRAWN.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -101,32 +103,86 @@ def _agreeing(a1, a2, b1, b2) -> np.ndarray:
     return HASHES - differing[0] - differing[1]
 
 
+def _pairs_within(rows: np.ndarray, d: int, start: int = 0) -> np.ndarray:
+    """Pairs ``a < b`` of rows ``tree, hi, id, bits1, bits2`` that are ``d`` places apart in one region and agree in enough bits."""
+    x, y = rows[start:len(rows) - d], rows[start + d:]
+    near = (x[:, 0] == y[:, 0]) & (x[:, 1] == y[:, 1])
+    x, y = x[near], y[near]
+    if len(x):
+        near = _agreeing(x[:, 3], x[:, 4], y[:, 3], y[:, 4]) >= LEAST_BITS
+        x, y = x[near], y[near]
+    return np.column_stack([np.minimum(x[:, 2], y[:, 2]), np.maximum(x[:, 2], y[:, 2])])
+
+
+LEAF = ["tree", "hi", "id", "bits1", "bits2"]
+FOUND = ["a", "b", *LEAF, "n"]
+
+
+def _found(pairs: np.ndarray, rows: np.ndarray, n: np.ndarray | None) -> pa.RecordBatch:
+    """Pairs, and rows that need more than their own region: ``n`` is the size of a crowded one, null where the region may go on elsewhere."""
+    null = lambda k: pa.nulls(k, pa.int64())
+    columns = [pa.concat_arrays([pa.array(pairs[:, i]), null(len(rows))]) for i in (0, 1)]
+    columns += [pa.concat_arrays([null(len(pairs)), pa.array(rows[:, i])]) for i in range(5)]
+    return pa.record_batch([*columns, pa.concat_arrays([null(len(pairs)), null(len(rows)) if n is None else pa.array(n)])], FOUND)
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Regions of rows sorted by tree and first values: all pairs of small ones, the rows of crowded ones, and those at the ends of the partition.
+
+    A region may be longer than a batch: its rows beyond the first few go out at once, with the size counted so far.
+    """
+    none, held, first, seen = np.zeros((0, 2), np.int64), np.zeros((0, 5), np.int64), True, 0
+    for batch in batches:
+        rows = np.concatenate([held, np.column_stack([np.asarray(batch.column(n)) for n in LEAF]).astype(np.int64)])
+        if not len(rows):
+            continue
+        new = np.ones(len(rows), bool)
+        new[1:] = (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(rows)))
+        if first:  # the first region may have begun in another partition
+            if len(starts) == 1:
+                yield _found(none, rows, None)
+                held = rows[:0]
+                continue
+            yield _found(none, rows[:starts[1]], None)
+            first = False
+            starts, sizes = starts[1:], sizes[1:]
+        own = np.repeat(sizes, sizes)
+        body = rows[starts[0]:]
+        last = starts[-1] - starts[0]
+        whole, size = body[:last], own[:last]
+        crowded = size > SMALL
+        small = whole[~crowded]
+        pairs = [_pairs_within(small, d) for d in range(1, SMALL)] if len(small) > 1 else []
+        yield _found(np.unique(np.concatenate(pairs), axis=0) if pairs else none, whole[crowded], size[crowded])
+        held = body[last:]
+        if len(held) > 1 << 16:  # goes on for long: its place among the regions at the ends is found later
+            yield _found(none, held, None)
+            held, first = held[:0], True
+    if len(held):
+        yield _found(none, held, None)
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of neighbours in sorted rows ``tree, hi, id, bits1, bits2``; the first and last rows of a partition also go on, with their place."""
-    names = ["tree", "hi", "id", "bits1", "bits2"]
     part = TaskContext.get().partitionId()
 
     def ends(rows: np.ndarray, first: int) -> pa.RecordBatch:
         place = [pa.array(np.full(len(rows), part)), pa.array(np.arange(first, first + len(rows)))]
-        return pa.record_batch([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), *place, *[pa.array(rows[:, i]) for i in range(5)]], ["a", "b", "part", "at", *names])
+        return pa.record_batch([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), *place, *[pa.array(rows[:, i]) for i in range(5)]], ["a", "b", "part", "at", *LEAF])
 
     held, total = np.zeros((0, 5), np.int64), 0
     for batch in batches:
-        own = np.column_stack([np.asarray(batch.column(n)) for n in names]).astype(np.int64)
+        own = np.column_stack([np.asarray(batch.column(n)) for n in LEAF]).astype(np.int64)
         if not total and len(own):
             yield ends(own[:NEIGHBOURS], 0)
         total += len(own)
         rows = np.concatenate([held, own])
-        for d in range(1, NEIGHBOURS + 1):
-            x, y = rows[:-d], rows[d:]
-            if len(held):  # pairs within the held rows were made with the last batch
-                x, y = x[max(0, len(held) - d):], y[max(0, len(held) - d):]
-            if not len(y):
-                continue
-            near = (x[:, 0] == y[:, 0]) & (x[:, 1] == y[:, 1]) & (_agreeing(x[:, 3], x[:, 4], y[:, 3], y[:, 4]) >= LEAST_BITS)
-            a, b = np.minimum(x[near, 2], y[near, 2]), np.maximum(x[near, 2], y[near, 2])
-            once = np.unique(np.column_stack([a, b]), axis=0)
-            yield pa.record_batch([pa.array(once[:, 0]), pa.array(once[:, 1]), *[pa.nulls(len(once), pa.int64()) for _ in range(7)]], ["a", "b", "part", "at", *names])
+        # pairs within the held rows were made with the last batch
+        pairs = np.concatenate([_pairs_within(rows, d, max(0, len(held) - d)) for d in range(1, NEIGHBOURS + 1) if len(rows) > d] or [np.zeros((0, 2), np.int64)])
+        once = np.unique(pairs, axis=0)
+        yield pa.record_batch([pa.array(once[:, 0]), pa.array(once[:, 1]), *[pa.nulls(len(once), pa.int64()) for _ in range(7)]], ["a", "b", "part", "at", *LEAF])
         held = rows[-NEIGHBOURS:]
     if len(held):
         yield ends(held, total - len(held))
@@ -136,25 +192,44 @@ def candidates(distinct: DataFrame) -> DataFrame:
     """Pairs ``a < b`` that are neighbours in some tree of the forest.
 
     A tree is the sorted order of all signatures, read from one position on to the end and around. Neighbours share the longest prefix that any
-    text shares with them; pairs with fewer than ``DEPTH`` common values, or too few common sketch bits, are left out. Rows are
-    range-partitioned, so a region may span tasks.
+    text shares with them; pairs with fewer than ``DEPTH`` common values, or too few common sketch bits, are left out.
+
+    The depth of the order follows each region, the texts that share a tree's first ``DEPTH`` values. Most hold one text. In those of up to
+    ``SMALL`` all pairs are taken, no order is needed, and nothing but these values travels. Only rows of crowded regions get deeper values
+    of their signatures: as many groups of them as leave about ``SMALL`` texts of similarity 0.8 together, which grows with the logarithm of the region.
+    Rows are range-partitioned, so a region may span tasks; what lies at the ends of partitions is counted once more.
     """
-    leaves = distinct.select(
-        "id", "bits1", "bits2", F.posexplode("trees").alias("tree", "hi"), "trees"
-    ).select(F.col("tree").cast("long").alias("tree"), "hi", F.expr(f"concat(slice(trees, tree + 2, {TREES}), slice(trees, 1, tree))").alias("rest"), "id", "bits1", "bits2")
-    order = ["tree", "hi", "rest", "id"]
-    schema = "a long, b long, part long, at long, tree long, hi long, id long, bits1 long, bits2 long"
-    found = leaves.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "hi", "id", "bits1", "bits2").mapInArrow(_neighbours, schema)
-    found = cut(found, "neighbours")
-    seams = found.filter("a IS NULL").select("part", "at", "tree", "hi", "id", "bits1", "bits2").distinct()
-    here, w = F.struct("id", "hi", "bits1", "bits2"), W.partitionBy("tree").orderBy("part", "at")
-    ahead = seams.withColumn("others", F.array(*[F.lead(here, d).over(w) for d in range(1, NEIGHBOURS + 1)]))
-    ahead = ahead.select("id", "hi", "bits1", "bits2", F.explode("others").alias("o"))
-    differing = F.bit_count(F.col("bits1").bitwiseXOR(F.col("o.bits1"))) + F.bit_count(F.col("bits2").bitwiseXOR(F.col("o.bits2")))
-    across = ahead.filter((F.col("hi") == F.col("o.hi")) & (differing <= HASHES - LEAST_BITS))
-    return found.filter("a IS NOT NULL").select("a", "b").unionByName(
-        across.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"))
-    ).filter("a < b").distinct()
+    bits = ["bits1", "bits2"]
+    leaves = distinct.select("id", *bits, F.posexplode("trees").alias("tree", "hi")).select(F.col("tree").cast("long").alias("tree"), "hi", "id", *bits)
+    order, schema = ["tree", "hi", "id"], ", ".join(f"{n} long" for n in FOUND)
+    found = cut(leaves.repartitionByRange(*order).sortWithinPartitions("tree", "hi").mapInArrow(_regions, schema), "regions")
+    ends = found.filter("id IS NOT NULL AND n IS NULL").drop("n")
+    whole = cut(ends.groupBy("tree", "hi").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "ends")
+    ends = join_dim(ends, whole, ["tree", "hi"], ["id"], "inner")
+    near = ends.filter(F.col("n") <= SMALL).groupBy("tree", "hi").agg(F.array_sort(F.collect_list(F.struct("id", *bits))).alias("o"))
+    near = near.select(F.explode("o").alias("x"), "o").select("x", F.explode("o").alias("y")).filter("x.id < y.id")
+    differing = lambda x, y: sum(F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in bits)
+    near = near.filter(differing("x", "y") <= HASHES - LEAST_BITS).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    pairs = found.filter("a IS NOT NULL").select("a", "b").unionByName(near)
+
+    columns = ["tree", "hi", "id", *bits, "n"]
+    crowded = cut(found.filter(F.col("n") > SMALL).select(columns).unionByName(ends.filter(F.col("n") > SMALL).select(columns)), "crowded")
+    if not crowded.isEmpty():
+        depth = F.least(F.lit(TREES - 1), F.ceil(F.log(F.col("n") / SMALL) / F.lit(-DEPTH * math.log(0.8)))).cast("int")
+        deep = crowded.join(distinct.select("id", "trees"), "id").withColumn("tree_", F.col("tree").cast("int")).select(
+            "tree", "hi", F.slice(F.expr(f"concat(slice(trees, tree_ + 2, {TREES}), slice(trees, 1, tree_))"), F.lit(1), depth).alias("rest"), "id", *bits)
+        order = ["tree", "hi", "rest", "id"]
+        kinds = "a long, b long, part long, at long, " + ", ".join(f"{n} long" for n in LEAF)
+        sorted_ = deep.repartitionByRange(*order).sortWithinPartitions(*order).select(*LEAF).mapInArrow(_neighbours, kinds)
+        sorted_ = cut(sorted_, "neighbours")
+        seams = sorted_.filter("a IS NULL").select("part", "at", *LEAF).distinct()
+        here, w = F.struct("id", "hi", *bits), W.partitionBy("tree").orderBy("part", "at")
+        ahead = seams.withColumn("others", F.array(*[F.lead(here, d).over(w) for d in range(1, NEIGHBOURS + 1)]))
+        ahead = ahead.select(F.struct("id", "hi", *bits).alias("x"), F.explode("others").alias("y"))
+        across = ahead.filter((F.col("x.hi") == F.col("y.hi")) & (differing("x", "y") <= HASHES - LEAST_BITS))
+        pairs = pairs.unionByName(sorted_.filter("a IS NOT NULL").select("a", "b")).unionByName(
+            across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+    return pairs.filter("a < b").distinct()
 
 
 # ---- verification ----------------------------------------------------------------------------
