@@ -6,6 +6,7 @@ import heapq
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,31 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return word_bounds(data, offsets, NOT_BLANK, cuts)
 
 
-def word_encoder(path: str, most: int = 300_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+class KnownWords:
+    """Ids of distinct words by their hash, one after the other in one array; at most ``most`` words, then it starts anew."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[int, int] = {}
+        self.ids = np.empty(1 << 16, "<u4")
+        self.ends = np.zeros(1 << 14, np.int64)  # of word i at i + 1
+
+    def add(self, keys: list[int], words: list[list[int]]) -> None:
+        n = len(self.number)
+        ends = self.ends[n] + np.cumsum([len(w) for w in words])
+        for name, need in (("ids", int(ends[-1])), ("ends", n + len(words) + 1)):
+            array = getattr(self, name)
+            if len(array) < need:
+                setattr(self, name, np.concatenate([array, np.empty(max(need, 2 * len(array)) - len(array), array.dtype)]))
+        self.ids[self.ends[n]:ends[-1]] = np.fromiter(chain.from_iterable(words), "<u4", int(ends[-1] - self.ends[n]))
+        self.ends[n + 1:n + 1 + len(words)] = ends
+        self.number.update(zip(keys, range(n, n + len(words))))
+
+
+def word_encoder(path: str, most: int = 1_000_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """Ids of whole texts and their number per text, for tokenizers that ignore blanks and case and never span a blank, nor a letter
     and the punctuation behind it.
 
@@ -43,7 +68,7 @@ def word_encoder(path: str, most: int = 300_000) -> Callable[[pa.Array], tuple[n
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[int, bytes] = {}
+    known = KnownWords(most)
     special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -60,23 +85,21 @@ def word_encoder(path: str, most: int = 300_000) -> Callable[[pa.Array], tuple[n
         starts, ends = _segments(data, offsets)
         hashes, first, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         keys = hashes.tolist()
-        if len(known) + len(keys) > most:
+        if len(known.number) + len(keys) > most:
             known.clear()
-        unseen = [i for i, k in enumerate(keys) if k not in known]
-        at = first[unseen]
+        numbers = np.fromiter(map(known.number.get, keys, repeat(-1)), np.int64, len(keys))
+        unseen = np.flatnonzero(numbers < 0)
         text = data.tobytes()
-        spans = list(zip(unseen, starts[at].tolist(), ends[at].tolist()))
-        for low in range(0, len(spans), CHUNK):
-            some = spans[low:low + CHUNK]
-            fresh = [text[s:e].decode("utf-8", "replace") for _, s, e in some]
-            for (i, _, _), e in zip(some, tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                known[keys[i]] = np.array(e.ids, "<u4").tobytes()
-        own = [known[k] for k in keys]
-        size = np.array([len(x) for x in own], np.int64) // 4
-        flat, begin = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size) - size
-        count = size[inverse]
+        for low in range(0, len(unseen), CHUNK):
+            some = unseen[low:low + CHUNK]
+            fresh = [text[s:e].decode("utf-8", "replace") for s, e in zip(starts[first[some]].tolist(), ends[first[some]].tolist())]
+            numbers[some] = np.arange(len(some)) + len(known.number)
+            known.add(hashes[some].tolist(), [e.ids for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)])
+        word = numbers[inverse]
+        begin = known.ends[word]
+        count = known.ends[word + 1] - begin
         upto = np.concatenate([[0], np.cumsum(count)])
-        ids = flat[np.repeat(begin[inverse] - upto[:-1], count) + np.arange(upto[-1])]
+        ids = known.ids[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])]
         per_text = np.diff(upto[np.searchsorted(starts, offsets)])
         return ids, per_text
 
@@ -158,7 +181,7 @@ def pack_texts(mission_files: DataFrame, tokenizer: str, key: str = "file", text
         for batch in batches:
             schema = pa.schema([pa.field("key", batch.schema.field(0).type), *[pa.field(n, pa.int64()) for n in
                                ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
-            for low, high in row_groups(text_bytes(batch.column(1))[1]):
+            for low, high in row_groups(text_bytes(batch.column(1))[1], 1 << 21):
                 flat, sizes = encode(batch.column(1).slice(low, high - low))
                 ends = np.cumsum(sizes)
                 for k, start, end in zip(batch.column(0).slice(low, high - low).to_pylist(), ends - sizes, ends):
