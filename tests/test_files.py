@@ -161,3 +161,74 @@ def test_columns_at_the_edges(spark):
     ).first()
     assert tuple(row)[:8] == ("Z", "AA", "A", "Mission", "-- m", "El-Alamein", "2.00 KiB (2048 B)", 138)
     assert tuple(row.e) == (3 * 1024 + 5, 1)
+
+
+# ---- files of any size -----------------------------------------------------------------------
+
+
+def test_large_files_are_read_in_ranges(spark, tmp_path):
+    """A sparse file of 3 GB is planned as ranges; records at its ends come out with their numbers."""
+    big = tmp_path / "lvl" / "objects.bin"
+    big.parent.mkdir()
+    n = (3 << 30) // 14
+    with big.open("wb") as f:
+        f.write(struct.pack("<Hfff", 1, 1.0, 2.0, 3.0))
+        f.seek((n - 1) * 14)
+        f.write(struct.pack("<Hfff", 65535, 4.0, 5.0, 6.0) + b"torn")
+    assert binary.level_files(spark, "instances14", str(big)).rdd.getNumPartitions() == 24
+    whole = binary.LevelFilesReader({"kind": "instances14", "paths": json.dumps([str(big)]), "rangebytes": str(1 << 27), "minfill": "0"},
+                                    binary.level_files(spark, "instances14", str(big)).schema)
+    parts = [p.parts[0] for p in whole.partitions()]
+    assert parts[0][1] == 0 and parts[-1][2] == n * 14 + 4 and all(a[2] == b[1] for a, b in zip(parts, parts[1:]))
+    first, last = (list(whole._rows(*parts[i])) for i in (0, -1))
+    assert first[0]["idx"][0] == 0 and first[0]["x"][0] == 1.0 and last[-1]["idx"][-1] == n - 1 and last[-1]["pool_idx"][-1] == 65535
+
+
+@pytest.mark.parametrize("step", [14, 20, 33, 1000])
+def test_ranges_of_any_size_give_the_same_records(spark, tmp_path, step):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "objects.bin").write_bytes(b"".join(struct.pack("<Hfff", i, i, 0, 0) for i in range(50)))
+    rows = binary.read_instances(spark, str(tmp_path / "*" / "objects.bin"), range_bytes=step).collect()
+    assert sorted((r.map_id, r.idx, r.pool_idx) for r in rows) == [("a", i, i) for i in range(50)]
+
+
+def test_texture_ranges_skip_records_inside_others(spark, tmp_path):
+    head = lambda size: struct.pack("<4s4sIHHB3xH2xII", b"DDSx", b"DXT1", 0, 4, 4, 1, 32, size, 0)
+    inner = head(3) + b"abc"
+    data = b".." + head(len(inner)) + inner + b"DDS" + head(5) + b"DDSx!" + head(1 << 20) + b"end"
+    (tmp_path / "t.bin").write_bytes(data)
+    want = [(r["pos"], r["end"]) for r in binary._records(data)]
+    for step in (7, 64, 1 << 20):
+        got = binary.scan_texture_records(spark, str(tmp_path / "t.bin"), step).orderBy("pos").collect()
+        assert [(r.pos, r.end) for r in got] == want and len(want) == 2
+
+
+def test_a_broken_file_is_a_row(spark, tmp_path):
+    start = b"DBLD" + bytes(8)
+    (tmp_path / "good.bin").write_bytes(start + block(b"tex.", b"abc") + block(b"END.", b""))
+    (tmp_path / "gone.bin").write_bytes(start)
+    (tmp_path / "locked.bin").write_bytes(start)
+    reader = binary.LevelFilesReader({"kind": "blocks", "paths": json.dumps([str(tmp_path)]), "rangebytes": "1", "minfill": "0"},
+                                     binary.level_files(spark, "blocks", str(tmp_path)).schema)
+    parts = [(path, *rest) for p in reader.partitions() for path, *rest in p.parts]
+    (tmp_path / "gone.bin").unlink()
+    rows = [r for b in reader.read(binary.FileRange(parts)) for r in b.to_pylist()]
+    assert sorted((r["file"].rsplit("/", 1)[1], r["idx"], (r["error"] or "").split(":")[0]) for r in rows if r["idx"] is not None) == [("good.bin", 0, ""), ("good.bin", 1, "")]
+    assert [(r["file"].rsplit("/", 1)[1], r["error"].split(":")[0]) for r in rows if r["error"]] == [("gone.bin", "FileNotFoundError")]
+    failed = binary.failed_files(spark.createDataFrame(rows, "file string, idx int, pos long, len long, flags int, tag binary, error string"))
+    assert [(r.map_id, r.ok) for r in failed.collect()] == [("gone.bin", False)]
+    with pytest.raises(Exception, match="none.bin"):
+        binary.scan_blocks(spark, str(tmp_path / "none.bin")).collect()
+
+
+def test_headers_are_read_without_bodies(spark, tmp_path):
+    """Blocks whose bodies are 1 GB holes: three headers are all that is read."""
+    path = tmp_path / "holes.bin"
+    with path.open("wb") as f:
+        f.write(b"DBLD" + bytes(8))
+        for _ in range(3):
+            f.write(struct.pack("<I4s", (900 << 20) + 4, b"lnd2"))
+            f.seek(900 << 20, 1)
+        f.write(block(b"END.", b""))
+    got = binary.scan_blocks(spark, str(path)).orderBy("idx").collect()
+    assert [(r.idx, bytes(r.tag)) for r in got] == [(0, b"lnd2"), (1, b"lnd2"), (2, b"lnd2"), (3, b"END.")]
