@@ -3,40 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scans import CHUNK, running_max
+from .scans import CHUNK, join_keyed
 
 
-def _starts(spans: DataFrame, chunk: int) -> DataFrame:
-    """Longest span per start, with the furthest end of all earlier ones."""
-    longest = spans.groupBy("file", "start").agg(F.max("end").alias("end"))
-    return running_max(longest, ["file"], "start", "end", "reach", inclusive=False, chunk=chunk)
+def _reached(spans: DataFrame, chunk: int) -> DataFrame:
+    """Longest span per start with ``reach``, the furthest end of all earlier ones, and ``island``, the start of the union it belongs to.
 
+    One scan in chunks of the starts carries both: within a chunk, an island begins where a start lies beyond all ends before it in the chunk. It is an island
+    of the file if it also lies beyond what earlier chunks reach, which one row per chunk tells.
+    """
+    longest = spans.groupBy("file", "start").agg(F.max("end").alias("end")).withColumn("_chunk", F.expr(f"start div {chunk}"))
+    keys = ["file", "_chunk"]
+    earlier = W.partitionBy(*keys).orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy(*keys).orderBy("start").rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = longest.withColumn("_reach", F.max("end").over(earlier))
+    local = local.withColumn("_island", F.max(F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), F.col("start"))).over(upto))
+    before = W.partitionBy("file").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    chunks = local.groupBy(*keys).agg(F.max("end").alias("_end"), F.max("_island").alias("_last")).withColumn("_carry", F.max("_end").over(before))
+    fresh = F.when(F.col("_carry").isNull() | (F.col("_last") > F.col("_carry")), F.col("_last"))
+    chunks = chunks.withColumn("_begun", F.max(fresh).over(before)).select(*keys, "_carry", "_begun")
+    own = F.when(F.col("_carry").isNull() | (F.col("_island") > F.col("_carry")), F.col("_island"))
+    return join_keyed(local, chunks, keys).select(
+        "file", "start", "end", F.greatest("_carry", "_reach").alias("reach"), F.coalesce(own, "_begun").alias("island"))
 
-def merge_intervals(spans: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Union of overlapping or touching [start, end) spans per file.
 
-    An island is named after its first start, found with a second running maximum.
-    """
-    begun = _starts(spans.filter("end > start"), chunk)
-    first = F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), F.col("start"))
-    named = running_max(begun.withColumn("_first", first), ["file"], "start", "_first", "island", chunk=chunk)
+def merge_intervals(spans: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Union of overlapping or touching [start, end) spans per file."""
+    named = _reached(spans.filter("end > start"), chunk)
     return named.groupBy("file", F.col("island").alias("start")).agg(F.max("end").alias("end"))
 
 
 def gaps(spans: DataFrame, totals: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Uncovered ranges of each file (``file, total``), with their share of it in percent."""
-    inside = spans.join(totals, "file").select(
+    inside = join_keyed(spans, totals.select("file", "total"), ["file"]).select(
         "file", "start", F.least("end", "total").alias("end")
     ).filter("end > start")
-    begun = _starts(inside, chunk).select("file", F.coalesce("reach", F.lit(0)).cast("long").alias("start"), F.col("start").alias("end"))
+    begun = _reached(inside, chunk).select("file", F.coalesce("reach", F.lit(0)).cast("long").alias("start"), F.col("start").alias("end"))
     last = inside.groupBy("file").agg(F.max("end").alias("start"))
-    tail = totals.join(last, "file", "left").select(
+    tail = join_keyed(totals.select("file", "total"), last, ["file"], "left").select(
         "file", F.coalesce("start", F.lit(0)).cast("long").alias("start"), F.col("total").cast("long").alias("end")
     )
     found = begun.unionByName(tail).filter("end > start")
-    return found.join(totals, "file").select(
+    return join_keyed(found, totals.select("file", "total"), ["file"]).select(
         "file", "start", "end", (F.col("end") - F.col("start")).alias("bytes"),
         F.round((F.col("end") - F.col("start")) * 100.0 / F.col("total"), 2).alias("percent"),
     )

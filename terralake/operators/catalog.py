@@ -280,18 +280,18 @@ def map_summary(maps: DataFrame, landclasses: DataFrame, materials: DataFrame) -
 def upsert_index(current: DataFrame, updates: DataFrame, key: str = "name", position: str = "pos") -> DataFrame:
     """Replace entries in place, append new ones after the last in key order.
 
-    Only genuinely new keys are numbered; existing entries keep their position.
+    Only genuinely new keys are numbered; existing entries keep their position. A null key is a key like any other.
     """
-    from .scans import ordinal
+    from .scans import join_keyed, ordinal
 
     cur = current.select(key, F.struct(*[c for c in current.columns if c != key]).alias("_old"))
     new = updates.select(key, F.struct(*[c for c in updates.columns if c != key]).alias("_new"))
     values = [c for c in current.columns if c not in (key, position)]
-    kept = cur.join(new, key, "left").select(
+    kept = join_keyed(cur, new, [key], "left").select(
         key, F.col(f"_old.{position}").cast("long").alias(position),
         *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in values],
     )
-    fresh = updates.join(current.select(key), key, "left_anti").withColumn("_all", F.lit(0))
+    fresh = join_keyed(updates, current.select(key), [key], "left_anti").withColumn("_all", F.lit(0))
     # a global aggregate is a single row, whatever the size of the index
     last = current.agg(F.coalesce(F.max(position), F.lit(0)).cast("long").alias("_last")).withColumn("_all", F.lit(0))
     added = ordinal(fresh, ["_all"], [key], "_n").join(F.broadcast(last), "_all").select(

@@ -11,10 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions._col import clamp, col, floor_long, half_up, num, trunc_long
 from ..functions.codec import height_from_u16, quantize_u16, to_byte
-from ..session import cut
 from .scans import fan_out, join_dim
 
 TILE = 64
@@ -115,20 +115,25 @@ def neighbors(raster: DataFrame, offsets: Sequence[tuple[int, int]], v: str = "v
 def box_sums(raster: DataFrame, radius: int, values: Sequence[str], side: int = 256) -> DataFrame:
     """Sums and count over the (2r+1)^2 window, clipped at the raster's border.
 
-    Computed row by row and then column by column inside tiles with a halo: one shuffle.
+    Taken from prefix sums inside tiles with a halo, first along rows and then along columns: one shuffle, and work that doesn't grow with the radius.
     """
     tiled = with_halo(raster, radius, side)
     keys = _tile_keys(raster)
-    row = W.partitionBy(*keys, "pz").orderBy("px").rangeBetween(-radius, radius)
-    column = W.partitionBy(*keys, "px").orderBy("pz").rangeBetween(-radius, radius)
-    out = tiled.withColumn("_n", F.count(F.lit(1)).over(row))
-    for v in values:
-        out = out.withColumn(f"_s_{v}", F.sum(v).over(row))
-    sums = [F.sum(f"_s_{v}").over(column).alias(f"sum_{v}") for v in values]
-    return (
-        out.select("*", F.sum("_n").over(column).alias("n_box"), *sums)
-        .filter("core").drop("hx", "hz", "core", "_n", *[f"_s_{v}" for v in values])
-    )
+
+    def between(c: Column, line: WindowSpec) -> Column:
+        """Sum within the radius, as the difference of two sums from the start of the line; both only ever take rows in."""
+        upto = [F.sum(c).over(line.rangeBetween(W.unboundedPreceding, end)) for end in (radius, -radius - 1)]
+        return upto[0] - F.coalesce(upto[1], F.lit(0))
+
+    row, column = W.partitionBy(*keys, "pz").orderBy("px"), W.partitionBy(*keys, "px").orderBy("pz")
+    # a window without any known value has no sum, not 0
+    known = [F.when(F.col(v).isNotNull(), 1).otherwise(0).alias(f"_k_{v}") for v in values]
+    plain = tiled.select("*", F.lit(1).alias("_n"), *known, *[F.coalesce(v, F.lit(0)).alias(f"_s_{v}") for v in values])
+    sums = [c for v in values for c in (f"_s_{v}", f"_k_{v}")]
+    out = plain.withColumns({c: between(F.col(c), row) for c in ("_n", *sums)})
+    out = out.select(*tiled.columns, *[between(F.col(c), column).alias(c) for c in ("_n", *sums)]).filter("core")
+    named = [F.when(F.col(f"_k_{v}") > 0, F.col(f"_s_{v}")).alias(f"sum_{v}") for v in values]
+    return out.select(*raster.columns, F.col("_n").alias("n_box"), *named)
 
 
 def box_mean(raster: DataFrame, radius: int, v: str = "v", out: str = "box_mean", side: int = 256) -> DataFrame:
@@ -267,79 +272,16 @@ def _dims(raster: DataFrame, layers: DataFrame) -> DataFrame:
     return sizes if len(known) == len(keys) else raster.select(*keys).distinct().join(sizes, known)
 
 
-def fill_smallest(known: DataFrame, dims: DataFrame, v: str = "v") -> DataFrame:
-    """Spread known values over grids of at most 4x4 cells; 0 where a grid knows none.
-
-    A grid is one short array per layer. Six rounds reach every cell from any other.
-    """
-    keys = _keys(known)
-    at = (F.col("pz") * F.col("width") + F.col("px")).alias("at")
-    grids = dims.join(known.select(*keys, "px", "pz", v), keys, "left").groupBy(*keys, "width", "height").agg(
-        F.array_sort(F.collect_list(F.when(F.col("px").isNotNull(), F.struct(at, F.col(v).cast("double").alias("v"))))).alias("_g")
-    )
-    w, n = F.col("width"), F.col("width") * F.col("height")
-
-    def spread(g: Column) -> Column:
-        def cell(value: Column, i: Column) -> Column:
-            around = F.filter(
-                F.array(
-                    F.when(i % w > 0, F.get(g, i - 1)), F.when(i % w < w - 1, F.get(g, i + 1)),
-                    F.when(i >= w, F.get(g, i - w)), F.when(i < n - w, F.get(g, i + w)),
-                ),
-                lambda x: x.isNotNull(),
-            )
-            total = F.aggregate(around, F.lit(0.0), lambda acc, x: acc + x)
-            return F.coalesce(value, F.when(F.size(around) > 0, total / F.size(around)))
-
-        return F.transform(g, cell)
-
-    start = dense_array(F.col("_g"), n)
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, lambda g, _: spread(g))
-    return grids.select(*keys, "width", F.posexplode(done).alias("_i", v)).select(
-        *keys, (F.col("_i") % F.col("width")).cast("int").alias("px"), F.floor(F.col("_i") / F.col("width")).cast("int").alias("pz"),
-        F.coalesce(F.col(v), F.lit(0.0)).alias(v),
-    )
-
-
 def fill_nodata(raster: DataFrame, layers: DataFrame, v: str = "v") -> DataFrame:
     """Fill missing cells from a pyramid of block means; known cells keep their value.
 
-    Cells may be missing as nulls or as absent rows: only known cells travel, and every layer comes out in full.
-    The coarser levels are written to the shared folder: they shrink fourfold each and serve twice,
-    on the way down and on the way up.  The way up is one chain of joins, one per level.
+    Cells may be missing as nulls or as absent rows: only known cells travel, and every layer comes out in full (see ``pyramid.fill_layers``).
     """
+    from .pyramid import fill_layers
+
     keys = _keys(raster)
-    sizes = _dims(raster, layers)
-    # number of halvings a layer needs to fit 4x4 cells; few different values exist
-    halvings = F.expr("size(filter(sequence(0, 30), d -> shiftright(greatest(width, height), d) > 4))")
-    depths = set(sizes.agg(F.collect_set(halvings)).first()[0]) or {0}
-    levels, dims = [raster.select(*keys, "px", "pz", F.col(v).cast("double").alias(v)).filter(F.col(v).isNotNull())], [sizes]
-    for _ in range(max(depths)):
-        levels.append(cut(pyramid_level(levels[-1], dims[-1], v), "pyramid"))
-        dims.append(halved(dims[-1]))
-
-    # A layer's last level is the one that fits 4x4 cells; layers of other sizes end at other levels.
-    def smallest(i: int) -> DataFrame:
-        return fill_smallest(levels[i], dims[i].filter(F.greatest("width", "height") <= 4), v)
-
-    full = smallest(max(depths))
-    for i in reversed(range(max(depths))):
-        deep = dims[i].filter(F.greatest("width", "height") > 4).withColumn(
-            "_cw", F.greatest(F.expr("width div 2"), F.lit(1)).cast("int")
-        ).withColumn("_ch", F.greatest(F.expr("height div 2"), F.lit(1)).cast("int"))
-        known = levels[i].join(deep.select(*keys), keys, "left_semi")
-        missing = _layers_for(
-            layer_cells(deep).join(levels[i], [*keys, "px", "pz"], "left_anti"), deep, "width", "height", "_cw", "_ch"
-        )
-        cx = (F.col("px") + 0.5) / F.col("width") * F.col("_cw") - 0.5
-        cz = (F.col("pz") + 0.5) / F.col("height") * F.col("_ch") - 0.5
-        patched = bilinear(
-            missing, full, F.greatest(cx, F.lit(0.0)), F.greatest(cz, F.lit(0.0)), F.col("_cw"), F.col("_ch"), v, v,
-        )
-        full = known.select(*keys, "px", "pz", v).unionByName(patched)
-        if i in depths:
-            full = full.unionByName(smallest(i))
-    return full
+    known = raster.select(*keys, "px", "pz", F.col(v).cast("double").alias(v)).filter(F.col(v).isNotNull())
+    return fill_layers(known, _dims(raster, layers).select(*keys, "width", "height"), v)
 
 
 # ---- resampling ------------------------------------------------------------------------------
@@ -522,13 +464,14 @@ def rasterize_triangles(tris: DataFrame, layers: DataFrame, dim: tuple[int, int]
 # ---- tiles -----------------------------------------------------------------------------------
 
 
-def pack_tiles(raster: DataFrame, layers: DataFrame, side: int = TILE, v: str = "v", kind: str = "float") -> DataFrame:
+def pack_tiles(raster: DataFrame, layers: DataFrame, side: int = TILE, v: str = "v", kind: str = "float",
+               by: Sequence[str] | None = None) -> DataFrame:
     """Cells to square tiles with one row-major array of ``kind`` each; missing cells become null entries.
 
     The cells of a tile are sorted once, as a column of its own, and then laid out in linear time.
     """
-    keys = _keys(raster)
-    sized = _layers_for(raster, layers, "width", "height")
+    keys = list(by) if by else _keys(raster)
+    sized = raster if {"width", "height"} <= {*raster.columns} else _layers_for(raster, layers, "width", "height")
     tx, tz = F.floor(F.col("px") / side).cast("int"), F.floor(F.col("pz") / side).cast("int")
     # places count inside the tile's own width, which is smaller at the border
     at = F.col("pz") % side * F.least(F.lit(side), F.col("width") - tx * side) + F.col("px") % side

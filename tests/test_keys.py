@@ -81,3 +81,24 @@ def test_absent_cells_are_filled(spark):
     assert sorted((r["map_id"], r["px"], r["pz"]) for r in got) == [(1, x, z) for x in range(8) for z in range(8)] + [(2, x, z) for x in range(5) for z in range(3)]
     assert {r["v"] for r in got if r["map_id"] == 1} == {7.0} and {r["v"] for r in got if r["map_id"] == 2} == {0.0}
     assert raster.complete_cells(few, layers).filter("v IS NULL").count() == 64 + 15 - 5
+
+
+def test_spans_of_a_file_without_a_name(spark):
+    from terralake.operators import audit
+
+    spans = spark.createDataFrame([(f, *s) for f in (None, "a") for s in [(0, 5), (3, 9), (9, 10), (20, 30), (22, 25), (40, 41)]], "file string, start long, end long")
+    totals = spark.createDataFrame([(None, 50), ("a", 50), ("empty", 4)], "file string, total long")
+    for chunk in (4, 1 << 16):
+        merged = {(r["file"], r["start"], r["end"]) for r in audit.merge_intervals(spans, chunk).collect()}
+        assert merged == {(f, *s) for f in (None, "a") for s in [(0, 10), (20, 30), (40, 41)]}
+        free = {(r["file"], r["start"], r["end"]) for r in audit.gaps(spans, totals, chunk).collect()}
+        assert free == {(f, *s) for f in (None, "a") for s in [(10, 20), (30, 40), (41, 50)]} | {("empty", 0, 4)}
+
+
+def test_an_entry_without_a_name_is_updated_once(spark):
+    current = spark.createDataFrame([("a", 1, 10), (None, 2, 20)], "name string, pos long, value int")
+    updates = spark.createDataFrame([(None, 21), ("b", 30)], "name string, value int")
+    got = catalog.upsert_index(current, updates)
+    again = catalog.upsert_index(got, updates)
+    want = [("a", 1, 10), (None, 2, 21), ("b", 3, 30)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) == sorted(map(tuple, again.collect()), key=repr)

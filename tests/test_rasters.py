@@ -429,3 +429,41 @@ def test_samples_outside_take_no_part_in_the_join(spark):
     inside = sum(len(r["cell"]) for r in mine)
     assert inside == sum(sum(r["n"]) for r in mine) < 360 * 375 / 3
     assert [len(r["cell"]) for r in asked if r["observer"] == 2] == [0]
+
+
+# ---- pyramids by tile ------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("size, side, whole", [((37, 53), 8, 4), ((64, 64), 8, 8), ((101, 19), 16, 4), ((5, 70), 4, 2)])
+def test_tiles_fill_like_whole_layers(spark, size, side, whole):
+    from terralake.operators import pyramid
+
+    w, h = size
+    rng = np.random.default_rng(w * h)
+    grids = {7: rng.integers(0, 500, (h, w)).astype(float), None: np.full((h, w), np.nan)}
+    grids[7][rng.random((h, w)) < 0.6] = np.nan
+    grids[7][h // 4:h // 2 + 3, : w // 2] = np.nan  # a hole larger than a tile
+    grids[None][h - 1, w - 1] = 5.0
+    rows = [(m, int(x), int(z), float(g[z, x])) for m, g in grids.items() for z, x in zip(*np.nonzero(~np.isnan(g)))]
+    known = spark.createDataFrame(rows, "map_id long, px int, pz int, v double")
+    dims = spark.createDataFrame([(m, w, h) for m in grids], "map_id long, width int, height int")
+    got = pyramid.fill_layers(known, dims, "v", side, whole).collect()
+    assert len(got) == 2 * w * h
+    for m, g in grids.items():
+        out = np.full((h, w), np.nan)
+        for r in got:
+            if r["map_id"] == m:
+                out[r["pz"], r["px"]] = r["v"]
+        assert np.allclose(out, pyramid.fill_whole(g), rtol=1e-12, atol=1e-9)
+
+
+def test_box_sums_do_not_grow_with_the_radius(spark):
+    """Sums equal numpy's for small and large windows; nulls are left out."""
+    rng = np.random.default_rng(5)
+    grid = rng.integers(0, 99, (23, 31)).astype(float)
+    grid[rng.random(grid.shape) < 0.2] = np.nan
+    data = cells(spark, [[None if np.isnan(v) else v for v in row] for row in grid.tolist()])
+    for radius in (1, 10):
+        for r in raster.box_sums(data, radius, ["v"], 16).collect():
+            near = grid[max(0, r["pz"] - radius):r["pz"] + radius + 1, max(0, r["px"] - radius):r["px"] + radius + 1]
+            assert r["n_box"] == near.size and r["sum_v"] == (np.nansum(near) if (~np.isnan(near)).any() else None)
