@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain, repeat
@@ -58,17 +60,36 @@ class KnownWords:
         self.number.update(zip(keys, range(n, n + len(words))))
 
 
+def _word_model(tokenizer) -> Callable[[str], list[int]] | None:
+    """Ids of a word by the tokenizer's model alone, where its own splitting leaves a run of letters whole; None for any other tokenizer."""
+    stages = (json.loads(tokenizer.to_str()).get("pre_tokenizer") or {}).get("pretokenizers") or []
+    if [x["type"] for x in stages] != ["Split", "ByteLevel"] or stages[1]["add_prefix_space"]:
+        return None
+    if r"[\p{L}]+" not in stages[0]["pattern"].get("Regex", ""):
+        return None
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: b for b in own} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*own}))}
+    tokenize = tokenizer.model.tokenize
+    return lambda word: [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]
+
+
+def _plain(word: str) -> bool:
+    """Letters only, which no normal form and no lower case would change."""
+    return word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word)) and word == word.lower()
+
+
 def word_encoder(path: str, most: int = 1_000_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """Ids of whole texts and their number per text, for tokenizers that ignore blanks and case and never span a blank, nor a letter
     and the punctuation behind it.
 
-    Words repeat: each distinct one of a group of texts is encoded once, unless it is among the (at most ``most``) words known.
+    Words repeat: each distinct one of a group of texts is encoded once, unless it is among the (at most ``most``) words known. Words of plain letters
+    go to the tokenizer's model directly, past its normalizer and splitting, which would leave them as they are.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the other cores have tasks of their own
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known = KnownWords(most)
+    known, model = KnownWords(most), _word_model(tokenizer)
     special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +115,11 @@ def word_encoder(path: str, most: int = 1_000_000) -> Callable[[pa.Array], tuple
             some = unseen[low:low + CHUNK]
             fresh = [text[s:e].decode("utf-8", "replace") for s, e in zip(starts[first[some]].tolist(), ends[first[some]].tolist())]
             numbers[some] = np.arange(len(some)) + len(known.number)
-            known.add(hashes[some].tolist(), [e.ids for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)])
+            found = [model(w) if model and _plain(w) else None for w in fresh]
+            other = [i for i, ids in enumerate(found) if ids is None]
+            for i, e in zip(other, tokenizer.encode_batch_fast([fresh[i] for i in other], add_special_tokens=False)):
+                found[i] = e.ids
+            known.add(hashes[some].tolist(), found)
         word = numbers[inverse]
         begin = known.ends[word]
         count = known.ends[word + 1] - begin

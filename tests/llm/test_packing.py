@@ -13,6 +13,7 @@ from terralake.llm.queries import tokenizer_path
 TEXTS = [
     "The quick brown fox, it's FINE... don't stop! #1,000.50%", None, "", " \n\t ", "Ärger über Öl; ñandú—¿qué? ÇA\u00a0va", "e\u0301te\u0301 \u212b A\u030a. x\u0301, ", "日本語 テキスト 123",
     "\x1c a\x1fb \u2028c", "a" * 5000, "word " * 6000, "$$$%%% &&&!!! |x| x|y,z", "<|endoftext|> <|startoftext|>x", "x×y, ÷. ÿ. İstanbul. ΟΔΟΣ ΣΑΣ.", "the, the, the,",
+    "ǅungla ſtraße ŉ ﬃ ªº ʰ İi ıI Σς naïve nai\u0308ve ΐ", "x2y _a_ don't l'été 12ab \u200bz",
 ]
 
 
