@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions._col import clamp, floor_long, trunc_long
 from ..functions.codec import fnv1a64, noise_rgb, seed_bits
 from ..functions.names import sanitize_det
-from .raster import _keys, _layers_for, _tile_keys, box_sums, with_halo
+from .raster import _keys, _layers_for, _tile_keys, box_sums, dense_array, with_halo
 from .scans import fan_out, join_dim
 
 # ---- fixed values ----------------------------------------------------------------------------
@@ -116,21 +116,27 @@ def paint_pixels(cells: DataFrame, tile_w: int, tile_h: int) -> DataFrame:
     })
 
 
-def _splat_at(pixels: DataFrame, splats: DataFrame, index: Column, tile_w: int, tile_h: int, prefix: str) -> DataFrame:
-    """Nearest splat pixel of the tile with the given index, as four prefixed columns."""
+def splat_arrays(splats: DataFrame) -> DataFrame:
+    """One row per splat tile (``map_id, tile``): width ``sw``, height ``sh``, whether its alpha counts, and its pixels as an array of packed bytes."""
+    packed = F.col("r") + F.shiftleft(F.col("g"), 8) + F.shiftleft(F.col("a"), 16)
     tiles = splats.groupBy("map_id", "tile").agg(
-        (F.max("sx") + 1).alias("_sw"), (F.max("sz") + 1).alias("_sh"), (F.min("a") < 255).alias("_alpha")
+        (F.max("sx") + 1).alias("sw"), (F.max("sz") + 1).alias("sh"), (F.min("a") < 255).alias("alpha"),
+        F.array_sort(F.collect_list(F.struct("sz", "sx", packed.cast("int").alias("v")))).alias("_p"),
     )
-    asked = pixels.withColumn("tile", index)
-    sized = asked.join(tiles, ["map_id", "tile"], "left")
-    sx = F.least(trunc_long((F.col("_x") + 0.5) * F.col("_sw") / tile_w), F.col("_sw") - 1).cast("int")
-    sz = F.least(trunc_long((F.col("_y") + 0.5) * F.col("_sh") / tile_h), F.col("_sh") - 1).cast("int")
-    placed = sized.withColumn("sx", sx).withColumn("sz", sz)
-    found = placed.join(splats.select("map_id", "tile", "sx", "sz", "r", "g", "a"), ["map_id", "tile", "sx", "sz"], "left")
-    return found.withColumns({
-        f"{prefix}r": F.col("r"), f"{prefix}g": F.col("g"),
-        f"{prefix}a": F.when(F.col("_alpha"), F.col("a")).otherwise(0 * F.col("a")),
-    }).drop("tile", "sx", "sz", "_sw", "_sh", "_alpha", "r", "g", "a")
+    placed = tiles.withColumn("_at", F.transform("_p", lambda c: F.struct((c["sz"] * F.col("sw") + c["sx"]).alias("at"), c["v"].alias("v"))))
+    return placed.select("map_id", "tile", "sw", "sh", "alpha", dense_array(F.col("_at"), F.col("sw") * F.col("sh"), "int").alias("splat"))
+
+
+def texture_arrays(textures: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row per texture: ``texture, tw, th``, its texels as an array of packed bytes (null where one is missing), and whether any is."""
+    packed = F.col("r") + F.shiftleft(F.col("g"), 8) + F.shiftleft(F.col("b"), 16)
+    texels = textures.groupBy("texture").agg(F.array_sort(F.collect_list(F.struct("sy", "sx", packed.cast("int").alias("v")))).alias("_p"))
+    placed = sizes.select("texture", "tw", "th").join(texels, "texture", "left").withColumn(
+        "_at", F.coalesce(F.transform("_p", lambda c: F.struct((c["sy"] * F.col("tw") + c["sx"]).cast("int").alias("at"), c["v"].alias("v"))),
+                          F.array().cast("array<struct<at:int,v:int>>")))
+    n = F.col("tw") * F.col("th")
+    holes = (F.size("_at") < n) | F.exists("_at", lambda c: c["v"].isNull())
+    return placed.select("texture", "tw", "th", dense_array(F.col("_at"), n, "int").alias("texels"), holes.alias("holes"))
 
 
 def splat_weights() -> Column:
@@ -148,6 +154,9 @@ def splat_blend(cells: DataFrame, splats: DataFrame, landclasses: DataFrame, tex
     b, a``; ``landclasses``: ``map_id, lc_idx, name, texture, scale_x, scale_y, detail_textures,
     detail_scales`` and, for noise, ``authored``.  Cells without a tile show their base landclass, pixels without any landclass the
     water colour.
+
+    Splat tiles and textures are arrays, fetched once per cell and slot; the pixels of a cell are made next to them and read both by position, so
+    no pixel takes part in a join.
     """
     landclasses = known_details(landclasses, sizes).withColumn("_seed", noise_seed(landclasses))
     ocean = landclasses.groupBy("map_id").agg(
@@ -156,39 +165,63 @@ def splat_blend(cells: DataFrame, splats: DataFrame, landclasses: DataFrame, tex
     )
     clean = join_dim(cells, ocean, ["map_id"], ["tx", "tz"], "left").withColumn("det", sanitize_det("det", "_ocean"))
     mixed = single_lc_detail_mix(clean.drop("_ocean"), landclasses)
-    pixels = paint_pixels(mixed, tile_w, tile_h)
-    first = _splat_at(pixels, splats, F.col("export_idx"), tile_w, tile_h, "s1_")
-    both = _splat_at(first, splats, F.when(F.col("has_tex2"), F.col("export_idx") + 1), tile_w, tile_h, "s2_")
-
-    shown = F.transform(splat_weights(), lambda s: F.struct(
-        s["slot"].alias("slot"), F.get(F.col("det"), s["slot"]).alias("lc"), s["weight"].alias("weight")
-    ))
-    valid = F.filter(shown, lambda s: (s["weight"] > 0) & (s["lc"] < F.col("_lcs")))
-    base = F.array(F.struct(F.lit(-1).alias("slot"), F.get(F.col("det"), F.lit(0)).alias("lc"), F.lit(1).alias("weight")))
-    base = F.filter(base, lambda s: s["lc"] < F.col("_lcs"))
-    parts = F.when(F.col("s1_r").isNull() | (F.size(valid) == 0), base).otherwise(valid)
-    asked = both.select("map_id", "px", "pz", "single_lc", F.explode_outer(parts).alias("_p")).select(
-        "map_id", "px", "pz", "_p.slot", "_p.weight",
-        F.when((F.col("_p.slot").between(0, 3)) & F.col("single_lc").isNotNull(), F.col("single_lc"))
-        .otherwise(F.col("_p.lc")).alias("lc_idx"),
-        (F.col("_p.slot").between(0, 3) & F.col("single_lc").isNotNull()).alias("_mix"),
-    )
-    lc = join_dim(
-        asked, landclasses.select("map_id", "lc_idx", "_seed", "texture", "scale_x", "scale_y", "detail_textures", "detail_scales"),
-        ["map_id", "lc_idx"], ["px", "pz"], "left",
+    tiles = splat_arrays(splats)
+    second = F.when(F.col("has_tex2"), F.col("export_idx") + 1)
+    for prefix, index in (("s1", F.col("export_idx")), ("s2", second)):
+        own = tiles.select("map_id", "tile", F.struct("sw", "sh", "alpha", "splat").alias(prefix))
+        mixed = mixed.withColumn("tile", index).join(own, ["map_id", "tile"], "left").drop("tile")
+    known = lambda i: F.coalesce(F.get(F.col("det"), i) < F.col("_lcs"), F.lit(False))
+    celled = mixed.withColumn("_ok", F.array(*[known(F.lit(i)) for i in range(7)])).withColumn("slot", F.explode(F.sequence(F.lit(-1), F.lit(6))))
+    mix = F.col("slot").between(0, 3) & F.col("single_lc").isNotNull()
+    lc = F.get(F.col("det"), F.greatest(F.col("slot"), F.lit(0)))
+    slots = celled.filter((F.col("slot") < 0) | (F.col("s1").isNotNull() & F.get(F.col("_ok"), F.col("slot")))).select(
+        "map_id", "tx", "tz", "slot", "s1", "s2", "_ok", F.when(mix, F.col("single_lc")).otherwise(F.when(lc < F.col("_lcs"), lc)).alias("lc_idx"), mix.alias("_mix"))
+    shown = join_dim(
+        slots, landclasses.select("map_id", "lc_idx", "_seed", "texture", "scale_x", "scale_y", "detail_textures", "detail_scales"),
+        ["map_id", "lc_idx"], ["tx", "tz"], "left",
     )
     pick = F.element_at(F.array(*[F.lit(s) for s in DETAIL_SLOTS]), F.greatest(F.col("slot"), F.lit(0)) % 4 + 1)
     detail = F.when(F.col("_mix"), F.get(F.col("detail_textures"), pick))
     scale = F.when(detail.isNotNull(), F.get(F.col("detail_scales"), pick))
-    points = lc.select(
-        "map_id", "px", "pz", "weight", F.col("px").alias("gx"), F.col("pz").alias("gy"), F.col("lc_idx"),
-        F.when(F.col("lc_idx").isNotNull(), F.col("_seed")).alias("_seed"),
+    textured = shown.select(
+        "map_id", "tx", "tz", "slot", "s1", "s2", "_ok", "lc_idx", F.when(F.col("lc_idx").isNotNull(), F.col("_seed")).alias("_seed"),
         F.coalesce(detail, F.col("texture")).alias("texture"),
         F.coalesce(scale, F.col("scale_x")).alias("scale_x"), F.coalesce(scale, F.col("scale_y")).alias("scale_y"),
-    )
-    colours = sample_tiled_texture(points, textures, sizes, "_seed")
+    ).join(texture_arrays(textures, sizes), "texture", "left")
+
+    rows = fan_out(textured, "map_id", "tx", "tz").withColumn("_y", F.explode(F.sequence(F.lit(0), F.lit(tile_h - 1))))
+    pixels = rows.withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(tile_w - 1)))).withColumns({
+        "px": (F.col("tx") * tile_w + F.col("_x")).cast("int"), "pz": (F.col("tz") * tile_h + F.col("_y")).cast("int"),
+    })
+
+    def nearest(p: str, n: str, size: int) -> Column:
+        return F.least(trunc_long((F.col(p) + 0.5) * F.col(n) / size), F.col(n) - 1)
+
+    for s in ("s1", "s2"):
+        at = nearest("_y", f"{s}.sh", tile_h) * F.col(f"{s}.sw") + nearest("_x", f"{s}.sw", tile_w)
+        pixels = pixels.withColumn(f"_{s}", F.get(F.col(f"{s}.splat"), at.cast("int"))).withColumns({
+            f"{s}_r": F.col(f"_{s}").bitwiseAND(255), f"{s}_g": F.shiftright(f"_{s}", 8).bitwiseAND(255),
+            f"{s}_a": F.when(F.col(f"{s}.alpha"), F.shiftright(f"_{s}", 16)).otherwise(F.col(f"_{s}") * 0),
+        })
+    weights = splat_weights()
+    some = F.col("s1_r").isNotNull() & F.exists(weights, lambda w: F.coalesce((w["weight"] > 0) & F.get(F.col("_ok"), w["slot"]), F.lit(False)))
+    weight = F.when(F.col("slot") < 0, F.when(F.coalesce(some, F.lit(False)), 0).otherwise(1)).otherwise(
+        F.when(F.col("s1_r").isNotNull(), F.get(weights, F.col("slot"))["weight"]))
+    seen = pixels.withColumn("weight", weight).filter("weight > 0").withColumn("weight", F.when(F.col("lc_idx").isNotNull(), F.col("weight")))
+
+    def texel(p: str, scale_: str, n: str) -> Column:
+        return trunc_long(F.col(p) / F.greatest(F.col(scale_), F.lit(1.0)) * F.col(n)) % F.col(n)
+
+    at = (texel("pz", "scale_y", "th") * F.col("tw") + texel("px", "scale_x", "tw")).cast("int")
+    drawn = seen.withColumn("_t", F.get(F.col("texels"), at)).withColumns({
+        "r": F.col("_t").bitwiseAND(255), "g": F.shiftright("_t", 8).bitwiseAND(255), "b": F.shiftright("_t", 16).bitwiseAND(255)})
+    # noise is Python's: only rows of a texture that is unknown, or lacks texels, are sent there
+    maybe = F.col("_seed").isNotNull() & F.coalesce(F.col("holes"), F.lit(True))
+    columns = ["map_id", "px", "pz", "weight", *RGB]
+    noisy = drawn.filter(maybe).withColumn("_noise", noise_rgb("_seed", "px", "pz"))
+    noisy = noisy.withColumns({c: F.coalesce(F.col(c), F.col(f"_noise.{c}")) for c in RGB})
     total = F.sum("weight")
-    return colours.groupBy("map_id", "px", "pz").agg(*[
+    return drawn.filter(~maybe).select(columns).unionByName(noisy.select(columns)).groupBy("map_id", "px", "pz").agg(*[
         F.when(total > 0, byte_range(floor_long(F.sum(F.col(c) * F.col("weight")) / total)))
         .otherwise(WATER_COLOR[i]).cast("int").alias(c)
         for i, c in enumerate(RGB)
