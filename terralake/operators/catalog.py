@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import DETAIL_KEYS, texture_candidates
+from ..functions.geo import lc_scale
+from ..functions.names import DETAIL_KEYS, detail_candidates, is_ocean_lc, texture_candidates
 from .scans import CHUNK, first_match, head_per_group, join_dim, join_keyed, running_sum
 
 NO_LANDCLASS = 255
@@ -35,6 +36,47 @@ def resolve_textures(landclasses: DataFrame, store: DataFrame) -> DataFrame:
     )
 
 
+def landclass_materials(landclasses: DataFrame, store: DataFrame, canvas: DataFrame) -> DataFrame:
+    """What ``terrain.splat_blend`` paints a landclass with: textures that exist, and their periods in output pixels.
+
+    ``landclasses``: ``map_id, lc_idx, name, texture, details, size, detail_sizes``; ``store``: ``map_id, name``, the textures a map can use; ``canvas``:
+    ``map_id, mpp_x, mpp_z``, metres per output pixel (1 where unknown). The base texture is the first candidate in the store, and so is each of the four detail textures (R, G, B, K).
+    Periods are metres: at least 8 pixels for the base, at least 1 for details, which take the base period where they have no size of their own.
+    """
+    base = resolve_textures(landclasses, store).select("map_id", "lc_idx", "resolved")
+    named = landclasses.select("map_id", "lc_idx", F.posexplode(F.array(*[F.try_element_at("details", F.lit(k)) for k in DETAIL_KEYS])).alias("slot", "_n"))
+    asked = named.filter(F.col("_n").isNotNull()).select("map_id", "lc_idx", "slot", F.posexplode(detail_candidates("_n")).alias("rank", "candidate"))
+    have = store.select("map_id", F.col("name").alias("candidate")).distinct()
+    best = first_match(asked.join(have, ["map_id", "candidate"], "left_semi"), ["map_id", "lc_idx", "slot"], ["rank"])
+    details = best.groupBy("map_id", "lc_idx").agg(F.map_from_entries(F.collect_list(F.struct("slot", "candidate"))).alias("_d"))
+    sized = join_dim(landclasses, canvas.select("map_id", "mpp_x", "mpp_z"), ["map_id"], ["lc_idx"], "left")
+    joined = sized.join(base, ["map_id", "lc_idx"], "left").join(details, ["map_id", "lc_idx"], "left")
+    metres = lc_scale("size")
+    pixel = lambda axis: F.greatest(F.coalesce(F.col(f"mpp_{axis}"), F.lit(1.0)), F.lit(1e-6))
+    scale_x = F.greatest(metres["sx"] / pixel("x"), F.lit(8.0))
+    own = [F.get("detail_sizes", F.lit(i)) for i in range(4)]
+    periods = [F.when(d.isNotNull(), F.greatest(F.greatest(d, F.lit(1.0)) / pixel("x"), F.lit(1.0))).otherwise(scale_x) for d in own]
+    return joined.select(
+        "map_id", "lc_idx", "name", F.col("resolved").alias("texture"), F.col("texture").alias("authored"),
+        scale_x.alias("scale_x"), F.greatest(metres["sy"] / pixel("z"), F.lit(8.0)).alias("scale_y"),
+        F.array(*[F.try_element_at("_d", F.lit(i)) for i in range(4)]).alias("detail_textures"), F.array(*periods).alias("detail_scales"),
+        is_ocean_lc("name").alias("ocean"),
+    )
+
+
+def select_materials(store: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """Textures of a map's store (``map_id, name``) that are kept as materials, in order.
+
+    Left out are terrain tiles (the map's name and a number, or ``tile_``) and the normal maps ``_na16``; with ``allowed`` (``map_id, name``) all others as well.
+    """
+    last = F.element_at(F.split("name", "_"), -1)
+    tile = F.col("name").startswith(F.concat(F.col("map_id").cast("string"), F.lit("_"))) & last.rlike("^[+]?[0-9]+$")
+    kept = store.filter(~(tile | F.col("name").startswith("tile_") | F.lower("name").endswith("_na16")))
+    if allowed is not None:
+        kept = kept.join(allowed.select("map_id", "name").distinct(), ["map_id", "name"], "left_semi")
+    return kept.orderBy("map_id", "name")
+
+
 def wanted_names(landclasses: DataFrame) -> DataFrame:
     return _wanted(landclasses).select("map_id", F.col("candidate").alias("name")).distinct()
 

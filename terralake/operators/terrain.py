@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions._col import clamp, floor_long, trunc_long
 from ..functions.codec import fnv1a64, noise_rgb, seed_bits
 from ..functions.names import sanitize_det
+from ..session import cut
 from .raster import _keys, _layers_for, _tile_keys, box_sums, dense_array, with_halo
 from .scans import fan_out, join_dim
 
@@ -329,6 +330,34 @@ def tint_water(rgb: DataFrame, mask: DataFrame, color: tuple[int, int, int] = TI
     return flagged.withColumns({c: mix(i, c) for i, c in enumerate(RGB)}).drop("_wet")
 
 
+# ---- a level from its parts ------------------------------------------------------------------
+
+
+def painted_level(cells: DataFrame, splats: DataFrame, materials: DataFrame, textures: DataFrame, sizes: DataFrame, normals: DataFrame,
+                  wet: DataFrame, tile_w: int, tile_h: int, border: int = 10, sun: tuple[float, float, float] = (30.0, 50.0, 0.5),
+                  flood_tile: int = 64) -> DataFrame:
+    """Colours of whole levels: splats blended, seams softened, lit by the normals, water tinted.
+
+    ``cells``, ``splats``, ``textures`` and ``sizes`` as for ``splat_blend``, ``materials`` from ``catalog.landclass_materials``; ``normals`` (``map_id, px, pz, nr, ng, nb``)
+    and ``wet`` (``map_id, px, pz``, cells low enough to be water) on the canvas, whose size follows from the cells. Cells that are populated or have a base landclass are
+    protected from water. A canvas cell without a normal is not lit, which an inner join would lose.
+    """
+    from .flood import water_mask
+
+    columns = ["map_id", "px", "pz", *RGB]
+    canvas = cells.groupBy("map_id").agg(
+        ((F.max("tx") + 1) * tile_w).cast("int").alias("width"), ((F.max("tz") + 1) * tile_h).cast("int").alias("height"))
+    painted = cut(splat_blend(cells, splats, materials, textures, sizes, tile_w, tile_h), "painted")
+    soft = feather_seams(painted, canvas, tile_w, tile_h, border).select(columns)
+    facing = soft.select("map_id", "px", "pz").join(normals.select("map_id", "px", "pz", "nr", "ng", "nb"), ["map_id", "px", "pz"])
+    lit = cut(hillshade(soft, facing, *sun).select(columns).unionByName(
+        soft.join(normals.select("map_id", "px", "pz"), ["map_id", "px", "pz"], "left_anti").select(columns)), "lit")
+    flagged = lit.select("map_id", "px", "pz").join(wet.select("map_id", "px", "pz", F.lit(True).alias("wet")), ["map_id", "px", "pz"], "left")
+    guarded = cells.select("map_id", "tx", "tz", (F.col("export_idx").isNotNull() | (F.coalesce(F.get("det", F.lit(0)), F.lit(255)) != 255)).alias("protected"))
+    mask = water_mask(flagged.withColumn("wet", F.coalesce("wet", F.lit(False))), canvas, guarded, tile_w, tile_h, flood_tile)
+    return tint_water(lit, mask).select(columns)
+
+
 # ---- stand-in heights ------------------------------------------------------------------------
 
 

@@ -215,6 +215,17 @@ def missions_for_maps(maps: DataFrame, files: DataFrame, gram: int = 4) -> DataF
     return ground.select(*wanted).unionByName(air.select(*wanted))
 
 
+def map_missions(maps: DataFrame, files: DataFrame, documents: DataFrame) -> DataFrame:
+    """Missions of every map from its files: those that belong to it are found, parsed and counted (``mission_summary`` by map, label and file).
+
+    ``files`` as for ``missions_for_maps``, ``documents`` holds ``file, text``. A file may serve several maps; its text is joined to each.
+    """
+    from ..sources.readers import parse_missions
+
+    found = missions_for_maps(maps, files).join(documents.select("file", "text"), "file")
+    return mission_summary(parse_missions(found.withColumn("suffix", map_suffix("map_id"))))
+
+
 def spawn_semijoin(areas: DataFrame, squads: DataFrame) -> DataFrame:
     """Mark areas (``file, name``) that an accepted squad of the same file lists in ``squad_members``."""
     members = squads.select("file", F.explode("squad_members").alias("name")).distinct().withColumn("member", F.lit(True))

@@ -445,3 +445,44 @@ def rank_layers(spark, sf):
     source = F.when((F.col("c_custkey") % 5 == 0) & (F.col("c_nationkey") % 4 < 2), "mesh").when(
         (F.col("c_custkey") % 5 == 1) & (F.col("c_nationkey") % 2 == 0), "detail").otherwise("pseudo")
     return rank(c.select(F.col("c_nationkey").alias("map_id"), source.alias("source")))
+
+
+# ---- materials -------------------------------------------------------------------------------
+
+
+@query("landclass_materials", f"""
+WITH {CANDIDATES_SQL}, h AS (SELECT r.map_id, lc_idx, arg_min(candidate, rank) AS resolved FROM first_rank r JOIN fx_store s ON s.map_id = r.map_id AND s.name = r.candidate GROUP BY ALL),
+dk AS (SELECT map_id, lc_idx, unnest([0, 1, 2]) AS slot, unnest([trim(d_r), trim(d_g), trim(d_b)]) AS raw FROM fx_lcs),
+dl AS (SELECT map_id, lc_idx, slot, list_filter([raw, CASE WHEN starts_with(raw, 'detail_') THEN substr(raw, 8) END,
+  CASE WHEN starts_with(raw, 'detail_') THEN substr(raw, 8) || '_tex_d' END, CASE WHEN NOT suffix(raw, '_tex_d') THEN raw || '_tex_d' END], lambda s: s IS NOT NULL AND s <> '') AS c FROM dk WHERE raw IS NOT NULL),
+du AS (SELECT map_id, lc_idx, slot, unnest(c) AS candidate, generate_subscripts(c, 1) AS rank FROM dl),
+dd AS (SELECT u.map_id, lc_idx, slot, arg_min(candidate, rank) AS name FROM du u JOIN fx_store s ON s.map_id = u.map_id AND s.name = u.candidate GROUP BY ALL),
+sc AS (SELECT *, 2.0::DOUBLE + map_id % 3 AS mx, greatest(greatest(coalesce(size_m, 256), 8) / (2.0::DOUBLE + map_id % 3), 8) AS sx, greatest(greatest(coalesce(size_m * 2, 256), 8) / 4.0::DOUBLE, 8) AS sy FROM fx_lcs)
+SELECT l.map_id, l.lc_idx, h.resolved AS texture, round(sx, 9) AS scale_x, round(sy, 9) AS scale_y, concat_ws('|', coalesce(d0.name, '-'), coalesce(d1.name, '-'), coalesce(d2.name, '-'), '-') AS details,
+  round(CASE WHEN l.lc_idx % 4 = 1 THEN greatest(greatest(l.lc_idx % 7 + 0.5::DOUBLE, 1) / mx, 1) ELSE sx END, 9) AS s0, round(sx, 9) AS s1, round(CASE WHEN l.lc_idx % 4 = 1 THEN greatest(40 / mx, 1) ELSE sx END, 9) AS s2,
+  starts_with(lower(l.name), 'ocean') OR contains(lower(l.name), '_ocean') AS ocean
+FROM sc l LEFT JOIN h USING (map_id, lc_idx) LEFT JOIN dd d0 ON d0.map_id = l.map_id AND d0.lc_idx = l.lc_idx AND d0.slot = 0
+LEFT JOIN dd d1 ON d1.map_id = l.map_id AND d1.lc_idx = l.lc_idx AND d1.slot = 1 LEFT JOIN dd d2 ON d2.map_id = l.map_id AND d2.lc_idx = l.lc_idx AND d2.slot = 2""")
+def landclass_materials(spark, sf):
+    lcs = details(view(spark, sf, "fx_lcs")).withColumns({
+        "size": F.when(F.col("size_m").isNotNull(), F.array(F.col("size_m"), F.col("size_m") * 2)),
+        "detail_sizes": F.when(F.col("lc_idx") % 4 == 1, F.array(F.col("lc_idx") % 7 + F.lit(0.5), F.lit(None).cast("double"), F.lit(40.0))),
+    })
+    canvas = lcs.select("map_id").distinct().select("map_id", (F.lit(2.0) + F.col("map_id") % 3).alias("mpp_x"), F.lit(4.0).alias("mpp_z"))
+    m = catalog.landclass_materials(lcs, view(spark, sf, "fx_store"), canvas)
+    shown = F.array_join(F.transform("detail_textures", lambda d: F.coalesce(d, F.lit("-"))), "|")
+    return m.select("map_id", "lc_idx", "texture", F.round("scale_x", 9).alias("scale_x"), F.round("scale_y", 9).alias("scale_y"), shown.alias("details"),
+                    *[F.round(F.col("detail_scales")[i], 9).alias(f"s{i}") for i in range(3)], "ocean")
+
+
+_STORED = """
+SELECT map_id, CASE CAST(length(name) % 5 AS INT) WHEN 0 THEN CONCAT(CAST(map_id AS STRING), '_', name, '_', CAST(length(name) AS STRING)) WHEN 1 THEN CONCAT('tile_', name)
+  WHEN 2 THEN CONCAT(name, '_NA16') WHEN 3 THEN CONCAT(CAST(map_id AS STRING), '_', name) ELSE name END AS name FROM {store}"""
+_STORED_SQL = _STORED.format(store="fx_store")
+
+
+@query("select_materials", f"""
+WITH s AS ({_STORED_SQL}) SELECT map_id, name FROM s
+WHERE NOT (starts_with(name, CAST(map_id AS VARCHAR) || '_') AND regexp_matches(regexp_extract(name, '[^_]*$'), '^[+]?[0-9]+$')) AND NOT starts_with(name, 'tile_') AND NOT suffix(lower(name), '_na16')""")
+def select_materials(spark, sf):
+    return catalog.select_materials(spark.sql(_STORED, store=view(spark, sf, "fx_store")))

@@ -116,14 +116,6 @@ def read_instances_legacy(spark, sf):
     return out.select("file", "idx", *[F.round(F.col(c).cast("double"), 7).alias(c) for c in "xyz"])
 
 
-@query("read_raster_png16", """
-SELECT vec_id AS file, CAST(i % 8 AS INT) AS px, CAST(i // 8 AS INT) AS pz, CAST(floor((e::DOUBLE + 1) * 32767) AS INT) AS v
-FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)""")
-def read_raster_png16(spark, sf):
-    samples = F.transform("embedding", lambda e: F.floor((e.cast("double") + 1) * 32767).cast("int"))
-    return binary.parse_png16(_vectors(spark, sf).select("file", enc.png16_of(samples).alias("content")))
-
-
 # ---- block chains ----------------------------------------------------------------------------
 
 _LINES = """
@@ -187,3 +179,36 @@ FROM c QUALIFY avg(CAST(p AS INT)) OVER (PARTITION BY file) >= 0.02 AND file % 8
 def scan_tile_cells(spark, sf):
     out = binary.parse_tile_cells(containers(spark, sf, enc.cells_of))
     return out.select("file", "cell", F.col("det")[0].alias("d0"), F.col("det")[6].alias("d6"), "populated", "has_tex2", "cols", "cell_size")
+
+
+# ---- files on disk ---------------------------------------------------------------------------
+
+_LISTING = """
+SELECT DISTINCT p_size % 3 = 0 AS air, LOWER(REPLACE(p_brand, '#', '_')) AS folder, CONCAT(LOWER(REPLACE(p_brand, '#', '_')), '_', CAST(p_size AS STRING)) AS stem,
+  CASE WHEN p_size % 7 = 0 THEN '.txt' ELSE '.blkx' END AS ending FROM {part}"""
+
+
+@query("mission_files", f"WITH f AS ({_LISTING.format(part='part')}) SELECT air, folder, stem FROM f WHERE ending = '.blkx'")
+def mission_files(spark, sf):
+    """Mission files written below a ground and an air folder, then listed."""
+    from ..session import scratch_path
+
+    root = scratch_path(spark, "missions")
+    found = spark.sql(_LISTING, part=table(spark, sf, "part"))
+    path = F.concat(F.lit(root + "/"), F.when(F.col("air"), "air").otherwise("ground"), F.lit("/"), "folder", F.lit("/"), "stem", "ending")
+    enc.write_files(found.select(path.alias("path"), F.lit("{}").cast("binary").alias("content")))
+    listed = readers.mission_files(spark, f"{root}/ground", [f"{root}/air"])
+    return listed.select("air", "folder", "stem")
+
+
+@query("scan_block_files", f"""
+WITH {_CHAIN} SELECT file, CAST(i AS INT) AS idx, pos, CAST(len AS BIGINT) AS len, flags, tag FROM po WHERE file % 5 = 0""")
+def scan_block_files(spark, sf):
+    """Every fifth container as a file, read back by the byte-range reader."""
+    from ..session import scratch_path
+
+    root = scratch_path(spark, "containers")
+    files = containers(spark, sf, enc.chain_of).filter("file % 5 = 0")
+    enc.write_files(files.select(F.concat(F.lit(root + "/"), F.col("file").cast("string"), F.lit(".bin")).alias("path"), "content"))
+    found = binary.scan_blocks(spark, root)
+    return found.select(F.regexp_extract("file", "([0-9]+)[.]bin$", 1).cast("long").alias("file"), "idx", "pos", "len", "flags", F.decode("tag", "utf-8").alias("tag"))

@@ -247,18 +247,21 @@ def synth_tile(spark, sf):
     return terrain.synth_tile(cells_with_det(spark, sf), materials(spark, sf), *textures(spark, sf), 6, 4)
 
 
-@query("splat_blend", f"""
-WITH {_SINGLE_CELLS}, t AS ({_TEXTURES_SQL}), m AS (SELECT * REPLACE (CASE WHEN t_r IN (SELECT texture FROM t) THEN t_r END AS t_r, CASE WHEN t_k IN (SELECT texture FROM t) THEN t_k END AS t_k) FROM ({_MATERIALS_SQL})), oc AS (SELECT map_id, lc_idx FROM fx_lcs WHERE starts_with(lower(name), 'ocean') OR contains(lower(name), '_ocean')),
+def _splat_sql(tw: int, th: int, cells: str = "TRUE") -> str:
+    """Splat blending with tiles of tw x th pixels, of some terrain cells."""
+    single = _SINGLE_CELLS[:-1] + f" WHERE {cells})"
+    return f"""
+WITH {single}, t AS ({_TEXTURES_SQL}), m AS (SELECT * REPLACE (CASE WHEN t_r IN (SELECT texture FROM t) THEN t_r END AS t_r, CASE WHEN t_k IN (SELECT texture FROM t) THEN t_k END AS t_k) FROM ({_MATERIALS_SQL})), oc AS (SELECT map_id, lc_idx FROM fx_lcs WHERE starts_with(lower(name), 'ocean') OR contains(lower(name), '_ocean')),
 si AS (SELECT c.map_id, cell, list_distinct(list_filter([det0, CASE WHEN o1.lc_idx IS NOT NULL AND bo.lc_idx IS NULL THEN 255 ELSE det1 END, CASE WHEN o2.lc_idx IS NOT NULL AND bo.lc_idx IS NULL THEN 255 ELSE det2 END, det3], lambda v: v < 200)) AS ids
   FROM fx_single c LEFT JOIN oc bo ON bo.map_id = c.map_id AND bo.lc_idx = det0 LEFT JOIN oc o1 ON o1.map_id = c.map_id AND o1.lc_idx = det1 LEFT JOIN oc o2 ON o2.map_id = c.map_id AND o2.lc_idx = det2),
 single AS (SELECT si.map_id, cell, CASE WHEN len(ids) = 1 AND (m.t_r IS NOT NULL OR m.t_k IS NOT NULL) THEN ids[1] END AS single_lc FROM si LEFT JOIN m ON m.map_id = si.map_id AND m.lc_idx = ids[1]),
 sp AS ({_TILE_PX_SQL}), al AS (SELECT map_id, tile, min(a) < 255 AS alpha FROM sp GROUP BY ALL),
 cx AS (SELECT c.*, s.single_lc, CASE WHEN populated THEN cell + 1 END AS idx, bo.lc_idx IS NOT NULL AS base_ocean FROM fx_single c LEFT JOIN single s USING (map_id, cell) LEFT JOIN oc bo ON bo.map_id = c.map_id AND bo.lc_idx = c.det0),
-xx AS (SELECT *, unnest(generate_series(0, 5)) AS x FROM cx), px AS (SELECT *, unnest(generate_series(0, 3)) AS y FROM xx),
-w AS (SELECT p.*, CAST(tx * 6 + p.x AS INT) AS px, CAST(tz * 4 + p.y AS INT) AS pz, s1.r AS r1, s1.g AS g1, CASE WHEN a1.alpha THEN s1.a ELSE 0 * s1.a END AS al1, s2.r AS r2, s2.g AS g2, CASE WHEN a2.alpha THEN s2.a ELSE 0 * s2.a END AS al2
-  FROM px p LEFT JOIN sp s1 ON s1.map_id = p.map_id AND s1.tile = idx AND s1.x = least(CAST(trunc((p.x + 0.5) * 5 / 6) AS INT), 4) AND s1.y = least(CAST(trunc((p.y + 0.5) * 2 / 4) AS INT), 1)
+xx AS (SELECT *, unnest(generate_series(0, {tw} - 1)) AS x FROM cx), px AS (SELECT *, unnest(generate_series(0, {th} - 1)) AS y FROM xx),
+w AS (SELECT p.*, CAST(tx * {tw} + p.x AS INT) AS px, CAST(tz * {th} + p.y AS INT) AS pz, s1.r AS r1, s1.g AS g1, CASE WHEN a1.alpha THEN s1.a ELSE 0 * s1.a END AS al1, s2.r AS r2, s2.g AS g2, CASE WHEN a2.alpha THEN s2.a ELSE 0 * s2.a END AS al2
+  FROM px p LEFT JOIN sp s1 ON s1.map_id = p.map_id AND s1.tile = idx AND s1.x = least(CAST(trunc((p.x + 0.5) * 5 / {tw}) AS INT), 4) AND s1.y = least(CAST(trunc((p.y + 0.5) * 2 / {th}) AS INT), 1)
   LEFT JOIN al a1 ON a1.map_id = p.map_id AND a1.tile = idx
-  LEFT JOIN sp s2 ON has_tex2 AND s2.map_id = p.map_id AND s2.tile = idx + 1 AND s2.x = least(CAST(trunc((p.x + 0.5) * 5 / 6) AS INT), 4) AND s2.y = least(CAST(trunc((p.y + 0.5) * 2 / 4) AS INT), 1)
+  LEFT JOIN sp s2 ON has_tex2 AND s2.map_id = p.map_id AND s2.tile = idx + 1 AND s2.x = least(CAST(trunc((p.x + 0.5) * 5 / {tw}) AS INT), 4) AND s2.y = least(CAST(trunc((p.y + 0.5) * 2 / {th}) AS INT), 1)
   LEFT JOIN al a2 ON has_tex2 AND a2.map_id = p.map_id AND a2.tile = idx + 1),
 parts AS (SELECT map_id, px, pz, det0, single_lc, base_ocean, r1 IS NOT NULL AS tiled, unnest([0, 1, 2, 3, 4, 5, 6]) AS slot, unnest([det0, det1, det2, det3, det4, det5, det6]) AS lc,
   unnest([least(greatest(255 - r1 - g1 - al1, 0), 255), g1, r1, al1, g2, r2, al2]) AS weight FROM w),
@@ -273,8 +276,56 @@ nn AS (SELECT *, lc_idx IS NOT NULL AND tr IS NULL AS noisy FROM co)
 SELECT map_id, px, pz, CAST(coalesce(sum(CASE WHEN noisy THEN {_noise_sql(0)} ELSE tr END * weight) FILTER (lc_idx IS NOT NULL) // sum(weight) FILTER (lc_idx IS NOT NULL), 20) AS INT) AS r,
   CAST(coalesce(sum(CASE WHEN noisy THEN {_noise_sql(1)} ELSE tg END * weight) FILTER (lc_idx IS NOT NULL) // sum(weight) FILTER (lc_idx IS NOT NULL), 60) AS INT) AS g,
   CAST(coalesce(sum(CASE WHEN noisy THEN {_noise_sql(2)} ELSE tb END * weight) FILTER (lc_idx IS NOT NULL) // sum(weight) FILTER (lc_idx IS NOT NULL), 120) AS INT) AS b
-FROM nn GROUP BY map_id, px, pz""")
+FROM nn GROUP BY map_id, px, pz"""
+
+
+@query("splat_blend", _splat_sql(6, 4))
 def splat_blend(spark, sf):
     cells = single_cells(spark, sf).withColumn("export_idx", F.when(F.col("populated"), F.col("cell") + 1))
     splats = tile_pixels(spark, sf).select("map_id", "tile", F.col("x").alias("sx"), F.col("y").alias("sz"), "r", "g", "b", "a")
     return terrain.splat_blend(cells, splats, materials(spark, sf), *textures(spark, sf), 6, 4)
+
+
+# a level of 5 x 5 terrain cells of 10 x 6 pixels: its canvas is as large as the height raster
+_PAINTED = f"""
+paint AS ({_splat_sql(10, 6, "tx < 5 AND tz < 5").strip()}),
+band AS (SELECT *, (px >= 10 AND px % 10 <= 1) OR ((px // 10 + 1) * 10 < 50 AND 10 - px % 10 <= 1) OR (pz >= 6 AND pz % 6 <= 1) OR ((pz // 6 + 1) * 6 < 30 AND 6 - pz % 6 <= 1) AS band,
+  least(px % 10, 10 - px % 10, pz % 6, 6 - pz % 6) AS d FROM paint),
+mean AS (SELECT a.map_id, a.px, a.pz, sum(b.r) // count(*) AS mr, sum(b.g) // count(*) AS mg, sum(b.b) // count(*) AS mb
+  FROM band a JOIN paint b ON a.map_id = b.map_id AND abs(a.px - b.px) <= 2 AND abs(a.pz - b.pz) <= 2 WHERE a.band AND a.d < 2 GROUP BY ALL),
+soft AS (SELECT s.map_id, s.px, s.pz, CASE WHEN mr IS NULL THEN r ELSE CAST(round(r + (mr - r) * sqrt(1 - d / 2.0::DOUBLE)) AS INT) END AS r,
+  CASE WHEN mr IS NULL THEN g ELSE CAST(round(g + (mg - g) * sqrt(1 - d / 2.0::DOUBLE)) AS INT) END AS g, CASE WHEN mr IS NULL THEN b ELSE CAST(round(b + (mb - b) * sqrt(1 - d / 2.0::DOUBLE)) AS INT) END AS b
+  FROM band s LEFT JOIN mean m USING (map_id, px, pz)),
+gr AS (SELECT map_id, px, pz, -(lead(h) OVER x - lag(h) OVER x) / 2.0 AS gx, -(lead(h) OVER z - lag(h) OVER z) / 2.0 AS gz FROM fx_raster
+  WINDOW x AS (PARTITION BY map_id, pz ORDER BY px), z AS (PARTITION BY map_id, px ORDER BY pz)),
+gm AS (SELECT *, sqrt(gx * gx + gz * gz + 1) AS m, px BETWEEN 1 AND 48 AND pz BETWEEN 1 AND 28 AS inner_cell FROM gr),
+nm AS (SELECT map_id, px, pz, CASE WHEN inner_cell THEN CAST(trunc((gx / m * 0.5 + 0.5) * 255.0) AS INT) ELSE 0 END AS nr,
+  CASE WHEN inner_cell THEN CAST(trunc((gz / m * 0.5 + 0.5) * 255.0) AS INT) ELSE 0 END AS ng, CASE WHEN inner_cell THEN CAST(trunc((1 / m * 0.5 + 0.5) * 255.0) AS INT) ELSE 0 END AS nb FROM gm),
+fa AS (SELECT c.*, nr IS NULL AS dark, -(nr / 255.0::DOUBLE * 2 - 1) AS x, -(ng / 255.0::DOUBLE * 2 - 1) AS y, nb / 255.0::DOUBLE * 2 - 1 AS z FROM soft c LEFT JOIN nm USING (map_id, px, pz)),
+sh AS (SELECT *, CASE WHEN dark THEN 1 ELSE 0.5::DOUBLE + 0.5::DOUBLE * least(greatest((x * cos(radians(50)) * sin(radians(30)) + y * cos(radians(50)) * cos(radians(30)) + z * sin(radians(50))) / greatest(sqrt(x * x + y * y + z * z), 1e-6), 0), 1) END AS s FROM fa),
+lit AS (SELECT map_id, px, pz, CAST(trunc(least(r * s, 255)) AS INT) AS r, CAST(trunc(least(g * s, 255)) AS INT) AS g, CAST(trunc(least(b * s, 255)) AS INT) AS b FROM sh),
+lo AS (SELECT l.map_id, l.px, l.pz, coalesce(v_max > v_min AND v_min <= 150 AND h <= 150 - (v_max - v_min) / 255, FALSE) AS wet
+  FROM lit l LEFT JOIN fx_raster r ON r.map_id = l.map_id AND r.px = l.px AND r.pz = l.pz LEFT JOIN fx_layers y ON y.map_id = l.map_id),
+fl(map_id, px, pz) AS (SELECT map_id, px, pz FROM lo WHERE wet AND (px IN (0, 49) OR pz IN (0, 29))
+  UNION SELECT r.map_id, r.px, r.pz FROM fl f JOIN lo r ON r.map_id = f.map_id AND r.wet AND abs(r.px - f.px) + abs(r.pz - f.pz) = 1),
+ra AS (SELECT map_id, CAST(px // 10 AS INT) AS tx, CAST(pz // 6 AS INT) AS tz, avg(CAST(wet AS INT)) AS ratio FROM lo GROUP BY ALL),
+wm AS (SELECT map_id, px, pz FROM fl UNION SELECT r.map_id, px, pz FROM lo r JOIN ra q ON q.map_id = r.map_id AND q.tx = px // 10 AND q.tz = pz // 6 WHERE wet AND ratio >= 0.08),
+dry AS (SELECT map_id, tx, tz FROM fx_cells WHERE tx < 5 AND tz < 5 AND (populated OR coalesce(det0, 255) <> 255)),
+mk AS (SELECT m.map_id, m.px, m.pz FROM wm m LEFT JOIN dry p ON p.map_id = m.map_id AND p.tx = m.px // 10 AND p.tz = m.pz // 6
+  LEFT JOIN ra q ON q.map_id = m.map_id AND q.tx = m.px // 10 AND q.tz = m.pz // 6 WHERE p.map_id IS NULL OR q.ratio >= 0.08)
+"""
+
+
+@query("painted_level", f"""
+WITH RECURSIVE {_PAINTED.strip()}
+SELECT l.map_id, l.px, l.pz, CASE WHEN k.map_id IS NOT NULL THEN CAST((r * 30 + 13 * 70) // 100 AS INT) ELSE r END AS r, CASE WHEN k.map_id IS NOT NULL THEN CAST((g * 30 + 79 * 70) // 100 AS INT) ELSE g END AS g,
+  CASE WHEN k.map_id IS NOT NULL THEN CAST((b * 30 + 139 * 70) // 100 AS INT) ELSE b END AS b FROM lit l LEFT JOIN mk k USING (map_id, px, pz)""")
+def painted_level(spark, sf):
+    """Splats, seams, light and water of whole levels, one after the other."""
+    cells = single_cells(spark, sf).filter("tx < 5 AND tz < 5").withColumn("export_idx", F.when(F.col("populated"), F.col("cell") + 1))
+    splats = tile_pixels(spark, sf).select("map_id", "tile", F.col("x").alias("sx"), F.col("y").alias("sz"), "r", "g", "b", "a")
+    heights = view(spark, sf, "fx_raster").select("map_id", "px", "pz", F.col("h").alias("v"))
+    layers = view(spark, sf, "fx_layers")
+    wet = flood.water_candidates(heights, layers, layers.select("map_id", F.lit(150.0).alias("water_level")))
+    normals = raster.gradient_normals(heights, layers, 1.0, side=16)
+    return terrain.painted_level(cells, splats, materials(spark, sf), *textures(spark, sf), normals, wet, 10, 6, border=2, flood_tile=8)

@@ -118,6 +118,25 @@ def missions_for_maps(spark, sf):
     return zones.missions_for_maps(maps, files)
 
 
+_DOCS = """
+SELECT file, CASE CAST(LENGTH(stem) % 9 AS INT) WHEN 8 THEN '{{"units": ' WHEN 7 THEN '{{}}' ELSE
+  '{{"units":{{"area_squad":[{{"name":"t1_spawn","tm":[[1,0,0],[0,1,0],[0,0,1],[5,0,6]]}}]}},"areas":{{"t1_capture_area_1":{{"tm":[[3,0,4],[0,1,0],[0,0,1],[5,0,6]]}},"hardcore_battle_area":{{"tm":[[3,0,4],[0,1,0],[6,0,8],[9,0,9]]}}}}}}' END AS text
+FROM {files}"""
+
+
+@query("map_missions", f"""
+WITH f AS ({_FILES_SQL}), m AS (SELECT DISTINCT map_id, substr(map_id, 5) AS suffix, starts_with(map_id, 'air_') AS air FROM ({_MAPS_SQL})),
+x AS (SELECT m.map_id, f.file, length(f.stem) % 9 AS kind FROM m JOIN f ON m.air = f.air AND NOT starts_with(f.stem, 'template_')
+  WHERE CASE WHEN m.air THEN contains(f.stem, m.suffix) ELSE f.folder = m.suffix AND starts_with(f.stem, m.suffix || '_') END)
+SELECT map_id, file, CASE WHEN kind < 7 THEN 1 ELSE 0 END::BIGINT AS battles, CASE WHEN kind < 7 THEN 1 ELSE 0 END::BIGINT AS captures, CASE WHEN kind < 7 THEN 1 ELSE 0 END::BIGINT AS spawns
+FROM x""")
+def map_missions(spark, sf):
+    """Files found for every map, their documents parsed and their zones counted; broken documents have none."""
+    files = spark.sql(_FILES, part=table(spark, sf, "part"))
+    maps = spark.sql(_MAPS, customer=table(spark, sf, "customer")).select("map_id").distinct()
+    return zones.map_missions(maps, files, spark.sql(_DOCS, files=files)).select("map_id", "file", "battles", "captures", "spawns")
+
+
 @query("order_missions", f"""
 WITH f AS ({_FILES_SQL}) SELECT folder AS map_id, stem AS label, file, row_number() OVER (PARTITION BY folder ORDER BY stem, file) AS ordinal FROM f""")
 def order_missions(spark, sf):
