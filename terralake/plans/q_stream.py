@@ -28,6 +28,24 @@ def stream_index(spark, sf):
     return jobs.read_index(spark, path).select("name", "pos", "value")
 
 
+@query("stream_keyed_index", """
+WITH e AS (SELECT *, event_type || '_' || user_id AS name, event_id % 3 AS part FROM events)
+SELECT name, CAST(row_number() OVER (ORDER BY min(part), name) AS BIGINT) AS pos, arg_max(value, event_id) AS value FROM e GROUP BY name""")
+def stream_keyed_index(spark, sf):
+    """Three batches out of order, the last of them with all entries of the first once more."""
+    source, path = scratch_path(spark, "arriving"), scratch_path(spark, "index")
+    events = table(spark, sf, "events").withColumn("name", F.concat_ws("_", "event_type", F.col("user_id").cast("string")))
+    for parts in ([0], [1], [2, 0]):
+        rows = events.filter((F.col("event_id") % 3).isin(parts)).select("name", F.col("event_id").alias("seq"), "value")
+        rows.coalesce(1).write.mode("append").parquet(source)
+    before = spark.conf.get(jobs.STATE_STORE[0])
+    spark.conf.set(*jobs.STATE_STORE)
+    entries = spark.readStream.schema("name string, seq long, value double").option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.stream_keyed_index(entries, path, scratch_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    spark.conf.set(jobs.STATE_STORE[0], before)
+    return jobs.read_keyed_index(spark, path).select("name", "pos", "value")
+
+
 @query("stream_progress", """
 SELECT event_id % 20 AS run, date_trunc('hour', ts) AS started, count(*) AS completed, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed
 FROM events GROUP BY ALL""")

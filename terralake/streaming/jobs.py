@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.catalog import upsert_index
 
 VERSION, WHOLE = "v", "whole"
 COMPACT_EVERY = 16
+#: Setting and class of the state store that keyed state needs.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def read_index(spark: SparkSession, path: str, before: int | None = None, key: str = "name") -> DataFrame | None:
@@ -61,6 +64,57 @@ def stream_index(stream: DataFrame, index_path: str, checkpoint: str, key: str =
     )
 
 
+class LatestEntry(StatefulProcessor):
+    """Keeps the highest sequence number of a key and passes on the entries that raise it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "seq long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        best = None
+        for pdf in rows:
+            top = pdf.loc[[pdf["seq"].idxmax()]]
+            if best is None or top["seq"].iloc[0] > best["seq"].iloc[0]:
+                best = top
+        old = self.latest.get() if self.latest.exists() else None
+        if best is not None and (old is None or int(best["seq"].iloc[0]) > old[0]):
+            self.latest.update((int(best["seq"].iloc[0]),))
+            yield best.assign(fresh=old is None)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_keyed_index(stream: DataFrame, index_path: str, checkpoint: str, key: str = "name"):
+    """Keep an index up to date with entries that may come late, twice or out of order; returns the writer, ready to start.
+
+    State by key holds the latest ``seq``: an entry with a lower one, or one seen before, changes nothing, in whichever batch it comes. A batch writes
+    what it changes as a version of its own and reads nothing back, so its cost doesn't follow the size of the index. ``read_keyed_index`` puts
+    versions together. Entries without ``seq`` are left out: they have no place in the order. The session needs the RocksDB state store (``STATE_STORE``).
+    """
+    kinds = dict(stream.dtypes)
+    changed = (
+        stream.filter(F.col("seq").isNotNull()).groupBy(key).transformWithStateInPandas(
+            statefulProcessor=LatestEntry(), outputStructType=", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", fresh boolean",
+            outputMode="Update", timeMode="None")
+    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{index_path}/{VERSION}={batch_id}")
+
+    return changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def read_keyed_index(spark: SparkSession, path: str, key: str = "name") -> DataFrame:
+    """Latest entry of every key of a keyed index, with ``pos``: keys count in the order of the batch that brought them, then by name."""
+    from ..operators.scans import ordinal
+
+    table = spark.read.parquet(path)
+    values = [c for c in table.columns if c not in (key, VERSION, "fresh")]
+    entries = table.groupBy(key).agg(F.max_by(F.struct(*values), "seq").alias("_e"), F.min(VERSION).alias("_first")).select(key, "_e.*", "_first")
+    return ordinal(entries.withColumn("_all", F.lit(0)), ["_all"], ["_first", key], "pos").drop("_all", "_first")
+
+
 def stream_progress(stream: DataFrame, window: str | None = None, watermark: str | None = None,
                     by: tuple[str, ...] = ("run",)) -> DataFrame:
     """Running completed, succeeded and failed counts per run, optionally per time window.
