@@ -102,7 +102,7 @@ def highest_products(textures: DataFrame, queries: Column, key: str = "entry_idx
 
     ``queries`` is a condition on the rows of ``textures``. Components become ``floor(scale * x)``, so scores are exact integers, which
     must fit 64 bits. Candidates of a query are all records but those with its own key; ranks count from 1, ties go to the smaller key.
-    Records without a key or a finite vector take no part, and exact repeats of a record count once. Vectors are compared with
+    Records without a key or a finite vector take no part. A record given twice is two candidates, a query given twice one query. Vectors are compared with
     vectors of their own length only. An empty table, or one without queries, gives an empty result.
 
     Records are spread over shards of about ``shard_rows`` rows and queries over blocks of ``block_rows``; a task searches one shard for one
@@ -112,7 +112,7 @@ def highest_products(textures: DataFrame, queries: Column, key: str = "entry_idx
     steps = whole_steps(F.col(vector), scale)
     records = cut(
         textures.select(F.col(key).cast("long").alias("id"), steps.alias("v"), queries.alias("asked"))
-        .filter("id IS NOT NULL AND v IS NOT NULL").dropDuplicates(["id", "v"]).withColumn("dims", F.size("v")), "vectors",
+        .filter("id IS NOT NULL AND v IS NOT NULL").withColumn("dims", F.size("v")), "vectors",
     )
     counts = records.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("asked").cast("long")), F.lit(0)).alias("q")).first()
     shards, blocks = max(1, -(-counts["n"] // shard_rows)), max(1, -(-counts["q"] // block_rows))
@@ -120,7 +120,7 @@ def highest_products(textures: DataFrame, queries: Column, key: str = "entry_idx
     rows = records.withColumn("shard", spread(shards, 1)).select("dims", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
     asked = records.filter("asked").select(
         F.col("dims").alias("q_dims"), spread(shards, 1).alias("home"), spread(blocks, 2).alias("q_block"), F.col("id").alias("q_id"), F.col("v").alias("q_v")
-    )
+    ).dropDuplicates(["q_id", "q_v"])
     none = {"bound": F.lit(None).cast("long"), "bound_id": F.lit(None).cast("long")}
 
     def search(some: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import fresh
 from .words import INK, row_groups, text_bytes, word_bounds, word_hashes
 
 #: Classes of bytes whose shares of a text are features.
@@ -99,11 +100,11 @@ class Evidence:
         return evidence(F.col(bins or text))
 
 
-def fit_evidence(labelled: DataFrame, rounds: int = 300, rate: float = 0.5, ridge: float = 2e-3) -> Evidence:
+def fit_evidence(labelled: DataFrame, rounds: int = 300, rate: float = 0.5, ridge: float = 2e-3, most: int = 20_000) -> Evidence:
     """Weights of feature bins from all rows ``bins, label`` (label 0 or 1): a logistic fit whose input is grouped.
 
-    Equal rows are counted first; a distributed pass per feature gives the bins' counts, from which a naive Bayes start is made. The
-    logistic refinement runs on at most 20,000 labelled rows, the ones with the smallest hash of their bins.
+    A distributed pass per feature gives the bins' counts, from which a naive Bayes start is made. For the logistic refinement equal rows are
+    counted first; it runs on at most ``most`` distinct rows, the ones with the smallest hash of their bins, each weighted by its count.
     """
     each = labelled.select("label", F.posexplode("bins").alias("feature", "bin"))
     counts = each.groupBy("label", "feature", "bin").count().toPandas()  # at most 2 x N_FEATURES x BINS rows
@@ -116,19 +117,20 @@ def fit_evidence(labelled: DataFrame, rounds: int = 300, rate: float = 0.5, ridg
     prior = float(totals[1, 0, 0] / totals[:, 0, 0].sum())
     log = np.log((table + 0.5) / (totals + 0.5 * BINS))
     weights, bias = (log[1] - log[0]) / N_FEATURES, 0.0
-    rows = labelled.select("label", "bins").orderBy(F.xxhash64("bins"), "label").limit(20_000).toPandas()
+    rows = labelled.groupBy("label", "bins").count().orderBy(F.xxhash64("bins"), "label").limit(most).toPandas()
     x, y = np.stack(rows["bins"].to_list()).astype(int), rows["label"].to_numpy(float)
+    share = rows["count"].to_numpy(float) / rows["count"].sum()
     columns, squares = np.arange(N_FEATURES), np.full((N_FEATURES, BINS), 1e-6)
     base, bias_square = np.log(prior / (1 - prior)), 1e-6
     for _ in range(rounds):
-        wrong = 1 / (1 + np.exp(-(weights[columns, x].sum(axis=1) + bias + base))) - y
+        wrong = (1 / (1 + np.exp(-(weights[columns, x].sum(axis=1) + bias + base))) - y) * share
         grad = np.zeros_like(weights)
-        np.add.at(grad, (np.broadcast_to(columns, x.shape), x), np.broadcast_to(wrong[:, None], x.shape) / len(y))
+        np.add.at(grad, (np.broadcast_to(columns, x.shape), x), np.broadcast_to(wrong[:, None], x.shape))
         grad += ridge * weights / N_FEATURES
         squares += grad * grad
         weights = weights - rate * grad / np.sqrt(squares)
-        bias_square += wrong.mean() ** 2
-        bias -= rate * wrong.mean() / np.sqrt(bias_square)
+        bias_square += wrong.sum() ** 2
+        bias -= rate * wrong.sum() / np.sqrt(bias_square)
     return Evidence(weights, float(bias), prior)
 
 
@@ -171,13 +173,14 @@ def judge_quality(documents: DataFrame, evidence: Evidence, priors: DataFrame, h
     """
     results = ("evidence", "host_prior", "site_prior", "quality", "keep", bins)
     kept = [c for c in documents.columns if c not in results]
-    sites = priors.select(priors[host].alias("_host"), priors[path].alias("_path"), F.col("site_prior").alias("_prior"))
-    scored = documents.withColumn("_evidence", evidence.log_odds(None if text else bins, text))
-    joined = scored.join(sites, scored[host].eqNullSafe(sites["_host"]) & scored[path].eqNullSafe(sites["_path"]), "left")
-    site = F.coalesce("_prior", F.lit(evidence.prior))
+    h, p, prior, found = (fresh(n, documents) for n in ("_host", "_path", "_prior", "_evidence"))
+    sites = priors.select(priors[host].alias(h), priors[path].alias(p), priors["site_prior"].alias(prior))
+    scored = documents.withColumn(found, evidence.log_odds(None if text else bins, text))
+    joined = scored.join(sites, F.col(host).eqNullSafe(F.col(h)) & F.col(path).eqNullSafe(F.col(p)), "left")
+    site = F.coalesce(prior, F.lit(evidence.prior))
     site = F.least(F.greatest(site, F.lit(1e-6)), F.lit(1 - 1e-6))
-    quality = 1 / (1 + F.exp(-(F.col("_evidence") + F.log(site / (1 - site)))))
-    return joined.select(*kept, F.col("_evidence").alias("evidence"), site.alias("site_prior"), quality.alias("quality")).withColumn("keep", F.col("quality") >= least)
+    quality = 1 / (1 + F.exp(-(F.col(found) + F.log(site / (1 - site)))))
+    return joined.select(*kept, F.col(found).alias("evidence"), site.alias("site_prior"), quality.alias("quality")).withColumn("keep", F.col("quality") >= least)
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", host: str = "host",

@@ -256,9 +256,9 @@ def remove_repeats(files: DataFrame, key: str = "file", content: str = "body", l
     A null content is empty. Repeated rows repeat each other; null keys are allowed, an empty table gives an empty result, and other
     columns don't matter. Anchors and pieces are told apart by 64-bit hashes of bytes. Texts with no repeated bytes aren't shuffled.
     """
-    keyed = _keyed(files.select(key, content), content)
+    keyed = _keyed(files.select(files[key].alias("key"), files[content].alias("body")), "body")
     spans = cut(repeated_spans(keyed, length, filter_bits=filter_bits), "spans")
-    named = keyed.select(F.col(key).alias("key"), "text", "k1", "k2")
+    named = keyed.select("key", "text", "k1", "k2")
     maybe = listed(spans.select(F.col("k1").alias("token")), F.col("k1"), filter_bits)
     marked = named.filter(maybe).join(spans, ["k1", "k2"], "left").select("key", "text", "spans")
     rest = named.filter(~maybe).select("key", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))

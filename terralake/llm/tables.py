@@ -15,3 +15,11 @@ def text_batches(spark: SparkSession) -> None:
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import fresh
+
 WORDS = 8  # 32-bit words of a block, one bit set in each
 
 
@@ -82,11 +84,12 @@ def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default: s
         (F.length("host") + F.length("path")).alias("n"), F.length("host").alias("h"), F.col("verdict"),
         F.concat("host", "path").alias("rule"),
     ).alias("_fit"))
+    fit = fresh("_fit", pages)
     best = (
         hits.join(fits, "_key").groupBy("host", "path")
-        .agg(F.max_by("_fit", F.struct(F.col("_fit.n"), F.col("_fit.h"), F.col("_fit.rule"))).alias("_fit"))
+        .agg(F.max_by("_fit", F.struct(F.col("_fit.n"), F.col("_fit.h"), F.col("_fit.rule"))).alias(fit))
     )
     columns = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     return split.join(best, ["host", "path"], "left").select(
-        *columns, "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce("_fit.verdict", F.lit(default)).alias("verdict"),
+        *columns, "host", "path", F.col(f"{fit}.rule").alias("rule"), F.coalesce(f"{fit}.verdict", F.lit(default)).alias("verdict"),
     )

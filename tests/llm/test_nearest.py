@@ -13,9 +13,9 @@ SCHEMA = "entry_idx long, features array<float>, score string, v int"
 
 
 def brute(rows, asked, k):
-    vectors = sorted({(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)})
+    vectors = sorted((i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v))
     out = []
-    for i, q in vectors:
+    for i, q in sorted({*vectors}):
         if asked(i):
             scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in vectors if j != i and len(v) == len(q))
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])]

@@ -51,3 +51,14 @@ def test_without_labels_and_with_nulls(spark):
         assert len(judged) == 4 and all(0 < r["quality"] < 1 and r["keep"] is not None for r in judged)
     evidence, priors = fit_quality(bins.limit(0), labels)
     assert judge_quality(bins.limit(0), evidence, priors).collect() == []
+
+
+def test_columns_with_inner_names_and_counted_rows(spark):
+    """A text copied many times weighs as much as its rows, whatever the bound on distinct rows; inner names of columns are free."""
+    texts = [("good words of a calm text here", 1)] * 60 + [("good words of a calm text here", 0)] * 20 + [("!!! $$$ 1", 0)] * 40 + [("another fine text of words", 1)] * 40
+    docs = spark.createDataFrame([(i, t, "h", "p", 1, 2, 3) for i, (t, _) in enumerate(texts)], "doc_id long, text string, host string, path string, _host int, _prior int, _evidence int")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, quality int")
+    bins = docs.withColumn("bins", feature_bins("text"))
+    evidence, priors = fit_quality(bins, labels)
+    judged = {r["doc_id"]: r for r in judge_quality(bins, evidence, priors).collect()}
+    assert judged[0]["quality"] > 0.5 > judged[90]["quality"] and (judged[0]["_host"], judged[0]["_prior"], judged[0]["_evidence"]) == (1, 2, 3)

@@ -77,3 +77,9 @@ def test_texts_and_empty_table(spark):
     files = spark.createDataFrame([(1, "q" * 250), (2, "ok")], "file long, body string")
     assert {r["file"]: r["kept"] for r in remove_repeats(files, texts=True).collect()} == {1: "", 2: "ok"}
     assert remove_repeats(files.limit(0)).collect() == []
+
+
+def test_keys_with_inner_names(spark):
+    for name in ("text", "k1", "key", "body"):
+        got = remove_repeats(spark.createDataFrame([(5, "short"), (6, None)], f"{name} long, value string"), key=name, content="value").collect()
+        assert sorted((r[name], r["n_bytes"]) for r in got) == [(5, 5), (6, 0)]

@@ -56,3 +56,10 @@ def test_empty_tables(spark):
     assert judge_urls(pages, rules, default="block").collect()[0]["verdict"] == "block"
     listed = spark.createDataFrame(RULES[:2], "host string, path string, verdict string")
     assert judge_urls(pages.limit(0), listed).collect() == []
+
+
+def test_columns_with_inner_names(spark):
+    listed = spark.createDataFrame(RULES[:2], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.com/x", 7, 8, 9)], "page_id long, url string, _fit int, _FIT_ int, _key int")
+    r = judge_urls(pages, listed).collect()[0]
+    assert (r["page_id"], r["_fit"], r["_key"]) == (1, 7, 9) and r["verdict"] in ("allow", "block")
