@@ -12,7 +12,7 @@ from terralake.llm.packing import pack_texts
 from terralake.llm.personal import label_runs, redact_personal, train_crf
 from terralake.llm.quality import feature_bins, fit_quality, judge_quality
 from terralake.llm.queries import tokenizer_path
-from terralake.llm.tables import read, text_batches
+from terralake.llm.tables import fresh, read, text_batches
 from terralake.session import cut
 
 
@@ -41,9 +41,10 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item. Texts decide, so documents are compared by a digest of their text."""
     text_batches(spark)
-    keyed = docs.withColumn("_text", F.md5(F.coalesce("text", F.lit(""))))
-    found = contaminated(keyed.select("_text", "text"), read(spark, sf_dir, "benchmark"), key="_text")
-    return without(keyed, cut(found.filter("contaminated").select("_text").distinct(), "contaminated"), "_text").drop("_text")
+    digest = fresh("_text", docs)
+    keyed = docs.withColumn(digest, F.md5(F.coalesce("text", F.lit(""))))
+    found = contaminated(keyed.select(digest, "text"), read(spark, sf_dir, "benchmark"), key=digest)
+    return without(keyed, cut(found.filter("contaminated").select(digest).distinct(), "contaminated"), digest).drop(digest)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
