@@ -105,6 +105,8 @@ def _agreeing(a1, a2, b1, b2) -> np.ndarray:
 
 def _pairs_within(rows: np.ndarray, d: int, start: int = 0) -> np.ndarray:
     """Pairs ``a < b`` of rows ``tree, hi, id, bits1, bits2`` that are ``d`` places apart in one region and agree in enough bits."""
+    if len(rows) <= start + d:
+        return np.zeros((0, 2), np.int64)
     x, y = rows[start:len(rows) - d], rows[start + d:]
     near = (x[:, 0] == y[:, 0]) & (x[:, 1] == y[:, 1])
     x, y = x[near], y[near]
@@ -131,7 +133,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A region may be longer than a batch: its rows beyond the first few go out at once, with the size counted so far.
     """
-    none, held, first, seen = np.zeros((0, 2), np.int64), np.zeros((0, 5), np.int64), True, 0
+    none, held, first, sent = np.zeros((0, 2), np.int64), np.zeros((0, 5), np.int64), True, None
     for batch in batches:
         rows = np.concatenate([held, np.column_stack([np.asarray(batch.column(n)) for n in LEAF]).astype(np.int64)])
         if not len(rows):
@@ -140,10 +142,11 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(rows)))
-        if first:  # the first region may have begun in another partition
+        first = first and (sent is None or (rows[0, :2] == sent).all())
+        if first:  # the first region may have begun in another partition, or earlier and gone out already
             if len(starts) == 1:
                 yield _found(none, rows, None)
-                held = rows[:0]
+                held, sent = rows[:0], rows[0, :2]
                 continue
             yield _found(none, rows[:starts[1]], None)
             first = False
@@ -159,7 +162,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = body[last:]
         if len(held) > 1 << 16:  # goes on for long: its place among the regions at the ends is found later
             yield _found(none, held, None)
-            held, first = held[:0], True
+            held, first, sent = held[:0], True, held[0, :2]
     if len(held):
         yield _found(none, held, None)
 

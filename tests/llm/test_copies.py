@@ -150,3 +150,19 @@ def test_a_key_with_several_texts(spark):
 
 def test_empty_table(spark):
     assert near_copies(spark.createDataFrame([], "file long, value string")).collect() == []
+
+
+@pytest.mark.parametrize("step", [1, 3, 1000])
+def test_regions_in_batches_of_any_size(step):
+    """Small regions give all pairs, crowded ones their rows and size, those at the ends of a partition their rows; batches may cut them anywhere."""
+    from terralake.llm.copies import LEAF, SMALL, _regions
+
+    sizes = [1, 2, SMALL, 1, SMALL + 1, 5, 1, 30, 3, 1, 2]
+    rows = np.array([(0, r, 100 * r + i, 0, 0) for r, n in enumerate(sizes) for i in range(n)], np.int64)
+    batches = (pa.record_batch([pa.array(rows[at:at + step, c]) for c in range(5)], LEAF) for at in range(0, len(rows), step))
+    found = [r for b in _regions(batches) for r in b.to_pylist()]
+    pairs = sorted((r["a"], r["b"]) for r in found if r["a"] is not None)
+    inner = range(1, len(sizes) - 1)
+    assert pairs == sorted((100 * r + i, 100 * r + j) for r in inner if sizes[r] <= SMALL for j in range(sizes[r]) for i in range(j))
+    assert sorted((r["id"], r["n"]) for r in found if r["n"]) == [(100 * r + i, sizes[r]) for r in inner if sizes[r] > SMALL for i in range(sizes[r])]
+    assert sorted(r["id"] for r in found if r["a"] is None and r["n"] is None) == [0] + [100 * (len(sizes) - 1) + i for i in range(2)]
