@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -19,7 +22,7 @@ INVISIBLE_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*
 # Fixed values of HTML: what has no content, whose content is no markup, and what is never shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video canvas object".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video canvas object rp progress meter".split())
 HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())  # what leaves an open head open
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -47,8 +50,7 @@ ENDS = {
     "optgroup": ({"option", "optgroup"}, {"select"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), **{s: (SECTIONS | {"caption"}, {"table"}) for s in SECTIONS},
 }
-WIDE = 80  # a column with a longer line is not padded
-SPAN = 1000
+SPANS = {"colspan": 1000, "rowspan": 65534}  # the most columns and rows HTML lets a cell cover
 
 
 class Flow:
@@ -106,56 +108,72 @@ class Flow:
 
 
 class Table:
-    def __init__(self) -> None:
+    """Cells by row and column. Columns that cells from above still cover are kept with the row they end before."""
+
+    def __init__(self, wide: int) -> None:
         self.rows: list[dict[int, tuple[list[str], int]]] = []
         self.caption: list[str] = []
-        self.taken: dict[int, int] = {}  # columns that cells from above still cover, and for how many rows
+        self.until = np.zeros(0, np.int64)
+        self.wide = wide
 
     def new_row(self) -> None:
-        self.taken = {c: n - 1 for c, n in self.taken.items() if n > 1} if self.rows else {}
         self.rows.append({})
         self.at = 0
 
     def put(self, lines: list[str], across: int, down: int) -> None:
         if not self.rows:
             self.new_row()
-        while self.at in self.taken:
-            self.at += 1
+        row = len(self.rows) - 1
+        if self.at < len(self.until) and self.until[self.at] > row:
+            ended = self.until[self.at:] <= row
+            free = int(ended.argmax())
+            self.at = self.at + free if ended[free] else len(self.until)
         self.rows[-1][self.at] = (lines, across)
         if down > 1:
-            self.taken.update({c: down for c in range(self.at, self.at + across)})
+            end = self.at + across
+            if end > len(self.until):
+                self.until = np.concatenate([self.until, np.zeros(max(end, 2 * len(self.until)) - len(self.until), np.int64)])
+            self.until[self.at:end] = row + down
         self.at += across
 
     def text(self) -> list[str]:
+        """Lines of all rows, cells padded to their columns; widths of column ranges are differences of running sums."""
         width: dict[int, int] = {}
         for row in self.rows:
             for c, (lines, across) in row.items():
                 if across == 1:
                     width[c] = max(width.get(c, 0), *map(len, lines), 0) if lines else width.get(c, 0)
         columns = sorted({c for row in self.rows for c in row})
+        place = {c: i for i, c in enumerate(columns)}
+        sums = [0, *accumulate(width.get(c, 0) for c in columns)]
+        # what empty columns take up, their gaps included
+        empty = [0, *accumulate((w if w <= self.wide else 0) + 2 for w in (width.get(c, 0) for c in columns))]
         out = list(self.caption)
         for row in self.rows:
-            used = [c for c in columns if c <= max(row, default=-1)]
+            cells, upto = [], 0  # (blanks in front, lines, room)
+            for c in sorted(row):
+                lines, across = row[c]
+                i, j = place[c], bisect_left(columns, c + across)
+                if i < upto:  # overlapped by a wider cell
+                    continue
+                room = sums[j] - sums[i] + 2 * (j - i - 1)
+                cells.append((empty[i] - empty[upto], lines, room if room <= self.wide else 0))
+                upto = j
             for i in range(max((len(lines) for lines, _ in row.values()), default=0)):
-                line = ""
-                reach = -1
-                for c in used:
-                    if c < reach:
-                        continue
-                    lines, across = row.get(c, ([], 1))
+                line = []
+                for blanks, lines, room in cells:
                     cell = lines[i] if i < len(lines) else ""
-                    own = [width.get(x, 0) for x in columns if c <= x < c + across]
-                    room = sum(own) + 2 * (len(own) - 1)
-                    line += cell + " " * (max(room, len(cell)) - len(cell) if room <= WIDE else 0) + "  "
-                    reach = c + across
-                out.append(line.rstrip(" "))
+                    line.append(" " * blanks + cell.ljust(room) + "  ")
+                out.append("".join(line).rstrip(" "))
         return out
 
 
 class Page:
     """Tree builder and renderer in one pass: an explicit stack of open elements, so depth is bounded by memory alone."""
 
-    def __init__(self) -> None:
+    def __init__(self, wide: int = 80) -> None:
+        self.wide = wide
+        self.lists: list[tuple[str, dict]] = []  # open lists, the innermost last
         self.open: list[tuple[str, dict]] = []
         self.kinds: list[tuple[str, str]] = []  # per open element what it belongs to and what stands in it: "svg", "math" or "" (HTML)
         self.count: dict[str, int] = {}
@@ -182,11 +200,12 @@ class Page:
         found, empty = {}, attrs.endswith("/")
         if attrs.strip(" \t\n\r\f/"):
             for m in ATTRIBUTE.finditer(attrs):
-                found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+                if m[1][0] != "_":  # such names are the renderer's own
+                    found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
                 empty = empty and not (m[4] and m.end() == len(attrs))  # a slash in a value without quotes
         kind = name if name in NEVER else self.kind()
         unseen = (
-            name in UNSEEN or "hidden" in found and found["hidden"].lower() != "until-found" or bool(INVISIBLE_STYLE.search(found.get("style", "")))
+            name in UNSEEN or name == "dialog" and "open" not in found or "hidden" in found and found["hidden"].lower() != "until-found" or bool(INVISIBLE_STYLE.search(found.get("style", "")))
             or kind and name in NEVER[kind] or kind == "svg" and (found.get("display") == "none" or found.get("visibility") in ("hidden", "collapse"))
         )
         if name in VOID and not kind:
@@ -196,11 +215,19 @@ class Page:
         self.open.append((name, found))
         self.kinds.append((kind, "" if kind and name in HTML_IN[kind] else kind))
         self.count[name] = self.count.get(name, 0) + 1
+        if name in LISTS:
+            self.lists.append((name, found))
+        if name == "summary" and len(self.open) > 1 and self.open[-2][1].get("_shut") == "all" and self.hidden == len(self.open) - 1:
+            self.open[-2][1]["_shut"] = "rest"
+            self.hidden = 0
         if not self.hidden:
             if unseen:
                 self.hidden = len(self.open)
             else:
                 self.opened(name, found)
+                if name == "details" and "open" not in found and not kind:  # of closed details only the summary is seen
+                    found["_shut"] = "all"
+                    self.hidden = len(self.open)
         if kind and empty:
             self.pop()
 
@@ -243,10 +270,16 @@ class Page:
         name, attrs = self.open.pop()
         self.kinds.pop()
         self.count[name] -= 1
+        if name in LISTS:
+            self.lists.pop()
+        if "_shut" in attrs and self.hidden == len(self.open) + 1:
+            self.hidden = 0
         if not self.hidden:
             self.closed(name, attrs)
         elif self.hidden > len(self.open):
             self.hidden = 0
+        if name == "summary" and self.open and self.open[-1][1].get("_shut") == "rest" and not self.hidden:
+            self.hidden = len(self.open)
 
     # -- layout -------------------------------------------------------------------------------
 
@@ -259,7 +292,7 @@ class Page:
     def opened(self, name: str, attrs: dict) -> None:
         flow = self.flows[-1]
         if name == "table":
-            self.tables.append(Table())
+            self.tables.append(Table(self.wide))
         elif self.tables and name == "tr":
             self.tables[-1].new_row()
         elif self.tables and name in CELLS:
@@ -273,9 +306,8 @@ class Page:
             if name in LISTS:
                 attrs["_next"] = int(attrs["start"]) if re.fullmatch(r"-?[0-9]{1,9}", attrs.get("start", "")) else 1
             elif name == "li":
-                owner = next((a for n, a in reversed(self.open[:-1]) if n in LISTS), {})
-                ordered = next((n for n, _ in reversed(self.open[:-1]) if n in LISTS), "") == "ol"
-                flow.marker = f"{owner.get('_next', 1)}. " if ordered else "- "
+                kind, owner = self.lists[-1] if self.lists else ("", {})
+                flow.marker = f"{owner.get('_next', 1)}. " if kind == "ol" else "- "
                 owner["_next"] = owner.get("_next", 1) + 1
                 attrs["_indent"] = len(flow.marker)
                 flow.indent += " " * len(flow.marker)
@@ -297,7 +329,7 @@ class Page:
             if name == "caption":
                 self.tables[-1].caption += lines
             else:
-                across, down = (min(SPAN, int(v)) if re.fullmatch("[1-9][0-9]{0,8}", v := attrs.get(a, "")) else 1 for a in ("colspan", "rowspan"))
+                across, down = (min(most, int(v)) if re.fullmatch("[1-9][0-9]{0,8}", v := attrs.get(a, "")) else 1 for a, most in SPANS.items())
                 self.tables[-1].put(lines, across, down)
         elif name in BLOCKS and name not in SECTIONS and name != "tr":
             flow.block(2 if name in SPACED and not (name in LISTS and self.count.get("li")) else 1)
@@ -324,16 +356,16 @@ class Page:
         return "\n".join(self.flows[0].text()).replace("\xa0", " ").strip("\n")
 
 
-def visible_text(source: str) -> str:
+def visible_text(source: str, wide: int = 80) -> str:
     """All visible text of a page.
 
     Unclosed heads, paragraphs, items, rows and cells end where HTML says; rows are implied around stray cells. Not visible: comments, scripts,
-    styles, the head, templates, in SVG what isn't in a ``text`` or ``foreignObject`` or only serves as a definition or description, annotations of MathML, what stands in for missing features (``noscript``), and elements with ``hidden``, ``display: none`` or
+    styles, the head, templates, in SVG what isn't in a ``text`` or ``foreignObject`` or only serves as a definition or description, annotations of MathML, what stands in for missing features (``noscript``, ``rp``, the content of ``progress`` and ``meter``), a ``dialog`` without ``open``, all but the summary of ``details`` without ``open``, and elements with ``hidden``, ``display: none`` or
     ``visibility: hidden``. Pictures and form values have no text. Paragraphs, headings, lists and tables are set off by an empty
     line, other blocks by a line break; items carry ``- `` or their number and are indented by depth; cells are padded to the width of
-    their column (columns with lines over 80 characters aren't); preformatted text keeps its blanks.
+    their column (cells over columns of more than ``wide`` characters aren't); preformatted text keeps its blanks.
     """
-    page, at = Page(), 0
+    page, at = Page(wide), 0
     for m in iter(lambda: MARKUP.search(source, at), None):
         page.text(source[at:m.start()])
         at = m.end()
@@ -357,7 +389,7 @@ def visible_text(source: str) -> str:
     return page.finish()
 
 
-def render_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def render_pages(pages: DataFrame, key: str = "page_id", html: str = "html", wide: int = 80) -> DataFrame:
     """Visible text of every page: ``<key>, text, n_chars, n_lines``; see ``visible_text``.
 
     The studied project keeps no pages among its records; this operator is general. Null and empty pages have empty text; repeated
@@ -367,7 +399,7 @@ def render_pages(pages: DataFrame, key: str = "page_id", html: str = "html") ->
 
     def rendered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [visible_text(h) if isinstance(h, str) else "" for h in batch["html"]]
+            texts = [visible_text(h, wide) if isinstance(h, str) else "" for h in batch["html"]]
             lines = [t.count("\n") + 1 if t else 0 for t in texts]
             yield pd.DataFrame({"key": batch["key"], "text": texts, "n_chars": [len(t) for t in texts], "n_lines": lines})
 
