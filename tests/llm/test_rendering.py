@@ -1,6 +1,7 @@
 """Rendering: round trips of generated pages, and the rules one by one."""
 
 import random
+import time
 
 import pytest
 
@@ -108,3 +109,63 @@ def test_on_a_table(spark):
     got = sorted((r["page_id"] or 0, r["text"], r["n_chars"], r["n_lines"]) for r in render_pages(pages).collect())
     assert [(k, t.strip()) for k, t, _, _ in got] == [(0, "b"), (1, "a"), (1, "a"), (2, ""), (3, "")]
     assert render_pages(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<dialog>a</dialog>b", "b"), ("<dialog open>a</dialog>b", "a\nb"),
+    ("<details>x<summary>S<b>!</b></summary>y<p>z</details>w", "S!\nw"), ("<details open><summary>S</summary>y</details>w", "S\ny\nw"),
+    ("<details><details><summary>in</summary></details><summary>out</summary>q</details>e", "out\ne"),
+    ("<details><summary>first</summary><summary>second</summary>t</details>u", "first\nu"),
+    ("<details><summary hidden>s</summary>t</details>u", "u"), ("<details>only", ""),
+    ("<ruby>a<rp>(</rp><rt>b</rt><rp>)</rp></ruby>", "ab"), ("<progress>50%</progress>c<meter>m</meter>", "c"),
+    ("<ol _next=7 start=3><li _indent=9>a</ol>", "3. a"),
+])
+def test_what_is_closed_is_not_shown(page, want):
+    assert visible_text(page) == want
+
+
+def slow_table(rows, wide):
+    """A table row by row and column by column: cells are (text, columns)."""
+    width = {}
+    for row in rows:
+        for c, (text, across) in row.items():
+            if across == 1:
+                width[c] = max(width.get(c, 0), len(text))
+    columns, out = sorted({c for r in rows for c in r}), []
+    for row in rows:
+        line, reach = "", -1
+        for c in (c for c in columns if c <= max(row)):
+            if c >= reach:
+                text, across = row.get(c, ("", 1))
+                own = [width.get(x, 0) for x in columns if c <= x < c + across]
+                room = sum(own) + 2 * (len(own) - 1)
+                line += text + " " * (max(0, room - len(text)) if room <= wide else 0) + "  "
+                reach = c + across
+        out.append(line.rstrip(" "))
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize("wide", [80, 12])
+def test_tables_against_a_plain_layout(wide):
+    rng = random.Random(wide)
+    for _ in range(200):
+        n, grid, rows, page = rng.randint(1, 6), set(), [], ""
+        for r in range(rng.randint(1, 5)):
+            row, at, page = {}, 0, page + "<tr>"
+            for _ in range(n):
+                while (r, at) in grid:
+                    at += 1
+                text, across, down = "abcdefghijklmnop"[:rng.randint(1, 14)], rng.choice([1, 1, 2, 3]), rng.choice([1, 1, 1, 2, 3])
+                page += f"<td colspan={across} rowspan={down}>{text}"
+                row[at] = (text, across)
+                grid |= {(r + i, at + j) for i in range(down if down > 1 else 0) for j in range(across)}
+                at += across
+            rows.append(row)
+        assert visible_text(f"<table>{page}</table>", wide) == slow_table(rows, wide)
+
+
+def test_wide_tall_and_deep_pages_take_linear_time():
+    start = time.perf_counter()
+    for page in ("<table>" + "<tr><td rowspan=1000>x" * 2000, "<table><tr>" + "<td>x" * 8000, "<b>" * 8000 + "<li>" * 8000):
+        visible_text(page)
+    assert time.perf_counter() - start < 3
