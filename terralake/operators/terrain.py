@@ -140,11 +140,11 @@ def texture_arrays(textures: DataFrame, sizes: DataFrame) -> DataFrame:
     return placed.select("texture", "tw", "th", dense_array(F.col("_at"), n, "int").alias("texels"), holes.alias("holes"))
 
 
-def splat_weights() -> Column:
-    """Array of (slot, weight) from the splat columns of both tiles; negative rest weights become 0."""
+def splat_weights() -> list[Column]:
+    """Weight of each slot from the splat columns of both tiles; negative rest weights become 0."""
     r, g, a = F.col("s1_r"), F.col("s1_g"), F.col("s1_a")
     weights = [clamp(255 - r - g - a, 0, 255), g, r, a, F.col("s2_g"), F.col("s2_r"), F.col("s2_a")]
-    return F.array(*[F.struct(F.lit(i).alias("slot"), w.cast("int").alias("weight")) for i, w in enumerate(weights)])
+    return [w.cast("int") for w in weights]
 
 
 def splat_blend(cells: DataFrame, splats: DataFrame, landclasses: DataFrame, textures: DataFrame, sizes: DataFrame,
@@ -205,10 +205,13 @@ def splat_blend(cells: DataFrame, splats: DataFrame, landclasses: DataFrame, tex
             f"{s}_a": F.when(F.col(f"{s}.alpha"), F.shiftright(f"_{s}", 16)).otherwise(F.col(f"_{s}") * 0),
         })
     weights = splat_weights()
-    some = F.col("s1_r").isNotNull() & F.exists(weights, lambda w: F.coalesce((w["weight"] > 0) & F.get(F.col("_ok"), w["slot"]), F.lit(False)))
-    weight = F.when(F.col("slot") < 0, F.when(F.coalesce(some, F.lit(False)), 0).otherwise(1)).otherwise(
-        F.when(F.col("s1_r").isNotNull(), F.get(weights, F.col("slot"))["weight"]))
-    seen = pixels.withColumn("weight", weight).filter("weight > 0").withColumn("weight", F.when(F.col("lc_idx").isNotNull(), F.col("weight")))
+    tiled, some, own = F.col("s1_r").isNotNull(), F.lit(False), F.lit(None).cast("int")
+    for i, w in enumerate(weights):
+        some = some | (F.coalesce(w > 0, F.lit(False)) & F.get(F.col("_ok"), F.lit(i)))
+        own = F.when(F.col("slot") == i, w).otherwise(own)
+    weight = F.when(F.col("slot") < 0, F.when(tiled & some, 0).otherwise(1)).otherwise(F.when(tiled, own))
+    # rows of weight 0 stay: a filter on the weight would be pushed into, and repeat, all that it is computed from
+    seen = pixels.withColumn("weight", F.when(F.col("lc_idx").isNotNull(), weight))
 
     def texel(p: str, scale_: str, n: str) -> Column:
         return trunc_long(F.col(p) / F.greatest(F.col(scale_), F.lit(1.0)) * F.col(n)) % F.col(n)
