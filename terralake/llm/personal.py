@@ -69,7 +69,11 @@ def _feature(text: str) -> int:
 
 
 def token_features(before: str, words: Sequence[str]) -> list[list[int]]:
-    """Features of the words of one run; ``before`` is the word in front of it."""
+    """Features of the words of one run; ``before`` is the word in front of it.
+
+    The shape of a word is that of its first 200 characters, a bound on the cost of one feature; its length, digits and check digit are those of the
+    whole word. Patterns always see whole texts.
+    """
     shapes = [shape(w[:200]) for w in words]
     out = []
     for i, word in enumerate(words):
@@ -105,6 +109,7 @@ def runs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
 
 
 def _before(text: str, at: int) -> str:
+    """The word in front of a place, or its end where it is longer than 32 characters: a feature, compared as it is."""
     return (text[max(0, at - 32):at].split() or [""])[-1]
 
 
@@ -207,7 +212,8 @@ def label_runs(results: DataFrame, text: str = "error", most: int = 4000) -> Dat
     """A small labelled table ``before, words, tags``: runs of at most ``most`` texts, tagged with the patterns they hold.
 
     Every run with a phone number also appears without its country code, so that the field learns numbers which the pattern leaves
-    out by what surrounds and shapes them. The bound is a number of texts, not a share: it doesn't grow with the input.
+    out by what surrounds and shapes them. Runs of over 24 words are left out of the table (not of the search). The bound is a number of texts, not a share: it
+    doesn't grow with the input; which texts are taken follows the order of the table's files.
     """
     def tagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
