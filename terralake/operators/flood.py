@@ -179,7 +179,7 @@ def component_roots(edges: DataFrame, max_rounds: int = 64, most: int = 1 << 18,
         if not left:
             break
         if left <= most:
-            roots = cut(contract_edges(active.coalesce(1)).withColumnRenamed("b", "root"), "roots")
+            roots = cut(contract_edges(active.repartition(1)).withColumnRenamed("b", "root"), "roots")
             break
         lowest = inner.select("map_id", F.col("a").alias("b"), "low")
         active = join_dim(active, lowest, ["map_id", "b"], ["a"], "left", salts).select("map_id", "a", F.coalesce("low", "b").alias("b"))
